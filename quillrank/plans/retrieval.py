@@ -9,6 +9,7 @@ from quillrank.functions.fixed_values import PREFETCH
 from quillrank.operators import bm25, fusion
 from quillrank.operators.knn import nearest
 from quillrank.sources.passages import fetch_payloads, passage_source
+from quillrank.sources.shared import materialise
 
 
 def dense_ranking(queries: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
@@ -23,7 +24,7 @@ def dense_ranking(queries: DataFrame, passages: DataFrame, limit: int) -> DataFr
 
 def sparse_rankings(queries: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
     """Each query's BM25 ranking in every book."""
-    return bm25.bm25_topk(queries, bm25.build_postings(passages), limit * PREFETCH)
+    return bm25.search(queries, passages, limit * PREFETCH)
 
 
 def candidates(rankings: DataFrame, limit: int, priors: DataFrame | None = None) -> DataFrame:
@@ -55,10 +56,11 @@ def search_stages(queries: DataFrame, passages: DataFrame, limit: int, priors: D
 
     ``support`` lists subjects, so its rows name no passage; a dominated query has none.
     """
-    rankings = fusion.union_rankings(
+    both = fusion.union_rankings(
         dense_ranking(queries, passages, limit), sparse_rankings(queries, passages, limit)
     )
-    found = candidates(rankings, limit, priors)
+    rankings = materialise(both, "rankings")
+    found = materialise(candidates(rankings, limit, priors), "candidates")
     columns = ["query_id", "stage", "ranking_ord", "pos", "book_id", "id", "subject", "score"]
     none = F.lit(None)
 

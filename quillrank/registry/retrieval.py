@@ -164,7 +164,7 @@ def dense_knn(spark, sf):
 
 @query("bm25_topk", "SELECT query_id, book_id, id, pos, round(score, 6) AS score FROM v_sparse WHERE pos <= 10")
 def bm25_topk(spark, sf):
-    found = bm25.bm25_topk(v.search_queries(spark, sf), bm25.build_postings(v.passages(spark, sf)), 10)
+    found = bm25.search(v.search_queries(spark, sf), v.passages(spark, sf), 10)
     return found.select("query_id", "book_id", "id", F.col("pos").cast("long").alias("pos"), rounded())
 
 
