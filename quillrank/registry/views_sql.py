@@ -123,4 +123,85 @@ VIEWS = {
                      CASE WHEN dominated OR fused_rank <> first_rank THEN fused_rank ELSE support_rank END) AS rank
           FROM v_fused f JOIN v_dominated d USING (query_id) JOIN v_support s USING (query_id, subject)
           WHERE dominated OR support_rank <= 5) WHERE rank <= 5""",
+    # Repertorisation of ``rubric_hits``.
+    "v_coverage": """
+        SELECT case_id, remedy_id, count(*) AS symptoms, CAST(sum(grade) AS BIGINT) AS grades FROM (
+          SELECT case_id, symptom_ord, remedy_id, max(grade) AS grade FROM v_rubric_hits GROUP BY ALL) GROUP BY ALL""",
+    "v_ranked_remedies": """
+        SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY symptoms DESC, grades DESC, remedy_id) AS rank
+        FROM v_coverage""",
+    "v_decisive": """
+        SELECT case_id, case_symptoms, lead, tied, lead > 0 AND ((lead > 1 AND lead * 2 >= case_symptoms) OR tied < 5) AS decisive
+        FROM (SELECT s.case_id, s.case_symptoms, coalesce(l.lead, 0) AS lead,
+                     (SELECT count(*) FROM v_coverage c WHERE c.case_id = s.case_id AND c.symptoms = l.lead) AS tied
+              FROM (SELECT case_id, count(DISTINCT symptom_ord) AS case_symptoms FROM v_rubric_matches GROUP BY ALL) s
+              LEFT JOIN (SELECT case_id, max(symptoms) AS lead FROM v_coverage GROUP BY ALL) l USING (case_id))""",
+    "v_leaders": """
+        SELECT r.case_id, r.remedy_id, r.symptoms, r.grades, r.rank AS leader_ord
+        FROM v_ranked_remedies r LEFT JOIN v_ranked_remedies n ON n.case_id = r.case_id AND n.rank = 4
+        WHERE r.rank <= 3 AND (n.rank IS NULL OR n.symptoms <> r.symptoms OR n.grades <> r.grades)""",
+    "v_best_rubrics": """
+        SELECT case_id, symptom_ord, leader_ord, remedy_id, grade, rubric_id FROM (
+          SELECT h.*, l.leader_ord, row_number() OVER (
+                   PARTITION BY h.case_id, h.symptom_ord, l.leader_ord ORDER BY h.grade DESC, h.rubric_id) AS n
+          FROM v_rubric_hits h JOIN v_leaders l ON l.case_id = h.case_id AND l.remedy_id = h.remedy_id) WHERE n = 1""",
+    "v_cited": """
+        SELECT case_id, rubric_id, n + 5 AS number FROM (
+          SELECT case_id, rubric_id, row_number() OVER (PARTITION BY case_id ORDER BY seen) AS n FROM (
+            SELECT case_id, rubric_id, min(symptom_ord * 10 + leader_ord) AS seen FROM v_best_rubrics GROUP BY ALL)) WHERE n <= 15""",
+    # Repertorisation of ``case_symptoms`` by nearest rubrics.
+    "v_symptom_rubrics": """
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY case_id, symptom_ord, book_id ORDER BY score DESC, rubric_id) AS pos
+          FROM (SELECT s.case_id, s.symptom_ord, r.repertory_ord, r.book_id, r.id AS rubric_id,
+                       round(list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9) AS score
+                FROM v_case_symptoms s CROSS JOIN v_rubrics r)) WHERE pos <= 3""",
+    "v_combined": """
+        SELECT case_id, symptom_ord, book_id, rubric_id,
+               row_number() OVER (PARTITION BY case_id, symptom_ord ORDER BY repertory_ord, pos) AS rubric_ord
+        FROM v_symptom_rubrics""",
+    "v_matches": """
+        SELECT * EXCLUDE (n) FROM (
+          SELECT *, row_number() OVER (PARTITION BY case_id, book_id, rubric_id ORDER BY symptom_ord, rubric_ord) AS n
+          FROM v_combined) WHERE n = 1""",
+    "v_listed": """
+        SELECT book_id, id AS rubric_id, listed_ord, remedies[listed_ord].remedy_id AS remedy_id, remedies[listed_ord].grade AS grade
+        FROM v_rubrics, unnest([1, 2, 3, 4, 5]) AS u(listed_ord)""",
+    "v_case_hits": """
+        SELECT m.*, l.listed_ord, l.remedy_id, l.grade FROM v_matches m
+        JOIN v_listed l ON l.book_id = m.book_id AND l.rubric_id = m.rubric_id""",
+    "v_case_coverage": """
+        SELECT case_id, remedy_id, count(*) AS symptoms, CAST(sum(grade) AS BIGINT) AS grades FROM (
+          SELECT case_id, symptom_ord, remedy_id, max(grade) AS grade FROM v_case_hits GROUP BY ALL) GROUP BY ALL""",
+    "v_case_decisive": """
+        SELECT m.case_id, (max(lead) > 1 AND max(lead) * 2 >= max(n)) OR
+               count(*) FILTER (WHERE symptoms = lead) < 5 AS decisive
+        FROM (SELECT *, max(symptoms) OVER (PARTITION BY case_id) AS lead FROM v_case_coverage) m
+        JOIN (SELECT case_id, count(DISTINCT symptom_ord) AS n FROM v_matches GROUP BY ALL) s USING (case_id) GROUP BY m.case_id""",
+    "v_case_leaders": """
+        SELECT r.case_id, r.remedy_id, r.rank AS leader_ord FROM v_case_ranked r
+        LEFT JOIN v_case_ranked n ON n.case_id = r.case_id AND n.rank = 4
+        WHERE r.rank <= 3 AND (n.rank IS NULL OR n.symptoms <> r.symptoms OR n.grades <> r.grades)""",
+    "v_case_ranked": """
+        SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY symptoms DESC, grades DESC, remedy_id) AS rank
+        FROM v_case_coverage""",
+    "v_case_best": """
+        SELECT * EXCLUDE (n) FROM (
+          SELECT h.case_id, h.symptom_ord, h.book_id, h.rubric_id, h.remedy_id, l.leader_ord,
+                 row_number() OVER (PARTITION BY h.case_id, h.symptom_ord, l.leader_ord ORDER BY h.grade DESC, h.rubric_ord) AS n
+          FROM (SELECT case_id, symptom_ord, rubric_ord, book_id, rubric_id, remedy_id, arg_min(grade, listed_ord) AS grade
+                FROM v_case_hits GROUP BY ALL) h
+          JOIN v_case_leaders l ON l.case_id = h.case_id AND l.remedy_id = h.remedy_id) WHERE n = 1""",
+    "v_case_cited": """
+        SELECT case_id, book_id, rubric_id, n, n + 5 AS number FROM (
+          SELECT case_id, book_id, rubric_id, row_number() OVER (PARTITION BY case_id ORDER BY seen) AS n FROM (
+            SELECT case_id, book_id, rubric_id, min(symptom_ord * 10 + leader_ord) AS seen FROM v_case_best GROUP BY ALL))
+        WHERE n <= 15""",
+    "v_case_sources": """
+        SELECT c.case_id, c.book_id, c.rubric_id, any_value(c.n) AS n, any_value(c.number) AS number, 'Remedies and their grades: ' || string_agg(
+                 upper(l.remedy_id[1]) || replace(substr(l.remedy_id, 2), '-', ' ') || ' (' || l.grade || ')', ', '
+                 ORDER BY coalesce(x.leader_ord, 99), l.grade DESC, l.listed_ord) AS text
+        FROM v_case_cited c JOIN v_listed l ON l.book_id = c.book_id AND l.rubric_id = c.rubric_id
+        LEFT JOIN v_case_leaders x ON x.case_id = c.case_id AND x.remedy_id = l.remedy_id
+        GROUP BY c.case_id, c.book_id, c.rubric_id""",
 }
