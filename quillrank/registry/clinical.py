@@ -1 +1,140 @@
+"""Queries of clinical matching."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillrank.functions.words import singular, term_words
+from quillrank.operators import clinical as cl
+from quillrank.plans.answers import gated_prior
+from quillrank.registry import query
+from quillrank.sources import passages as src
+from quillrank.sources import views as v
+from quillrank.sources.shared import materialise
+
+LINKS = "'of', 'in', 'on', 'at', 'the', 'a', 'an', 'and', 'from', 'to', 'with', 'by', 'for'"
+SINGULAR = """CASE WHEN length({w}) > 4 AND {w} LIKE '%es' AND {w} NOT LIKE '%ses' AND {w} NOT LIKE '%tes'
+  THEN left({w}, length({w}) - 2) WHEN length({w}) > 3 AND {w} LIKE '%s' AND {w} NOT LIKE '%ss' AND {w} NOT LIKE '%is'
+  AND {w} NOT LIKE '%us' THEN left({w}, length({w}) - 1) ELSE {w} END"""
+WORDS = (
+    "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(replace(replace(replace(lower({t}), 'æ', 'ae'),"
+    " 'œ', 'oe'), '-', ''), '[a-z]+'), lambda w: w NOT IN ("
+    + LINKS
+    + ")), lambda w: "
+    + SINGULAR.format(w="w")
+    + ")))"
+)
+MATCHED = f"""
+    WITH d AS (SELECT case_id, disease, {WORDS.format(t="disease")} AS words FROM v_diseases),
+    t AS (SELECT text AS term, remedies, {WORDS.format(t="text")} AS words FROM v_clinical_terms),
+    matched AS (SELECT d.case_id, t.term, t.remedies FROM d JOIN t ON len(t.words) > 0 AND list_has_all(d.words, t.words)),
+    popular AS (SELECT remedy_id, count(*) AS popularity FROM (SELECT unnest(remedies) AS remedy_id FROM v_clinical_terms) GROUP BY ALL),
+    scored AS (SELECT case_id, remedy_id, count(*) AS count, round(sum(share), 9) AS rarity FROM (
+      SELECT case_id, 1.0::DOUBLE / ln(len(remedies) + 2) AS share, unnest(remedies) AS remedy_id
+      FROM (SELECT DISTINCT case_id, term, remedies FROM matched)) GROUP BY ALL),
+    ranked AS (SELECT s.*, p.popularity, row_number() OVER (
+      PARTITION BY case_id ORDER BY count DESC, rarity DESC, popularity DESC, remedy_id) AS rank
+      FROM scored s JOIN popular p USING (remedy_id)),
+    gate AS (SELECT case_id, max(count) AS lead, max(tied) AS tied, max(count) > 1 OR max(tied) < 5 AS decisive FROM (
+      SELECT case_id, count, count(*) AS tied, max(count) OVER (PARTITION BY case_id) AS lead FROM scored GROUP BY case_id, count)
+      WHERE count = lead GROUP BY case_id)
+"""
+
+
+def matched(spark, sf):
+    return cl.matched_terms(v.diseases(spark, sf), v.clinical_terms(spark, sf))
+
+
+def scored(spark, sf):
+    return cl.scores(cl.case_terms(matched(spark, sf)))
+
+
+@query("scan_clinical_terms", """
+    SELECT array_to_string([p_type, p_name], ', ') AS text, lower(p_brand) AS remedy_id, p_partkey FROM part""")
+def scan_clinical_terms(spark, sf):
+    pair = F.struct(F.lower("p_brand").alias("remedy_id"), F.col("p_size").alias("grade"))
+    stored = v.table(spark, sf, "part").select(
+        "p_partkey", F.array("p_type", "p_name").alias("path"), F.array(pair).alias("pairs")
+    )
+    return src.term_records(stored, ["p_partkey"]).select(
+        "p_partkey", "text", F.get("remedies", F.lit(0)).alias("remedy_id")
+    )
+
+
+@query("term_words", f"SELECT doc_id, array_to_string({WORDS.format(t='text')}, ' ') AS words FROM documents")
+def term_word_sets(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", F.array_join(term_words(F.col("text")), " ").alias("words"))
+
+
+@query("singular", f"""
+    SELECT DISTINCT word, {SINGULAR.format(w="word")} AS singular FROM (
+      SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)""")
+def singulars(spark, sf):
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return v.table(spark, sf, "documents").select(found.alias("word")).distinct().select(
+        "word", singular(F.col("word")).alias("singular")
+    )
+
+
+@query("term_containment", MATCHED + "SELECT case_id, term FROM matched")
+def term_containment(spark, sf):
+    return matched(spark, sf).select("case_id", "term")
+
+
+@query("matched_terms", MATCHED + "SELECT DISTINCT case_id, term FROM matched")
+def matched_terms(spark, sf):
+    return cl.case_terms(matched(spark, sf)).select("case_id", "term")
+
+
+@query("term_popularity", MATCHED + "SELECT remedy_id, popularity FROM popular")
+def term_popularity(spark, sf):
+    return cl.popularity(v.clinical_terms(spark, sf))
+
+
+@query("clinical_scores", MATCHED + "SELECT case_id, remedy_id, count, rarity FROM scored")
+def clinical_scores(spark, sf):
+    return scored(spark, sf)
+
+
+@query("clinical_ranking", MATCHED + "SELECT case_id, remedy_id, rank FROM ranked")
+def clinical_ranking(spark, sf):
+    ranked = cl.ranking(scored(spark, sf), cl.popularity(v.clinical_terms(spark, sf)))
+    return ranked.select("case_id", "remedy_id", "rank")
+
+
+@query("decisive_match", MATCHED + "SELECT case_id, lead, tied, decisive FROM gate")
+def decisive_match(spark, sf):
+    return cl.decisive_match(scored(spark, sf))
+
+
+@query("clinical_gate", MATCHED + """
+    SELECT case_id, 'remedy:' || remedy_id AS subject, rank AS place FROM ranked JOIN gate USING (case_id) WHERE decisive""")
+def clinical_gate(spark, sf):
+    found = materialise(scored(spark, sf), "clinical-scores")
+    return gated_prior(cl.ranking(found, cl.popularity(v.clinical_terms(spark, sf))), cl.decisive_match(found))
+
+
+@query("leading_clinical", MATCHED + "SELECT case_id, remedy_id, rank FROM ranked WHERE rank <= 3")
+def leading_clinical(spark, sf):
+    first = cl.first_remedies(scored(spark, sf), cl.popularity(v.clinical_terms(spark, sf)))
+    return first.select("case_id", "remedy_id", "rank")
+
+
+@query("remedy_terms", MATCHED + """
+    SELECT DISTINCT r.case_id, r.remedy_id, r.rank, m.term FROM ranked r JOIN matched m
+    ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE r.rank <= 3""")
+def remedy_terms(spark, sf):
+    found = cl.case_terms(matched(spark, sf))
+    leaders = cl.first_remedies(cl.scores(found), cl.popularity(v.clinical_terms(spark, sf)))
+    return cl.remedy_terms(leaders, found)
+
+
+@query("clinical_match", MATCHED + """
+    SELECT r.case_id, r.remedy_id, r.count, r.rarity, r.popularity, r.rank, g.decisive
+    FROM ranked r JOIN gate g USING (case_id)""")
+def clinical_match(spark, sf):
+    found = materialise(scored(spark, sf), "clinical-scores")
+    ranked = cl.ranking(found, cl.popularity(v.clinical_terms(spark, sf)))
+    return ranked.join(cl.decisive_match(found).select("case_id", "decisive"), "case_id").select(
+        "case_id", "remedy_id", "count", "rarity", "popularity", "rank", "decisive"
+    )

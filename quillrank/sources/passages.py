@@ -100,8 +100,10 @@ def rubric_problems(rubrics: DataFrame) -> DataFrame:
     )
 
 
-def term_records(stored: DataFrame) -> DataFrame:
+def term_records(stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Stored terms (path, pairs of remedy and grade) as (text, remedies)."""
     return stored.select(
-        F.array_join("path", ", ").alias("text"), F.transform("pairs", lambda p: p["remedy_id"]).alias("remedies")
+        *(keys or []),
+        F.array_join("path", ", ").alias("text"),
+        F.transform("pairs", lambda p: p["remedy_id"]).alias("remedies"),
     )
