@@ -70,18 +70,3 @@ def running_before(
         .withColumn(out, F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .drop("_value", "_block", "_start")
     )
-
-
-def with_neighbour(
-    df: DataFrame, keys: Sequence[str], position: str, offset: int, columns: dict[str, str], how: str = "left"
-) -> DataFrame:
-    """Columns of the row ``offset`` places further on in the group, under new names.
-
-    An equi-join on (group, dense position): unlike ``lag`` and ``lead`` it spreads a hot group.
-    """
-    other = df.select(
-        *keys,
-        (F.col(position) - F.lit(offset)).alias(position),
-        *[F.col(name).alias(alias) for name, alias in columns.items()],
-    )
-    return df.join(other, [*keys, position], how)

@@ -53,7 +53,7 @@ VIEWS = {
         JOIN part a ON a.p_partkey = (c.c_custkey * 7) % (SELECT count(*) FROM part)
         JOIN part b ON b.p_partkey = (c.c_custkey * 13 + 5) % (SELECT count(*) FROM part)""",
     "v_turns": "SELECT conv_id, turn, role, text FROM conversations",
-    "v_events": "SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS now_ms FROM events",
+    "v_events": "SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS now_ms FROM events",
     # Rankings of the hybrid search with limit 5: 40 candidates each.
     "v_dense": """
         SELECT * FROM (
@@ -204,4 +204,58 @@ VIEWS = {
         FROM v_case_cited c JOIN v_listed l ON l.book_id = c.book_id AND l.rubric_id = c.rubric_id
         LEFT JOIN v_case_leaders x ON x.case_id = c.case_id AND x.remedy_id = l.remedy_id
         GROUP BY c.case_id, c.book_id, c.rubric_id""",
+    # Requests, replies and answers.
+    "v_replies": """
+        SELECT conv_id * 1000 + turn AS reply_id, conv_id, turn,
+               CASE turn % 4 WHEN 0 THEN 'Here they are:' || chr(10) || '1. ' WHEN 1 THEN '* Disease: ' WHEN 2 THEN 'None.' || chr(10)
+                 ELSE 'No diseases are named.' || chr(10) || '2) ' END
+               || replace(text, chr(10), chr(10) || '- **') || chr(10) || '• ' || lower(text) AS reply FROM conversations""",
+    "v_kind_replies": """
+        SELECT conv_id * 1000 + turn AS reply_id,
+               CASE turn % 3 WHEN 0 THEN ' Question.' || chr(10) WHEN 1 THEN 'CASE ' ELSE 'questions ' END || text AS reply
+        FROM conversations""",
+    "v_answers": """
+        SELECT conv_id * 1000 + turn AS answer_id, conv_id % 9 AS sources,
+               CASE WHEN (conv_id + turn) % 4 = 0 THEN text ELSE text || ' See [' || turn || '], [2-' || (turn + 3) || '], [1, '
+                 || (conv_id % 7) || '] and [9](x); [5–40] [7-3] [2, 4-5] [3]' END AS answer
+        FROM conversations WHERE role = 'assistant'""",
+    "v_requests": """
+        SELECT q.conv_id, q.message, CASE WHEN q.conv_id % 3 = 0 THEN 'Earlier, ' || left(q.message, 40) END AS summary,
+               CASE q.conv_id % 3 WHEN 1 THEN CAST([] AS VARCHAR[])
+                 WHEN 2 THEN ['symptom a of ' || q.conv_id, 'symptom b of ' || q.conv_id] END AS symptoms,
+               CASE WHEN q.conv_id % 4 = 1 THEN CAST([] AS VARCHAR[])
+                 WHEN q.conv_id % 4 >= 2 AND d.disease IS NOT NULL THEN [d.disease] END AS diseases
+        FROM (SELECT conv_id, arg_max(text, turn) AS message FROM conversations WHERE role = 'user' GROUP BY ALL) q
+        LEFT JOIN v_diseases d ON d.case_id = q.conv_id""",
+    "v_history": """
+        SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c
+        JOIN (SELECT conv_id, max(turn) AS asked_at FROM conversations WHERE role = 'user' GROUP BY ALL) q USING (conv_id)
+        WHERE c.role IN ('user', 'assistant') AND c.turn < q.asked_at""",
+    # Chats and feedback.
+    "v_chats": """
+        SELECT user_id, event_id AS chat_id, upper(event_type[1]) || event_type[2:] || ' chat ' || event_id AS title,
+               now_ms AS updated_at, CAST(floor(value) AS BIGINT) * 10 + 5 AS bytes FROM v_events""",
+    "v_messages": """
+        SELECT conv_id AS chat_id, turn, role, text, CASE WHEN (conv_id * 7 + turn) % 11 = 0 THEN 'error' END AS status FROM conversations""",
+    "v_archives": """
+        SELECT event_id, CASE WHEN event_id % 10 = 7 THEN '{nope' WHEN event_id % 10 = 8 THEN head
+                 ELSE '[' || older || ',' || broken || ',' || head || ']' END AS archive
+        FROM (SELECT event_id,
+                '{"id":"c' || event_id || '","title":"' || event_type || '","updatedAt":' || now_ms || ',"messages":[],"history":[]}' AS head,
+                '{"id":"d' || event_id || '","title":"older","updatedAt":' || (now_ms - 1000) || ',"messages":[1],"history":[]}' AS older,
+                CASE event_id % 3 WHEN 0 THEN '{"id": 1}' WHEN 1 THEN '{"id":"x","title":"x","updatedAt":"1","messages":[],"history":[]}'
+                  ELSE '{"id":"x","title":"x","updatedAt":1,"messages":{},"history":[]}' END AS broken FROM v_events)""",
+    "v_feedback": """
+        SELECT user_id, event_id, event_id % 20 AS answer_id,
+               'c' || (user_id % 5) || CASE WHEN event_id % 3 = 0 THEN '-x' ELSE '' END || '-' || (event_id % 20)
+                 || CASE WHEN event_id % 7 = 0 THEN 'a' ELSE '' END AS feedback_id,
+               CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' END AS rating,
+               CASE WHEN event_type = 'error' THEN ['unclear'] END AS reasons,
+               CASE WHEN event_type = 'view' THEN event_type END AS comment FROM events""",
+    "v_rating_events": """
+        SELECT user_id, event_id % 20 AS answer_id, event_id AS seq,
+               CASE WHEN event_type IN ('purchase', 'error', 'signup') THEN CASE WHEN event_id % 3 = 0 THEN 'source' ELSE 'answer' END
+                 WHEN event_type = 'view' THEN 'reasons' ELSE 'comment' END AS kind,
+               CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' END AS rating,
+               event_id % 4 AS number, 'unclear,' || event_id AS reasons, 'comment ' || event_id AS comment FROM events""",
 }

@@ -59,8 +59,9 @@ def differences(spark, con, name, function, sql, sf):
             kinds.append(f"{field.name}: {spark_kind} / {duck_kind}")
     note = f" [types differ: {kinds}]" if kinds else ""
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:2]
-        only_b = [r for r in b if r not in set(a)][:2]
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:2]
+        only_b = [r for r in b if r not in in_a][:2]
         return f"{len(a)} vs {len(b)} rows; spark {only_a}; sql {only_b}{note}"[:1500], len(got)
     if kinds:
         return note.strip(), len(got)
