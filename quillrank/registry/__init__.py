@@ -43,8 +43,9 @@ def with_views(body: str) -> str:
         return body.strip()
     parts = [f"{name} AS ({VIEWS[name].strip()})" for name in needed]
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head) :]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

@@ -1 +1,129 @@
+"""Queries of request limits and of answers in pieces."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillrank.operators import answers as an
+from quillrank.operators import limits as lim
+from quillrank.registry import query
+from quillrank.sources import views as v
+from quillrank.streaming.limits import rate_limit_stream
+from quillrank.streaming.runs import run_to_end
+
+HOUR, DAY = 3_600_000, 86_400_000
+LIMITS = [(1, HOUR), (5, DAY)]
+SAVE_LIMITS = [(3, HOUR), (10, DAY)]
+TOTAL_LIMITS = [(150, DAY)]
+
+
+def log(spark, sf, amount=None):
+    return v.events(spark, sf).select(
+        F.col("user_id").alias("client"),
+        "now_ms",
+        F.col("event_id").alias("id"),
+        (F.lit(1).cast("long") if amount is None else amount).alias("amount"),
+    )
+
+
+def fold_sql(first: int, second: int, amount: str) -> str:
+    """A request-by-request recursion over each client's log with an hour's and a day's limit."""
+    return f"""
+    WITH RECURSIVE log AS (SELECT user_id AS client, event_id AS id, now_ms, {amount} AS amount,
+        row_number() OVER (PARTITION BY user_id ORDER BY now_ms, event_id) AS rn FROM v_events),
+    fold AS (
+      SELECT client, rn, id, now_ms, amount, CAST(0 AS BIGINT) AS before1, CAST(0 AS BIGINT) AS before2,
+             now_ms + {HOUR} AS end1, now_ms + {DAY} AS end2, true AS passed, CAST(NULL AS BIGINT) AS wait FROM log WHERE rn = 1
+      UNION ALL
+      SELECT client, rn, id, now_ms, amount, before1, before2, end1, end2, before1 < {first} AND before2 < {second},
+             CASE WHEN before1 >= {first} OR before2 >= {second} THEN CAST(ceil(greatest(
+               CASE WHEN before1 >= {first} THEN end1 - now_ms ELSE 0 END, CASE WHEN before2 >= {second} THEN end2 - now_ms ELSE 0 END) / 1000) AS BIGINT) END
+      FROM (SELECT l.client, l.rn, l.id, l.now_ms, l.amount,
+                   CASE WHEN f.end1 <= l.now_ms THEN 0 ELSE f.before1 + CASE WHEN f.passed THEN f.amount ELSE 0 END END AS before1,
+                   CASE WHEN f.end2 <= l.now_ms THEN 0 ELSE f.before2 + CASE WHEN f.passed THEN f.amount ELSE 0 END END AS before2,
+                   CASE WHEN f.end1 <= l.now_ms THEN l.now_ms + {HOUR} ELSE f.end1 END AS end1,
+                   CASE WHEN f.end2 <= l.now_ms THEN l.now_ms + {DAY} ELSE f.end2 END AS end2
+            FROM fold f JOIN log l ON l.client = f.client AND l.rn = f.rn + 1))"""
+
+
+ROWS = " SELECT client, now_ms, id, passed, wait FROM fold"
+
+
+@query("rate_limit", fold_sql(1, 5, "CAST(1 AS BIGINT)") + ROWS)
+def rate_limit(spark, sf):
+    return lim.rate_limit(log(spark, sf), LIMITS).select("client", "now_ms", "id", "passed", "wait")
+
+
+@query("rate_limit_weighted", fold_sql(3, 10, "event_id % 4") + ROWS)
+def rate_limit_weighted(spark, sf):
+    return lim.rate_limit(log(spark, sf, F.col("event_id") % 4), SAVE_LIMITS).select(
+        "client", "now_ms", "id", "passed", "wait"
+    )
+
+
+@query("rate_limit_two_level", fold_sql(1, 5, "CAST(1 AS BIGINT)") + f""",
+    survivors AS (SELECT id, now_ms FROM fold WHERE passed),
+    opened AS (SELECT min(now_ms) AS s FROM survivors
+      UNION ALL SELECT (SELECT min(now_ms) FROM survivors x WHERE x.now_ms >= o.s + {DAY}) FROM opened o
+                WHERE EXISTS (SELECT 1 FROM survivors x WHERE x.now_ms >= o.s + {DAY})),
+    placed AS (SELECT v.id, v.now_ms, o.s, row_number() OVER (PARTITION BY o.s ORDER BY v.now_ms, v.id) AS n
+               FROM survivors v JOIN opened o ON v.now_ms >= o.s AND v.now_ms < o.s + {DAY})
+    SELECT f.client, f.now_ms, f.id, CASE WHEN NOT f.passed THEN 'client' WHEN p.n > 150 THEN 'total' END AS refused_by,
+           CASE WHEN NOT f.passed THEN f.wait WHEN p.n > 150 THEN CAST(ceil((p.s + {DAY} - p.now_ms) / 1000) AS BIGINT) END AS wait
+    FROM fold f LEFT JOIN placed p ON p.id = f.id""")
+def rate_limit_two_level(spark, sf):
+    return lim.two_level(log(spark, sf), LIMITS, TOTAL_LIMITS)
+
+
+@query("state_expiry", fold_sql(1, 5, "CAST(1 AS BIGINT)") + """
+    SELECT client, greatest(arg_max(end1, rn), arg_max(end2, rn)) AS until FROM fold GROUP BY client
+    HAVING greatest(arg_max(end1, rn), arg_max(end2, rn)) > (SELECT max(now_ms) - 43200000 FROM v_events)""")
+def state_expiry(spark, sf):
+    # The last time of the log is one row; half a day before it stands for the present.
+    last = v.events(spark, sf).agg(F.max("now_ms").alias("m")).first()["m"]
+    return lim.tracked_clients(log(spark, sf), LIMITS, F.lit(last - 43_200_000))
+
+
+@query("rate_limit_stream", fold_sql(1, 5, "CAST(1 AS BIGINT)") + ROWS)
+def rate_limit_streamed(spark, sf):
+    events = v.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
+    requests = stream.select(
+        F.col("user_id").alias("client"),
+        v.epoch_ms(F.col("ts")).alias("now_ms"),
+        F.col("event_id").alias("id"),
+        F.lit(1).cast("long").alias("amount"),
+    )
+    return run_to_end(spark, rate_limit_stream(requests, LIMITS), "rate-limit")
+
+
+# Answers ---------------------------------------------------------------------------------------
+
+
+def pieces(spark, sf):
+    """Documents in pieces of 50 characters."""
+    last = F.floor((F.length("text") - 1) / 50)
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0).cast("long"))))
+    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text", at.alias("seq")).select(
+        "answer_id", "seq", F.substring("text", (F.col("seq") * 50 + 1).cast("int"), F.lit(50)).alias("text")
+    )
+
+
+@query("stream_cap", """
+    SELECT answer_id, seq, left(text, 12000 - before) AS text FROM (
+      SELECT *, coalesce(CAST(sum(length(text)) OVER (PARTITION BY answer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
+      FROM v_pieces) WHERE before < 12000 AND text <> ''""")
+def stream_cap(spark, sf):
+    return an.stream_cap(pieces(spark, sf))
+
+
+@query("answer_assembly", r"""
+    WITH joined AS (SELECT answer_id, regexp_replace(string_agg(text, '' ORDER BY seq), '^\s+|\s+$', '', 'g') AS text FROM v_pieces GROUP BY answer_id)
+    SELECT d.doc_id AS answer_id, CASE WHEN d.doc_id % 13 = 0 THEN 'exhausted' WHEN coalesce(j.text, '') = '' THEN 'empty' END AS failed,
+           CASE WHEN d.doc_id % 13 <> 0 AND j.text <> '' THEN
+             CASE WHEN length(j.text) > 12000 THEN regexp_replace(left(j.text, 12000), '\s+$', '') || '…' ELSE j.text END END AS answer
+    FROM documents d LEFT JOIN joined j ON j.answer_id = d.doc_id""")
+def answer_assembly(spark, sf):
+    finish = F.when(F.col("doc_id") % 13 == 0, F.lit("length")).otherwise(F.lit("stop"))
+    finishes = v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), finish.alias("finish"))
+    return an.assemble(pieces(spark, sf), finishes)

@@ -258,4 +258,7 @@ VIEWS = {
                  WHEN event_type = 'view' THEN 'reasons' ELSE 'comment' END AS kind,
                CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' END AS rating,
                event_id % 4 AS number, 'unclear,' || event_id AS reasons, 'comment ' || event_id AS comment FROM events""",
+    "v_pieces": """
+        SELECT doc_id AS answer_id, seq, substr(text, seq * 50 + 1, 50) AS text
+        FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 1) // 50, 0) + 1)) AS seq FROM documents)""",
 }
