@@ -42,14 +42,19 @@ def parse_diseases(replies: DataFrame, key: str) -> DataFrame:
 
 
 def model_replies(
-    prompts: DataFrame, key: str, generate: Callable[[list[str]], list[str]], text: str = "text"
+    prompts: DataFrame,
+    key: str,
+    generate: Callable[[list[str]], list[str]],
+    text: str = "text",
+    wrap: str | None = "case",
 ) -> DataFrame:
-    """(key, reply, error) of a caller's batch model for ``<case>`` prompts.
+    """(key, reply, error) of a caller's batch model, for texts inside ``wrap`` tags.
 
     A batch that fails gives rows with ``error`` set, so one bad call does not lose the others.
     """
     key_type = prompts.schema[key].dataType.simpleString()
-    asked = prompts.select(key, F.concat(F.lit("<case>\n"), F.col(text), F.lit("\n</case>")).alias("prompt"))
+    tagged = F.col(text) if wrap is None else F.concat(F.lit(f"<{wrap}>\n"), F.col(text), F.lit(f"\n</{wrap}>"))
+    asked = prompts.select(key, tagged.alias("prompt"))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -12,17 +12,8 @@ from quillrank.registry import query
 from quillrank.sources import requests as r
 from quillrank.sources import views as v
 
-LINES = r"""
-    WITH raw AS (SELECT reply_id, generate_subscripts(string_split(reply, chr(10)), 1) - 1 AS line_no, unnest(string_split(reply, chr(10))) AS line FROM v_replies),
-    cleaned AS (SELECT reply_id, line_no, trim(regexp_replace(regexp_replace(line, '^[\s*\-•#]*(\d+[.)])?\s*', ''), '\*\*|__', '', 'g')) AS line FROM raw),
-    kept AS (SELECT reply_id, line_no, line FROM cleaned
-             WHERE line <> '' AND line NOT LIKE '%:' AND NOT regexp_matches(line, '(?i)^none\W*$'))"""
-FIRSTS = """, firsts AS (SELECT reply_id, lower(item) AS l, min(line_no) AS line_no, arg_min(item, line_no) AS item FROM items GROUP BY ALL),
-    numbered AS (SELECT reply_id, item, row_number() OVER (PARTITION BY reply_id ORDER BY line_no) AS ord FROM firsts)
-    SELECT reply_id, ord, item FROM numbered WHERE ord <= 15"""
-
-
-@query("reply_lines", LINES + " SELECT reply_id, count(*) AS lines, string_agg(line, '|' ORDER BY line_no) AS text FROM kept GROUP BY ALL")
+@query("reply_lines", """
+    SELECT reply_id, count(*) AS lines, string_agg(line, '|' ORDER BY line_no) AS text FROM v_lines GROUP BY reply_id""")
 def reply_lines(spark, sf):
     found = r.replies(spark, sf).select("reply_id", words.reply_lines(F.col("reply")).alias("l"))
     return found.filter(F.size("l") > 0).select(
@@ -30,14 +21,12 @@ def reply_lines(spark, sf):
     )
 
 
-@query("parse_symptoms", LINES + ", items AS (SELECT reply_id, line_no, rtrim(left(line, 200)) AS item FROM kept)" + FIRSTS)
+@query("parse_symptoms", "SELECT reply_id, ord, item FROM v_parsed_symptoms")
 def parse_symptoms(spark, sf):
     return rep.parse_symptoms(r.replies(spark, sf), "reply_id")
 
 
-@query("parse_diseases", LINES + r""", named AS (SELECT reply_id, line_no,
-      rtrim(left(regexp_replace(line, '(?i)^(disease|diagnosis)\s*:\s*', ''), 200)) AS item FROM kept),
-    items AS (SELECT * FROM named WHERE item <> '' AND NOT regexp_matches(item, '(?i)^no\b'))""" + FIRSTS)
+@query("parse_diseases", "SELECT reply_id, ord, item FROM v_parsed_diseases")
 def parse_diseases(spark, sf):
     return rep.parse_diseases(r.replies(spark, sf), "reply_id")
 
@@ -234,23 +223,15 @@ def confirmed_text(spark, sf):
     return r.requests(spark, sf).select("conv_id", text.alias("confirmed"))
 
 
-SEARCH_QUERY = """
-    WITH asked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
-                                  FROM v_history WHERE role = 'user') WHERE n <= 2),
-    texts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS texts FROM asked GROUP BY ALL),
-    searched AS (SELECT q.conv_id, right(concat_ws(chr(10), t.texts, q.message), 8000) AS query, q.symptoms, q.diseases
-                 FROM v_requests q LEFT JOIN texts t USING (conv_id))"""
-
-
-@query("search_query", SEARCH_QUERY + " SELECT conv_id, query FROM searched")
+@query("search_query", "SELECT conv_id, query FROM v_searched")
 def search_query(spark, sf):
     return hist.search_query(r.history(spark, sf), r.requests(spark, sf), "conv_id")
 
 
-@query("confirmed_terms_union", SEARCH_QUERY + """
+@query("confirmed_terms_union", """
     SELECT conv_id, CASE WHEN coalesce(len(symptoms), 0) + coalesce(len(diseases), 0) > 0
       THEN left(array_to_string(list_concat(coalesce(symptoms, []), coalesce(diseases, [])), chr(10)), 8000) ELSE query END AS searched
-    FROM searched""")
+    FROM v_searched""")
 def confirmed_terms_union(spark, sf):
     asked = r.requests(spark, sf)
     found = hist.search_query(r.history(spark, sf), asked, "conv_id").join(asked, "conv_id")

@@ -1,4 +1,8 @@
-"""The views of ``quillrank.sources.views`` as SQL for the check."""
+"""The views of ``quillrank.sources`` as SQL for the check."""
+
+import re
+
+from quillrank.registry.clinical_sql import MATCHED
 
 VIEWS = {
     "v_passages": """
@@ -261,4 +265,100 @@ VIEWS = {
     "v_pieces": """
         SELECT doc_id AS answer_id, seq, substr(text, seq * 50 + 1, 50) AS text
         FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 1) // 50, 0) + 1)) AS seq FROM documents)""",
+    # Lists read from replies.
+    "v_lines": r"""
+        WITH raw AS (SELECT reply_id, generate_subscripts(string_split(reply, chr(10)), 1) - 1 AS line_no, unnest(string_split(reply, chr(10))) AS line FROM v_replies),
+        cleaned AS (SELECT reply_id, line_no, trim(regexp_replace(regexp_replace(line, '^[\s*\-•#]*(\d+[.)])?\s*', ''), '\*\*|__', '', 'g')) AS line FROM raw)
+        SELECT reply_id, line_no, line FROM cleaned
+        WHERE line <> '' AND line NOT LIKE '%:' AND NOT regexp_matches(line, '(?i)^none\W*$')""",
+    "v_symptom_items": "SELECT reply_id, line_no, rtrim(left(line, 200)) AS item FROM v_lines",
+    "v_disease_items": r"""
+        SELECT * FROM (SELECT reply_id, line_no, rtrim(left(regexp_replace(line, '(?i)^(disease|diagnosis)\s*:\s*', ''), 200)) AS item FROM v_lines)
+        WHERE item <> '' AND NOT regexp_matches(item, '(?i)^no\b')""",
+    "v_parsed_symptoms": """
+        SELECT reply_id, item, row_number() OVER (PARTITION BY reply_id ORDER BY line_no) AS ord FROM (
+          SELECT reply_id, lower(item) AS l, min(line_no) AS line_no, arg_min(item, line_no) AS item FROM v_symptom_items GROUP BY reply_id, lower(item))
+        QUALIFY ord <= 15""",
+    "v_parsed_diseases": """
+        SELECT reply_id, item, row_number() OVER (PARTITION BY reply_id ORDER BY line_no) AS ord FROM (
+          SELECT reply_id, lower(item) AS l, min(line_no) AS line_no, arg_min(item, line_no) AS item FROM v_disease_items GROUP BY reply_id, lower(item))
+        QUALIFY ord <= 15""",
+    # Retrieval for requests.
+    "v_searched": """
+        WITH asked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
+                                      FROM v_history WHERE role = 'user') WHERE n <= 2),
+        texts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS texts FROM asked GROUP BY ALL)
+        SELECT q.conv_id, right(concat_ws(chr(10), t.texts, q.message), 8000) AS query, q.symptoms, q.diseases
+        FROM v_requests q LEFT JOIN texts t USING (conv_id)""",
+    "v_question_replies": """
+        SELECT r.conv_id, r.reply_id, CASE WHEN r.conv_id % 10 = 9 THEN 'timeout' END AS error FROM v_replies r
+        JOIN (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY ALL) q
+        ON q.conv_id = r.conv_id AND q.turn = r.turn""",
+    "v_r_queries": """
+        SELECT s.conv_id AS query_id, e.embedding,
+               CASE WHEN coalesce(len(symptoms), 0) + coalesce(len(diseases), 0) > 0
+                 THEN left(array_to_string(list_concat(coalesce(symptoms, []), coalesce(diseases, [])), chr(10)), 8000) ELSE query END AS text
+        FROM v_searched s JOIN embeddings e ON e.vec_id = s.conv_id""",
+    "v_r_case_symptoms": """
+        SELECT i.conv_id AS case_id, i.ord AS symptom_ord, i.item AS symptom, e.embedding
+        FROM (SELECT conv_id, generate_subscripts(symptoms, 1) - 1 AS ord, unnest(symptoms) AS item FROM v_requests
+              UNION ALL SELECT q.conv_id, p.ord - 1, p.item FROM v_parsed_symptoms p JOIN v_question_replies q USING (reply_id)
+              JOIN v_requests r ON r.conv_id = q.conv_id WHERE q.error IS NULL AND r.symptoms IS NULL) i
+        JOIN embeddings e ON e.vec_id = (i.conv_id * 7 + i.ord * 3) % (SELECT count(*) FROM embeddings)""",
+    "v_r_diseases": """
+        SELECT conv_id AS case_id, unnest(diseases) AS disease FROM v_requests
+        UNION ALL SELECT q.conv_id, p.item FROM v_parsed_diseases p JOIN v_question_replies q USING (reply_id)
+        JOIN v_requests r ON r.conv_id = q.conv_id WHERE q.error IS NULL AND r.diseases IS NULL""",
+    "v_r_clinical": MATCHED.replace("v_diseases", "v_r_diseases")
+    + "SELECT r.case_id, r.remedy_id, r.rank FROM ranked r JOIN gate g USING (case_id) WHERE g.decisive",
+    "v_r_clinical_terms": MATCHED.replace("v_diseases", "v_r_diseases")
+    + """SELECT DISTINCT r.case_id, r.remedy_id, r.rank, m.term FROM ranked r JOIN gate g USING (case_id) JOIN matched m
+         ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE g.decisive AND r.rank <= 3""",
+    "v_r_priors": """
+        SELECT case_id AS query_id, 0 AS prior_ord, 'remedy:' || remedy_id AS subject, rank AS place
+        FROM v_r_case_ranked JOIN v_r_case_decisive USING (case_id) WHERE decisive
+        UNION ALL SELECT case_id, 1, 'remedy:' || remedy_id, rank FROM v_r_clinical""",
+    "v_r_best": """
+        SELECT * FROM (
+          SELECT query_id, book_id, id, subject, score, row_number() OVER (
+                   PARTITION BY query_id ORDER BY
+                     CASE WHEN dominated OR fused_rank <> first_rank THEN 1 ELSE 0 END,
+                     CASE WHEN dominated OR fused_rank <> first_rank THEN fused_rank ELSE place END) AS rank
+          FROM v_r_fused f JOIN v_r_dominated d USING (query_id) JOIN v_r_places s USING (query_id, subject)
+          WHERE dominated OR place <= 5) WHERE rank <= 5""",
+    "v_r_sources": """
+        WITH labelled AS (SELECT *, CASE WHEN len(aphorisms) = 1 THEN '§ ' || aphorisms[1]
+              WHEN len(aphorisms) > 1 AND aphorisms[2] = aphorisms[1] + 1 THEN '§§ ' || aphorisms[1] || '–' || aphorisms[-1]
+              WHEN len(aphorisms) > 1 THEN '§§ ' || array_to_string(aphorisms, ', ') END AS label FROM v_passages),
+        titled AS (SELECT *, array_to_string(list_concat(list_filter(sections, lambda s: s <> coalesce(section_group, '')),
+            CASE WHEN label IS NULL THEN CAST([] AS VARCHAR[]) ELSE [label] END), '; ') AS joined FROM labelled)
+        SELECT b.query_id, b.rank AS number, t.chunk_id, t.book_id, t.source_title AS book_title, t.author, t.remedy AS remedy_name,
+               CASE WHEN coalesce(section_group, '') <> '' AND joined <> '' THEN section_group || ': ' || joined
+                    WHEN coalesce(section_group, '') <> '' THEN section_group ELSE joined END AS section_title,
+               t.content AS text, b.score
+        FROM v_r_best b JOIN titled t ON t.id = b.id
+        UNION ALL
+        SELECT c.case_id, c.n + (SELECT count(*) FROM v_r_best x WHERE x.query_id = c.case_id), CAST(c.rubric_id AS VARCHAR), c.book_id,
+               coalesce(k.book_title, c.book_id), k.author, NULL, left(r.text, 500), c.text, 0
+        FROM v_r_case_sources c JOIN v_rubrics r ON r.id = c.rubric_id
+        LEFT JOIN (SELECT 'repertory0' AS book_id, 'Repertory of ' || r_name AS book_title, r_name AS author FROM region WHERE r_regionkey = 0) k
+          ON k.book_id = c.book_id""",
 }
+
+_SEARCH = ["v_dense", "v_query_terms", "v_sparse", "v_rankings", "v_fused", "v_dominated", "v_support", "v_places"]
+_CASES = [
+    "v_symptom_rubrics", "v_combined", "v_matches", "v_case_hits", "v_case_coverage", "v_case_decisive", "v_case_ranked",
+    "v_case_leaders", "v_case_best", "v_case_cited", "v_case_sources",
+]
+_RENAMED = [*_SEARCH, *_CASES, "v_queries", "v_priors", "v_case_symptoms"]
+
+
+def _for_requests(text: str) -> str:
+    """A view's text over the requests' queries and cases instead of the benchmark's."""
+    return re.sub(r"\bv_(\w+)\b", lambda m: f"v_r_{m[1]}" if m[0] in _RENAMED else m[0], text)
+
+
+for _name in [*_SEARCH, *_CASES]:
+    VIEWS[_for_requests(_name)] = _for_requests(VIEWS[_name])
+# Only decisive cases have leaders.
+VIEWS["v_r_case_leaders"] += " AND r.case_id IN (SELECT case_id FROM v_r_case_decisive WHERE decisive)"

@@ -112,3 +112,26 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
     )
     # The last number of an IPv4 address ends at 255, so larger users share one.
     return table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 256).select("event_id", address.alias("address"))
+
+
+def question_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored reply to each conversation's last question; every tenth call failed."""
+    last = _last_questions(spark, sf).select("conv_id", F.col("asked_at").alias("turn"))
+    failed = F.when(F.col("conv_id") % 10 == 9, F.lit("timeout"))
+    return replies(spark, sf).join(last, ["conv_id", "turn"]).select("conv_id", "reply", failed.alias("error"))
+
+
+def request_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, embedding) of what each request searches by."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+
+
+def symptom_vectors(spark: SparkSession, sf: str, symptoms: DataFrame) -> DataFrame:
+    """Symptoms (conv_id, ord, item) with a vector each, as (case_id, symptom_ord, symptom, embedding)."""
+    embeddings = table(spark, sf, "embeddings")
+    # The number of vectors is one row; the keys below stay within it.
+    total = embeddings.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    keyed = symptoms.withColumn("vec_id", (F.col("conv_id") * 7 + F.col("ord") * 3) % total)
+    return keyed.join(embeddings.select("vec_id", "embedding"), "vec_id").select(
+        F.col("conv_id").alias("case_id"), F.col("ord").alias("symptom_ord"), F.col("item").alias("symptom"), "embedding"
+    )
