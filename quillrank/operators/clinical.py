@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.fixed_values import INDECISIVE_TIES, LEADING_REMEDIES
 from quillrank.functions.words import term_words
-from quillrank.operators.ordered import rank_in_group, top_k
+from quillrank.operators.ordered import fixed_point, rank_in_group, top_k
 
-RARITY_DIGITS = 9
+RARITY_DIGITS = 12
 RANKING = [("count", True), ("rarity", True), ("popularity", True)]
 
 
@@ -28,18 +28,18 @@ def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
     words are tested on the pair.
     """
     asked = with_words(diseases, "disease").withColumnRenamed("words", "disease_words")
-    words = asked.select(F.explode("disease_words").alias("word"))
+    words = asked.select(F.explode_outer("disease_words").alias("word"))
     frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
     listed = with_words(terms, "text").withColumnRenamed("words", "term_words").withColumnRenamed("text", "term")
     keyed = (
-        listed.select("term", F.explode("term_words").alias("word"))
+        listed.select("term", F.explode_outer("term_words").alias("word"))
         .join(frequency, "word", "left")
         .groupBy("term")
         .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word")).alias("rare"))
         .select("term", F.col("rare.word").alias("word"))
     )
     return (
-        asked.withColumn("word", F.explode("disease_words"))
+        asked.withColumn("word", F.explode_outer("disease_words"))
         .join(listed.join(keyed, "term"), "word")
         .filter(F.size(F.array_except("term_words", "disease_words")) == 0)
         .drop("word", "disease_words", "term_words")
@@ -61,13 +61,12 @@ def popularity(terms: DataFrame) -> DataFrame:
 def scores(found: DataFrame) -> DataFrame:
     """Per case and remedy: matched terms that list it, and how few remedies those terms list.
 
-    A remedy that a term lists twice counts twice. The rarity is rounded, so that equal sums tie
-    whatever the order they were added in.
+    A remedy that a term lists twice counts twice. The rarity is in whole units of the twelfth digit.
     """
-    share = F.lit(1.0) / F.log(F.size("remedies") + F.lit(2.0))
+    share = fixed_point(F.lit(1.0) / F.log(F.size("remedies") + F.lit(2.0)), RARITY_DIGITS)
     listed = found.select("case_id", share.alias("share"), F.explode("remedies").alias("remedy_id"))
     return listed.groupBy("case_id", "remedy_id").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.sum("share"), RARITY_DIGITS).alias("rarity")
+        F.count(F.lit(1)).alias("count"), F.sum("share").alias("rarity")
     )
 
 

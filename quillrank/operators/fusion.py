@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.fixed_values import DIFFERENTIAL_REMEDIES, DOMINANT_SHARE, PRIOR_K, RRF_K
+from quillrank.operators.ordered import fixed_point
 
-SUPPORT_DIGITS = 9
-PRIOR_DIGITS = 12
+# Sums of several terms are kept in whole units of this digit.
+DIGITS = 12
 
 
 def union_rankings(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -53,13 +54,16 @@ def with_dominance(candidates: DataFrame, limit: int) -> DataFrame:
 
 
 def with_support(candidates: DataFrame) -> DataFrame:
-    """A subject's support: the sum of its best score in each collection, and its place by that."""
+    """A subject's support: the sum of its best score in each collection, and its place by that.
+
+    ``support`` is in whole units of the twelfth digit.
+    """
     subject = Window.partitionBy("query_id", "subject")
     in_book = Window.partitionBy("query_id", "subject", "book_id").orderBy("fused_rank")
     places = Window.partitionBy("query_id").orderBy(F.col("support").desc(), F.col("first_rank").asc())
     return (
         candidates.withColumn("_best", F.row_number().over(in_book) == 1)
-        .withColumn("support", F.round(F.sum(F.when(F.col("_best"), F.col("score"))).over(subject), SUPPORT_DIGITS))
+        .withColumn("support", F.sum(F.when(F.col("_best"), fixed_point(F.col("score"), DIGITS))).over(subject))
         .withColumn("first_rank", F.min("fused_rank").over(subject))
         .withColumn("support_rank", F.dense_rank().over(places).cast("long"))
         .drop("_best")
@@ -74,12 +78,16 @@ def with_priors(candidates: DataFrame, priors: DataFrame | None, k: int = PRIOR_
     """
     if priors is None:
         return candidates.withColumn("place", F.col("support_rank"))
-    lift = priors.groupBy("query_id", "subject").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("place"))).alias("_lift"))
-    score = F.lit(1.0) / (F.lit(k) + F.col("support_rank")) + F.coalesce(F.col("_lift"), F.lit(0.0))
+
+    def share(place):
+        return fixed_point(F.lit(1.0) / (F.lit(k) + place), DIGITS)
+
+    lift = priors.groupBy("query_id", "subject").agg(F.sum(share(F.col("place"))).alias("_lift"))
+    score = share(F.col("support_rank")) + F.coalesce(F.col("_lift"), F.lit(0).cast("long"))
     places = Window.partitionBy("query_id").orderBy(F.col("prior_score").desc(), F.col("support_rank").asc())
     return (
         candidates.join(lift, ["query_id", "subject"], "left")
-        .withColumn("prior_score", F.round(score, PRIOR_DIGITS))
+        .withColumn("prior_score", score)
         .withColumn("place", F.dense_rank().over(places).cast("long"))
         .drop("_lift")
     )

@@ -91,5 +91,6 @@ def confirmed_terms(rows: Column) -> Column:
 
 def compact_split(turns: DataFrame, key: str) -> DataFrame:
     """``kept`` marks the latest exchange; the other turns are the ones to condense."""
-    lengths = turns.groupBy(key).agg((F.max("turn") + 1).alias("_n"))
-    return turns.join(lengths, key).withColumn("kept", F.col("turn") >= F.col("_n") - fixed.KEPT_TURNS).drop("_n")
+    last = top_k(turns.select(key, "turn"), [key], [F.col("turn").desc()], fixed.KEPT_TURNS, "_place")
+    since = last.groupBy(key).agg(F.min("turn").alias("_since"))
+    return turns.join(since, key).withColumn("kept", F.col("turn") >= F.col("_since")).drop("_since")

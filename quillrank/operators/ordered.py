@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fixed_point(value: Column, digits: int) -> Column:
+    """A number in whole units of its last digit: such terms sum to the same in any order.
+
+    Doubles do not, and rows would tie in one run and not in the next.
+    """
+    return F.round(value * F.lit(float(10**digits))).cast("long")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their 1-based rank.
 

@@ -23,7 +23,8 @@ def distinct_keep_first(items: DataFrame, key: str, position: str, text: str, li
 
 def lines_of(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame:
     """(key, line_no, line) of each reply; lines keep their order but leave no gaps to fill."""
-    return replies.select(key, F.posexplode(words.reply_lines(F.col(reply))).alias("line_no", "line"))
+    lines = replies.select(key, F.posexplode_outer(words.reply_lines(F.col(reply))).alias("line_no", "line"))
+    return lines.filter(F.col("line").isNotNull())
 
 
 def parse_list(replies: DataFrame, key: str, of_line: Callable[[Column], Column], limit: int) -> DataFrame:

@@ -102,11 +102,10 @@ def rate_limit_streamed(spark, sf):
 
 def pieces(spark, sf):
     """Documents in pieces of 50 characters."""
-    last = F.floor((F.length("text") - 1) / 50)
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0).cast("long"))))
-    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text", at.alias("seq")).select(
-        "answer_id", "seq", F.substring("text", (F.col("seq") * 50 + 1).cast("int"), F.lit(50)).alias("text")
-    )
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,50}"), F.lit(0))
+    return v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("answer_id"), F.posexplode(cut).alias("seq", "text")
+    ).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("stream_cap", """
