@@ -21,7 +21,7 @@ def with_words(frame: DataFrame, text: str) -> DataFrame:
 
 
 def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
-    """(diseases' columns, term columns) of every disease and term it matches.
+    """The diseases' columns and the ``term``, the text of a term, for every term a disease matches.
 
     A term can only match a disease that has the term's rarest word, so that one word is the join
     key: a common word brings pairs together only for terms that have no rarer one. The remaining
@@ -30,7 +30,7 @@ def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
     asked = with_words(diseases, "disease").withColumnRenamed("words", "disease_words")
     words = asked.select(F.explode_outer("disease_words").alias("word"))
     frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
-    listed = with_words(terms, "text").withColumnRenamed("words", "term_words").withColumnRenamed("text", "term")
+    listed = with_words(terms.select("text"), "text").withColumnRenamed("words", "term_words").withColumnRenamed("text", "term")
     keyed = (
         listed.select("term", F.explode_outer("term_words").alias("word"))
         .join(frequency, "word", "left")
@@ -46,9 +46,10 @@ def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def case_terms(matched: DataFrame) -> DataFrame:
-    """Distinct terms over all diseases of a case."""
-    return matched.select("case_id", "term", "remedies").distinct()
+def case_terms(matched: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct terms over all diseases of a case, with the remedies they list."""
+    listed = terms.select(F.col("text").alias("term"), "remedies")
+    return matched.select("case_id", "term").distinct().join(listed, "term")
 
 
 def popularity(terms: DataFrame) -> DataFrame:
@@ -64,7 +65,10 @@ def scores(found: DataFrame) -> DataFrame:
     A remedy that a term lists twice counts twice. The rarity is in whole units of the twelfth digit.
     """
     share = fixed_point(F.lit(1.0) / F.log(F.size("remedies") + F.lit(2.0)), RARITY_DIGITS)
-    listed = found.select("case_id", share.alias("share"), F.explode("remedies").alias("remedy_id"))
+    # The share is taken before the remedies are exploded, so that no row carries them all.
+    listed = found.select("case_id", "remedies", share.alias("share")).select(
+        "case_id", "share", F.explode("remedies").alias("remedy_id")
+    )
     return listed.groupBy("case_id", "remedy_id").agg(
         F.count(F.lit(1)).alias("count"), F.sum("share").alias("rarity")
     )

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 def fixed_point(value: Column, digits: int) -> Column:
     """A number in whole units of its last digit: such terms sum to the same in any order.
 
-    Doubles do not, and rows would tie in one run and not in the next.
+    Doubles do not, and rows would tie in one run and not in the next. Half a unit is added before
+    ``floor``, as Spark's ``round`` of a double goes by way of a decimal for every row.
     """
-    return F.round(value * F.lit(float(10**digits))).cast("long")
+    return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -84,7 +84,7 @@ def retrieve(
     decisive = materialise(run.decisive, "decisive")
     ranked = rank_in_group(run.covered, ["case_id"], repertory.RANKING, [F.col("remedy_id").asc()])
 
-    listed = materialise(cl.case_terms(cl.matched_terms(diseases, terms)), "case-terms")
+    listed = materialise(cl.case_terms(cl.matched_terms(diseases, terms), terms), "case-terms")
     scored = materialise(cl.scores(listed), "clinical-scores")
     popular = cl.popularity(terms)
     clinical_gate = cl.decisive_match(scored)

@@ -17,8 +17,12 @@ def matched(spark, sf):
     return cl.matched_terms(v.diseases(spark, sf), v.clinical_terms(spark, sf))
 
 
+def case_terms(spark, sf):
+    return cl.case_terms(matched(spark, sf), v.clinical_terms(spark, sf))
+
+
 def scored(spark, sf):
-    return cl.scores(cl.case_terms(matched(spark, sf)))
+    return cl.scores(case_terms(spark, sf))
 
 
 @query("scan_clinical_terms", """
@@ -55,7 +59,7 @@ def term_containment(spark, sf):
 
 @query("matched_terms", MATCHED + "SELECT DISTINCT case_id, term FROM matched")
 def matched_terms(spark, sf):
-    return cl.case_terms(matched(spark, sf)).select("case_id", "term")
+    return case_terms(spark, sf).select("case_id", "term")
 
 
 @query("term_popularity", MATCHED + "SELECT remedy_id, popularity FROM popular")
@@ -96,7 +100,7 @@ def leading_clinical(spark, sf):
     SELECT DISTINCT r.case_id, r.remedy_id, r.rank, m.term FROM ranked r JOIN matched m
     ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE r.rank <= 3""")
 def remedy_terms(spark, sf):
-    found = cl.case_terms(matched(spark, sf))
+    found = case_terms(spark, sf)
     leaders = cl.first_remedies(cl.scores(found), cl.popularity(v.clinical_terms(spark, sf)))
     return cl.remedy_terms(leaders, found)
 

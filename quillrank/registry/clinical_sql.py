@@ -18,7 +18,7 @@ MATCHED = f"""
     matched AS (SELECT d.case_id, t.term, t.remedies FROM d JOIN t ON len(t.words) > 0 AND list_has_all(d.words, t.words)),
     popular AS (SELECT remedy_id, count(*) AS popularity FROM (SELECT unnest(remedies) AS remedy_id FROM v_clinical_terms) GROUP BY ALL),
     scored AS (SELECT case_id, remedy_id, count(*) AS count, CAST(sum(share) AS BIGINT) AS rarity FROM (
-      SELECT case_id, CAST(round(1.0::DOUBLE / ln(len(remedies) + 2) * 1e12) AS BIGINT) AS share, unnest(remedies) AS remedy_id
+      SELECT case_id, CAST(floor(1.0::DOUBLE / ln(len(remedies) + 2) * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS share, unnest(remedies) AS remedy_id
       FROM (SELECT DISTINCT case_id, term, remedies FROM matched)) GROUP BY ALL),
     ranked AS (SELECT s.*, p.popularity, row_number() OVER (
       PARTITION BY case_id ORDER BY count DESC, rarity DESC, popularity DESC, remedy_id) AS rank

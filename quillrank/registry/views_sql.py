@@ -85,7 +85,7 @@ VIEWS = {
           SELECT query_id, book_id, book_ord, id, subject, score,
                  row_number() OVER (PARTITION BY query_id, book_id ORDER BY score DESC, id) AS pos
           FROM (SELECT q.query_id, p.book_id, p.book_ord, p.id, p.subject,
-                       CAST(sum(CAST(round((p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / s.mean_len))) * t.idf * 1e9) AS BIGINT)) AS BIGINT) / 1e9::DOUBLE AS score
+                       CAST(sum(CAST(floor((p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / s.mean_len))) * t.idf * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) / 1e9::DOUBLE AS score
                 FROM v_query_terms q JOIN v_postings p USING (term)
                 JOIN v_term_stats t ON t.book_id = p.book_id AND t.term = p.term
                 JOIN v_book_stats s ON s.book_id = p.book_id
@@ -104,7 +104,7 @@ VIEWS = {
         FROM (SELECT query_id, subject, count(*) AS held FROM v_fused WHERE fused_rank <= 5 GROUP BY ALL) GROUP BY query_id""",
     "v_support": """
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, first_rank) AS support_rank
-        FROM (SELECT query_id, subject, CAST(sum(CAST(round(best * 1e12) AS BIGINT)) AS BIGINT) AS support, min(first_rank) AS first_rank
+        FROM (SELECT query_id, subject, CAST(sum(CAST(floor(best * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS support, min(first_rank) AS first_rank
               FROM (SELECT query_id, subject, book_id, max(score) AS best, min(fused_rank) AS first_rank
                     FROM v_fused GROUP BY ALL) GROUP BY ALL)""",
     # Two prior rankings of remedies for each query, by a rule.
@@ -115,8 +115,8 @@ VIEWS = {
     "v_places": """
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prior_score DESC, support_rank) AS place
         FROM (SELECT s.query_id, s.subject, s.support_rank, s.first_rank,
-                     CAST(round(1.0::DOUBLE / (10 + s.support_rank) * 1e12) AS BIGINT) + coalesce(p.lift, 0) AS prior_score
-              FROM v_support s LEFT JOIN (SELECT query_id, subject, CAST(sum(CAST(round(1.0::DOUBLE / (10 + place) * 1e12) AS BIGINT)) AS BIGINT) AS lift
+                     CAST(floor(1.0::DOUBLE / (10 + s.support_rank) * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT) + coalesce(p.lift, 0) AS prior_score
+              FROM v_support s LEFT JOIN (SELECT query_id, subject, CAST(sum(CAST(floor(1.0::DOUBLE / (10 + place) * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS lift
                                           FROM v_priors GROUP BY ALL) p
               ON p.query_id = s.query_id AND p.subject = s.subject)""",
     "v_best": """

@@ -182,7 +182,7 @@ def test_matches_terms_whose_words_are_all_there(spark):
 )
 def test_ranks_by_terms_rarity_and_popularity(spark, named, expected):
     listed = terms(spark, *ASTHMA)
-    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, *named), listed)))
+    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, *named), listed), listed))
     found = cl.ranking(scored, cl.popularity(listed)).orderBy("rank").collect()
     assert [r.remedy_id for r in found] == expected
 
@@ -195,7 +195,7 @@ def test_decisive_match(spark, named, expected):
         ("asthma, bronchial", ["nat-s"]),
         ("hay fever", ["sabad"]),
     )
-    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, named), listed)))
+    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, named), listed), listed))
     assert cl.decisive_match(scored).first()["decisive"] is expected
     assert cl.decisive_match(scored.limit(0)).count() == 0
 
