@@ -49,6 +49,16 @@ def save_delta(stored: DataFrame, stored_messages: DataFrame, incoming: DataFram
     return added.unionByName(removed)
 
 
+def apply_delta(stored_messages: DataFrame, incoming: DataFrame, delta: DataFrame) -> DataFrame:
+    """The messages after a save; written by chat or user with dynamic partition overwrite."""
+    keys = ["chat_id", "turn"]
+    gone = delta.filter(F.col("action") == "delete").select(keys)
+    new = incoming.join(delta.filter(F.col("action") == "set").select(keys), keys, "left_semi")
+    # A set replaces what may still lie at its place, as when a head counts too few messages.
+    replaced = gone.unionByName(new.select(keys))
+    return stored_messages.join(replaced, keys, "left_anti").unionByName(new)
+
+
 def new_messages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """How many messages each save writes, which is what it counts against the save limit."""
     lengths = incoming.groupBy("chat_id").agg((F.max("turn") + 1).alias("new_count"))

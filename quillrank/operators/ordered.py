@@ -22,7 +22,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
     The filter on ``row_number`` becomes a limit per group on the map side, so a hot group sends at
     most ``k`` rows from each task. That rule covers ``k`` up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 by default).
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 by default); raise it for larger ``k``.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)

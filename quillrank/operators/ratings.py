@@ -19,6 +19,12 @@ def split_feedback_id(feedback: DataFrame) -> DataFrame:
     )
 
 
+def feedback_of_chat(feedback: DataFrame, chat_id: str) -> DataFrame:
+    """One chat's feedback: the prefix reaches the scan, and other chats it also fits are dropped."""
+    listed = split_feedback_id(feedback.filter(F.col("feedback_id").startswith(f"{chat_id}-")))
+    return listed.filter(F.col("chat_id") == chat_id)
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the greatest ``order`` of each key: a later save replaces an earlier one."""
     rest = [name for name in rows.columns if name not in keys]

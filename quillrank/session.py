@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, name: str = "quillr
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Limits of a few thousand requests are cut per client before the shuffle as well.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
         .config("spark.driver.memory", os.environ.get("QUILLRANK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

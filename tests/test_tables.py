@@ -172,3 +172,41 @@ def test_the_total_is_not_used_by_refused_clients(spark):
 def test_idle_clients_are_forgotten(spark):
     log = spark.createDataFrame([("a", 0, 0, 1), ("b", 500, 1, 1)], "client string, now_ms long, id long, amount long")
     assert [r.client for r in lim.tracked_clients(log, [(1, 1_000)], F.lit(1_000)).collect()] == ["b"]
+
+
+def test_apply_delta(spark):
+    heads = spark.createDataFrame([(1, 2), (2, 3)], "chat_id long, message_count long")
+    columns = "chat_id long, turn long, text string"
+    stored = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "x"), (2, 1, "y"), (2, 2, "z"), (4, 0, "other")], columns)
+    incoming = spark.createDataFrame([(1, 0, "changed"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x")], columns)
+    after = ch.apply_delta(stored, incoming, ch.save_delta(heads, stored, incoming))
+    assert sorted(map(tuple, after.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x"), (4, 0, "other")]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_chats_feedback_is_read_by_its_prefix(spark, tmp_path):
+    rows = [("a-1",), ("a-b-2",), ("ab-3",), ("a-x",)]
+    spark.createDataFrame(rows, "feedback_id string").write.parquet(f"{tmp_path}/f")
+    found = rt.feedback_of_chat(spark.read.parquet(f"{tmp_path}/f"), "a")
+    assert [(r.chat_id, r.message_id) for r in found.collect()] == [("a", 1)]
+    assert "StringStartsWith(feedback_id,a-)" in plan_of(found)
+
+
+def test_books_are_read_by_their_folder(spark, tmp_path):
+    rows = [("b1", 1, "x"), ("b2", 2, "y"), ("b2", 3, "z")]
+    src.write_passages(spark.createDataFrame(rows, "book_id string, id long, content string"), f"{tmp_path}/p")
+    found = src.read_passages(spark, f"{tmp_path}/p", ["b2"]).select("id")
+    assert sorted(r.id for r in found.collect()) == [2, 3]
+    plan = plan_of(found)
+    assert "PartitionFilters: [isnotnull(book_id" in plan and "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    from quillrank.operators.ordered import top_k
+
+    frame = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    plan = plan_of(top_k(frame, ["g"], [F.col("id").asc()], 5))
+    assert plan.count("WindowGroupLimit") == 2
