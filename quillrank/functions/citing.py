@@ -10,7 +10,7 @@ from quillrank.functions.fixed_values import CITATION_LABEL, MAX_CITED_RANGE
 
 def _whole(text: Column) -> Column:
     # A number too long for a bigint is no source's number; it is dropped.
-    return F.expr("cast(null as bigint)") if text is None else F.trim(text).try_cast("bigint")
+    return F.trim(text).try_cast("bigint")
 
 
 def numbers_of(label: Column) -> Column:

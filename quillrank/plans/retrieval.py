@@ -46,7 +46,7 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, limit: int, priors: D
     Only keys are ranked; the payload is joined to the winners at the end.
     """
     best = fusion.select_best(search_candidates(queries, passages, limit, priors), limit)
-    keys = best.select("query_id", "rank", "book_id", "id", "score")
+    keys = materialise(best.select("query_id", "rank", "book_id", "id", "score"), "best")
     payload = passages.drop("embedding", "subject", "book_ord")
     return fetch_payloads(keys, payload).select("query_id", "rank", *passage_source())
 

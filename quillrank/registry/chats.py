@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillrank.operators import chats as ch
 from quillrank.operators import ratings as rt
 from quillrank.registry import query
-from quillrank.sources import requests as r
 from quillrank.sources import views as v
 
 NOW_MS = 1_706_626_800_000  # 2024-01-30 15:00 UTC, within the event log

@@ -35,8 +35,13 @@ def passage_source(score: Column | None = None) -> list[Column]:
 
 
 def fetch_payloads(best: DataFrame, passages: DataFrame, strict: bool = True) -> DataFrame:
-    """The payload of the winners only. A winner without one is an error, or a NULL if not strict."""
-    found = best.join(passages, ["book_id", "id"], "left")
+    """The payload of the winners only. A winner without one is an error, or a NULL if not strict.
+
+    Passages are first cut to the winners: when those are few, their keys go to the passages, and no
+    text is shuffled but that of the winners. Give ``best`` as a table, so that its size is known.
+    """
+    keys = ["book_id", "id"]
+    found = best.join(passages.join(best.select(keys).distinct(), keys, "left_semi"), keys, "left")
     if not strict:
         return found
     missing = F.concat(F.lit("no payload for passage "), F.col("book_id"), F.lit("/"), F.col("id").cast("string"))
