@@ -61,7 +61,8 @@ class ClientWindows(StatefulProcessor):
 def rate_limit_stream(requests: DataFrame, limits: Limits, expire: bool = False) -> DataFrame:
     """A stream of requests (client, now_ms, id, amount) with ``passed`` and ``wait``.
 
-    Needs the RocksDB state store. With ``expire``, processing-time timers drop idle clients.
+    Needs the RocksDB state store. With ``expire``, processing-time timers drop idle clients. That
+    suits live requests under a repeating trigger; a run that is to end by itself waits for the timers.
     """
     return requests.groupBy("client").transformWithStateInPandas(
         statefulProcessor=ClientWindows(limits, expire),
