@@ -29,4 +29,4 @@ def load_all() -> None:
         importlib.import_module(f"quillrank.llm.{name}")
 
 
-MODULES = ["decontaminate", "host_rules", "url_filter", "site_templates"]
+MODULES = ["decontaminate", "host_rules", "url_filter", "site_templates", "language"]
