@@ -49,3 +49,12 @@ def add_columns(frame: DataFrame, kernel, added: T.StructType) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return frame.mapInArrow(run, schema)
+
+
+BROADCAST_BYTES = 32_000_000
+
+
+def small_enough(written: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its files are within ``limit``; else Spark shuffles both sides."""
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(written) if size <= limit else written
