@@ -7,7 +7,7 @@ Two passes over the pages, with one shuffle of small counts between them and one
    (host, hash); the counts are added up before the shuffle, so neither a hot host nor a hot subtree
    gathers its rows anywhere. A subtree recurs if ``least`` pages and ``share`` of the host's pages have it.
    A host has at most (average subtrees of a page) / share of those, which bounds its list.
-2. Pages are joined with their host's list (Spark broadcasts it if it is small, else splits skewed hosts)
+2. Pages are joined with their host's list (broadcast if its written size allows it, else a join whose skewed hosts Spark splits)
    and parsed again: recurring subtrees are deleted, then those that their tag, role or class names as menu,
    header, footer, sidebar, notice, advert, form or reader comments; scripts, styles and comments of the
    markup never count as text. What is left is cut into blocks.
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.llm.frames import add_columns, table, without
+from quillrank.llm.frames import add_columns, small_enough, table, without
 from quillrank.llm.registry import query
 from quillrank.llm.url_filter import url_host
+from quillrank.sources.shared import materialise
 
 LEAST = 4
 SHARE = 0.25
@@ -296,7 +297,7 @@ def extract_main_text(
 ) -> DataFrame:
     """The pages without html, with ``text`` (the main text) and ``n_chars``."""
     frame = without(pages, ["_site", "_host", "_recurring"]).withColumn("_site", F.xxhash64(url_host(F.col(url))))
-    lists = host_templates(frame, "_site", html, least, share)
+    lists = small_enough(materialise(host_templates(frame, "_site", html, least, share), "templates"))
     joined = frame.join(lists, F.col("_site") == F.col("_host"), "left").drop("_site", "_host")
 
     def kernel(batches):
