@@ -90,7 +90,7 @@ def scan_kernel(block: list[tuple[bytes, list[str]]], text: str):
                 plain = raw.translate(TABLE)
                 words = plain.split()
                 line = " " + b" ".join(words).decode("latin-1") + " "
-                matches = list(automaton.iter(line)) if words else []
+                matches = list(automaton.iter(line)) if words and block else []
                 items, hit = set(items_before or ()), set(before or ())
                 if matches:
                     # The k-th space of the line stands before word k.

@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     final = final.select(F.col("id").alias("_id"), F.col("print").alias("_its"), F.col("n").alias("n_shingles"), F.coalesce("label", "least", "id").alias("component_id"))
     final = materialise(final.distinct(), "components")
     results = ["n_shingles", "component_id"]
-    same = (F.col(key) == F.col("_id")) & (F.col("_print") == F.col("_its"))
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_its"))
     return without(docs, results).join(small_enough(final), same, "left").drop("_id", "_its", "_print")
 
 
