@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         labels = components(links.unionByName(more))
 
     final = member.join(labels, F.col("least") == F.col("node"), "left")
-    final = final.select(F.col("id").alias("_id"), F.col("print").alias("_its"), F.col("n").alias("n_shingles"), F.coalesce("label", "least", "id").alias("component_id"))
+    final = final.select(F.col("id").alias("_id"), F.col("print").alias("_its"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "least", "id")).alias("component_id"))
     final = materialise(final.distinct(), "components")
     results = ["n_shingles", "component_id"]
     same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_its"))
