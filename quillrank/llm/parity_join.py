@@ -11,8 +11,10 @@ A text is the set of 64-bit hashes of its distinct n-grams. Two sets of sizes n
    (pigeonhole), so they meet in an equi-join on (band, segment, parity word, count). K has some segments to spare:
    a set leaves out its lightest segments, those of at most p elements, as long as no more than the spare
    ones are that light; of what two sets agree on, both then keep at least one.
-3. In each group of the join every member is paired with the smallest only, never all with all. Pairs are
-   verified by their exact sets; linked members fall into components.
+3. Groups of a batch of rows are found where the batch is: its members are paired with the smallest of the batch,
+   and only that one goes on, in packed blocks by hash of the key, to be paired with the smallest of all. So
+   a group of any size sends one entry per batch. Never is all paired with all. Pairs are verified by their
+   exact sets; linked members fall into components.
 4. Groups whose members are then still in different components are joined within themselves, across components
    only. Each set has a 512-bit parity sketch, one bit flipped per element, so that the Hamming distance
    of two sketches is at most the number of elements in which the sets differ: pairs further apart than a
@@ -44,6 +46,7 @@ from quillrank.sources.shared import materialise
 
 GROWTH = 1.6
 SKETCH_WORDS = 8
+BUCKET_KEYS = 2_000_000
 
 
 class Bands:
@@ -177,6 +180,84 @@ def summaries(text: str, words: int, percent: int):
     return kernel
 
 
+def batch_groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, start of each group of one key) of rows (id, keys), by key and id."""
+    lists = batch.column(1)
+    keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+    by = np.lexsort((ids, keys))
+    keys, ids = keys[by], ids[by]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    return keys, ids, np.flatnonzero(head)
+
+
+MEETS = "key long, id long, leader long"
+
+
+def meeting_rows(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """MEETS of the groups that have two members or more."""
+    sizes = np.diff(np.append(starts, len(keys)))
+    several = np.repeat(sizes > 1, sizes)
+    leaders = np.repeat(ids[starts], sizes)
+    columns = [pa.array(c[several]) for c in (keys.view(np.int64), ids, leaders)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "id", "leader"])
+
+
+def meet_in_batch(batches):
+    for batch in batches:
+        yield meeting_rows(*batch_groups(batch))
+
+
+def packed_firsts(buckets: int):
+    """Kernel: the smallest id of each key of a batch, packed per bucket of keys."""
+
+    def kernel(batches):
+        for batch in batches:
+            keys, ids, starts = batch_groups(batch)
+            keys, ids = keys[starts], ids[starts]
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            keys, ids, bucket = keys[by], ids[by], bucket[by]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a < b:
+                    base = int(ids[a:b].min())
+                    far = ids[a:b] - base
+                    far = far.astype(np.uint32) if far.max() < 1 << 32 else far
+                    rows.append((int(bucket[a]), base, keys[a:b].tobytes(), far.tobytes()))
+            names = ["bucket", "base", "keys", "far"]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=names)
+
+    return kernel
+
+
+def meet_in_bucket(blocks: pa.Table) -> pa.Table:
+    keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for base, packed, far in zip(*(blocks.column(c).to_pylist() for c in ("base", "keys", "far")), strict=True):
+        keys.append(np.frombuffer(packed, np.uint64))
+        wide = np.uint32 if 2 * len(far) == len(packed) else np.int64
+        ids.append(np.frombuffer(far, wide).astype(np.int64) + base)
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    by = np.lexsort((ids, keys))
+    keys, ids = keys[by], ids[by]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    return pa.Table.from_batches([meeting_rows(keys, ids, np.flatnonzero(head))])
+
+
+def meetings(firsts: DataFrame) -> DataFrame:
+    """MEETS: the members of every group of a key, each with a smaller member (its leader) or itself."""
+    spark = firsts.sparkSession
+    total = firsts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
+    packed = firsts.mapInArrow(packed_firsts(buckets), "bucket long, base long, keys binary, far binary")
+    across = packed.groupBy("bucket").applyInArrow(meet_in_bucket, MEETS)
+    return across.unionByName(firsts.mapInArrow(meet_in_batch, MEETS))
+
+
 def gram_lists(text: str, words: int):
     def kernel(batches):
         for batch in batches:
@@ -232,10 +313,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     known = materialise(add_columns(texts, summaries("text", words, percent), SUMMARY).drop("text"), "sketches")
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("least"))
     member = materialise(known.select("id", "print", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("id", "print", "n", "least"), "members")
-    firsts = known.join(classes, ["f1", "f2", "n"]).where("id = least")
-    keys = firsts.select("id", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    meets = materialise(keys.join(groups, "key"), "meets")
+    copies = member.where("id is null or least is null or id > least").select("id", "print").distinct()
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_its"))
+    copies = small_enough(materialise(copies.toDF("_id", "_its"), "copies"))
+    firsts = known.join(copies, same, "left_anti")
+    meets = materialise(meetings(firsts.select("id", "keys")), "meets")
 
     bits = materialise(firsts.select("id", "n", *[f"s{k}" for k in range(SKETCH_WORDS)]), "bits")
     star = meets.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -245,7 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = verify(star, texts, words, percent)
     labels = components(links)
 
-    labelled = meets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = meets.select("key", "id").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = materialise(labelled.select("key", "id", "label"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
     open_rows = materialise(labelled.join(mixed, "key").join(bits, "id"), "open")
