@@ -28,18 +28,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quillrank.llm.frames import add_columns, table
-from quillrank.llm.language import groups
 from quillrank.llm.registry import query
 from quillrank.llm.tokens import list_array, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-GROUP_CHARS = 3_000_000
-SLICE_BYTES = 600_000
+GROUP_CHARS = 2_000_000
+GROUP_IDS = 500_000
+SLICE_BYTES = 400_000
 NEVER = np.int32(1 << 30)
 END = 0xFF  # stands after each word; no UTF-8 text has it
 UNKNOWN = 1 << 19  # the piece of a character that has none
@@ -334,21 +335,41 @@ def vocabulary_of(path: str) -> Vocabulary:
 
 
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+DECODED = T.StructType([T.StructField("decoded", T.StringType()), T.StructField("ids_sha256", T.StringType())])
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """The documents with ``ids`` and ``n_tokens``."""
+def parts_of(sizes: np.ndarray, most: int):
+    """Ranges of consecutive rows of about ``most`` together, or one row that is larger."""
+    first, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        total += size
+        if total >= most or k == len(sizes) - 1:
+            yield first, k + 1
+            first, total = k + 1, 0
+
+
+def decoded_arrays(ids: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> list[pa.Array]:
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [pa.array(decode_ids(ids, counts, vocabulary), pa.string()), pa.array(digests, pa.string())]
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
+    """The documents with ``ids`` and ``n_tokens``; if ``decoded``, with what ``decode`` adds, in the same pass.
+
+    Rows leave in parts of about GROUP_CHARS characters, so that a worker's memory does not grow with the batch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(model))
 
     def kernel(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            parts = [encode_texts(part, shared.value) for part in groups(texts, GROUP_CHARS)]
-            counts = np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])
-            ids = np.concatenate([i for i, _ in parts] or [np.zeros(0, np.int32)])
-            yield batch, [list_array(ids, counts, pa.int32()), pa.array(counts, pa.int64())]
+            column = batch.column(batch.schema.get_field_index(text)).fill_null("")
+            for a, b in parts_of(pc.utf8_length(column).to_numpy(), GROUP_CHARS):
+                ids, counts = encode_texts(column.slice(a, b - a).to_pylist(), shared.value)
+                arrays = [list_array(ids, counts, pa.int32()), pa.array(counts, pa.int64())]
+                yield batch.slice(a, b - a), arrays + (decoded_arrays(ids, counts, shared.value) if decoded else [])
 
-    return add_columns(docs, kernel, ENCODED)
+    return add_columns(docs, kernel, T.StructType(ENCODED.fields + DECODED.fields) if decoded else ENCODED)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -358,14 +379,12 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
     def kernel(batches):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids)).fill_null([])
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            counts = np.diff(lists.offsets.to_numpy())
-            texts = decode_ids(flat, counts, shared.value)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield batch, [pa.array(texts, pa.string()), pa.array(digests, pa.string())]
+            for a, b in parts_of(np.diff(lists.offsets.to_numpy()), GROUP_IDS):
+                part = lists.slice(a, b - a)
+                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                yield batch.slice(a, b - a), decoded_arrays(flat, np.diff(part.offsets.to_numpy()), shared.value)
 
-    return add_columns(encoded, kernel, T.StructType([T.StructField("decoded", T.StringType()), T.StructField("ids_sha256", T.StringType())]))
+    return add_columns(encoded, kernel, DECODED)
 
 
 @query("op9_suffix_array_pieces")
@@ -373,6 +392,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    whole = decode(encode(docs))
+    whole = encode(docs, decoded=True)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
     return whole.select("doc_id", "n_tokens", "ids", "ids_sha256", same.alias("round_trip"))

@@ -51,6 +51,7 @@ def test_round_trip_of_messy_texts(spark, model):
     docs = messy.documents(spark)
     got = pieces.decode(pieces.encode(docs))
     rows = got.collect()
+    assert messy.by_row(got, "doc_id", "ids_sha256", "decoded") == messy.by_row(pieces.encode(docs, decoded=True), "doc_id", "ids_sha256", "decoded")
     assert len(rows) == docs.count() and {"SCORE", "n_words", "source"} <= set(got.columns)
     for r in rows:
         assert r["ids"] == model.encode(r["text"] or "") and r["n_tokens"] == len(r["ids"])
