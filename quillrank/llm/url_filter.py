@@ -149,11 +149,11 @@ def fit(labelled: DataFrame, url: str, accepted: str, order: int, fit_rows: int,
             )
 
     counted = sample.where(~F.col("held")).select("url", "accepted").mapInArrow(count, "context long, symbol int, yes long, no long")
-    rows = counted.groupBy("context", "symbol").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
+    rows = counted.groupBy("context", "symbol").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow().to_pandas()
     if len(rows) == 0 or rows.yes.sum() == 0 or rows.no.sum() == 0:
         return None, 0.0
     models = Models(order, rows.context.to_numpy().view(np.uint64), rows.symbol.to_numpy().astype(np.uint8), rows[["yes", "no"]].to_numpy(float))
-    held = scored(sample.where("held").select("url", "accepted"), "url", models, "score").select("accepted", "score").toPandas()
+    held = scored(sample.where("held").select("url", "accepted"), "url", models, "score").select("accepted", "score").toArrow().to_pandas()
     return models, best_threshold(held.score.to_numpy(float), held.accepted.to_numpy(bool))
 
 
