@@ -48,14 +48,16 @@ REASONS = ["wrong_remedy", "irrelevant_sources", "missing_information", "unclear
 ROLES = ["user", "assistant"]
 
 # Patterns.
-ID_PATTERN = "^[A-Za-z0-9_-]{1,64}$"
-LIST_MARKER = r"^[\s*\-•#]*(\d+[.)])?\s*"
+ID_PATTERN = r"^[A-Za-z0-9_-]{1,64}\z"
+# White space of the original's patterns, which is wider than that of Java's.
+BLANK = r"\s   -     　﻿"
+LIST_MARKER = rf"^[{BLANK}*\-•#]*(\d+[.)])?[{BLANK}]*"
 EMPHASIS = r"\*\*|__"
 NONE_LINE = r"(?i)^none\W*$"
-DISEASE_LABEL = r"(?i)^(disease|diagnosis)\s*:\s*"
+DISEASE_LABEL = rf"(?i)^(disease|diagnosis)[{BLANK}]*:[{BLANK}]*"
 NO_LINE = r"(?i)^no\b"
 QUESTION_REPLY = r"(?i)^\W*question\b"
-CITATION_LABEL = r"\[(\d+(?:\s*[,–-]\s*\d+)*)\](?!\()"
+CITATION_LABEL = rf"\[(\d+(?:[{BLANK}]*[,–-][{BLANK}]*\d+)*)\](?!\()"
 MAX_CITED_RANGE = 20
 
 # Fixed values: (limit, window in milliseconds) of each kind of request.

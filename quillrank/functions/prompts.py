@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import fixed_values as fixed
 from quillrank.functions.words import cut, strip
-from quillrank.operators.ordered import top_k
 
 
 def conversation_text(history: DataFrame, key: str, headers: DataFrame) -> DataFrame:
     """A summary, if there is one, and the turns, oldest first, as tagged lines: (key, conversation).
 
-    ``headers`` has (key, summary) and decides which keys are returned. A history has at most
-    MAX_HISTORY_TURNS turns; older ones are left out before anything is gathered.
+    ``headers`` has (key, summary) and decides which keys are returned. All turns are given: how long
+    a history may be is for ``validate_requests`` to say, before it comes here.
     """
-    recent = top_k(history, [key], [F.col("turn").desc()], fixed.MAX_HISTORY_TURNS, "_recent")
     line = F.format_string("<%s>%s</%s>", "role", "text", "role")
-    lines = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("_lines"))
+    lines = history.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("_lines"))
     turns = F.transform(F.coalesce("_lines", F.array().cast("array<struct<turn:bigint,line:string>>")), lambda t: t["line"])
     first = F.when(
         F.coalesce(F.col("summary"), F.lit("")) != "", F.array(F.format_string("<summary>%s</summary>", "summary"))

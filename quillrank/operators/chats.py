@@ -105,9 +105,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
     )
 
 
-def retain_newest(chats: DataFrame, quota: int, cap: int = MAX_LOCAL_CHATS) -> DataFrame:
-    """The newest chats of each user that fit the quota of bytes; ``too_large`` if not even one does."""
-    first = top_k(chats, ["user_id"], newest_first(), cap, "place")
+def retain_newest(chats: DataFrame, quota: int, cap: int = MAX_LOCAL_CHATS, saved: Column | None = None) -> DataFrame:
+    """The chats of each user that fit the quota of bytes; ``too_large`` if not even one does.
+
+    The chat just saved comes first, whatever its time, and then the newest.
+    """
+    front = [] if saved is None else [F.coalesce(saved, F.lit(False)).desc()]
+    first = top_k(chats, ["user_id"], [*front, *newest_first()], cap, "place")
     running = Window.partitionBy("user_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         first.withColumn("used", F.sum("bytes").over(running))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.words import strip
+
 
 def split_feedback_id(feedback: DataFrame) -> DataFrame:
     """The chat and the message of a ``chat-message`` id; ids without a numeric message are dropped.
 
     A chat's id may itself hold dashes, so only the last part is read as the message.
     """
-    pattern = r"^(.*)-(\d+)$"
+    pattern = r"^(.*)-(\d+)\z"
     return feedback.filter(F.col("feedback_id").rlike(pattern)).select(
         "*",
         F.regexp_extract("feedback_id", pattern, 1).alias("chat_id"),
@@ -46,7 +48,7 @@ def fold_ratings(events: DataFrame, keys: list[str]) -> DataFrame:
     """Current ratings of each answer from its events, in the order of ``seq``.
 
     An event has a ``kind``: ``answer`` sets or clears (NULL) the answer's rating, ``source`` that of
-    the source ``number``, ``reasons`` and ``comment`` set a note. Reasons go whenever the answer's
+    the source ``number``, ``reasons`` and ``comment`` set a note; a comment is trimmed, and blank is none. Reasons go whenever the answer's
     rating becomes other than down. Every part is the last of its kind, so the fold is a set of
     maxima: it combines before the shuffle and holds no list of events.
     """
@@ -65,7 +67,7 @@ def fold_ratings(events: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.col("a.rating").alias("rating"),
         F.when(stands, F.col("r.reasons")).alias("reasons"),
-        F.col("c.comment").alias("comment"),
+        F.nullif(strip(F.col("c.comment")), F.lit("")).alias("comment"),
     )
 
 

@@ -51,20 +51,28 @@ def model_replies(
 ) -> DataFrame:
     """(key, reply, error) of a caller's batch model, for texts inside ``wrap`` tags.
 
-    A batch that fails gives rows with ``error`` set, so one bad call does not lose the others.
+    A batch that fails is asked again prompt by prompt, so that only the prompts that fail by
+    themselves have ``error`` set.
     """
     key_type = prompts.schema[key].dataType.simpleString()
     tagged = F.col(text) if wrap is None else F.concat(F.lit(f"<{wrap}>\n"), F.col(text), F.lit(f"\n</{wrap}>"))
     asked = prompts.select(key, tagged.alias("prompt"))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        def ask(prompts: list[str]) -> tuple[list, list]:
             try:
-                replies, errors = list(generate(batch["prompt"].tolist())), [None] * len(batch)
-                if len(replies) != len(batch):
+                replies = list(generate(prompts))
+                if len(replies) != len(prompts):
                     raise ValueError("one reply per prompt is required")
+                return replies, [None] * len(prompts)
             except Exception as error:  # noqa: BLE001 - reported per row
-                replies, errors = [None] * len(batch), [f"{type(error).__name__}: {error}"] * len(batch)
+                if len(prompts) == 1:
+                    return [None], [f"{type(error).__name__}: {error}"]
+                each = [ask([prompt]) for prompt in prompts]
+                return [reply for (reply,), _ in each], [error for _, (error,) in each]
+
+        for batch in batches:
+            replies, errors = ask(batch["prompt"].tolist())
             yield pd.DataFrame({key: batch[key], "reply": replies, "error": errors})
 
     return asked.mapInPandas(call, f"`{key}` {key_type}, reply string, error string")

@@ -65,9 +65,13 @@ def is_nullable_text(value: Column, longest: int) -> Column:
     return is_kind(value, "VOID") | is_text(value, longest)
 
 
+# The greatest integer up to which doubles hold every integer.
+MAX_WHOLE = 9_007_199_254_740_991
+
+
 def is_whole(value: Column) -> Column:
     number = F.try_variant_get(value, "$", "double")
-    return kind(value).rlike(NUMBER) & (number == F.floor(number)) & (number >= 0)
+    return kind(value).rlike(NUMBER) & (number == F.floor(number)) & number.between(0, MAX_WHOLE)
 
 
 def is_one_of(value: Column, allowed: list[str]) -> Column:

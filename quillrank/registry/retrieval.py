@@ -57,9 +57,11 @@ def scan_passages(spark, sf):
 
 @query("fetch_payloads", """
     SELECT q.query_id, p.book_id, p.id, p.chunk_id, p.content FROM v_queries q
-    JOIN v_passages p ON p.id = (q.query_id * 3) % 200""")
+    JOIN v_passages p ON p.id = (q.query_id * 7919) % (SELECT count(*) FROM documents)""")
 def fetch_payloads(spark, sf):
-    winners = v.search_queries(spark, sf).select("query_id", ((F.col("query_id") * 3) % 200).alias("id"))
+    # The number of documents is one row; winners lie all over them.
+    total = v.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    winners = v.search_queries(spark, sf).select("query_id", ((F.col("query_id") * 7919) % total).alias("id"))
     keyed = winners.withColumn("book_id", F.concat(F.lit("book"), (F.col("id") % v.BOOKS).cast("string")))
     payload = v.passages(spark, sf).select("book_id", "id", "chunk_id", "content")
     return src.fetch_payloads(keyed, payload).select("query_id", "book_id", "id", "chunk_id", "content")
@@ -308,8 +310,8 @@ def citations(spark, sf):
 
 
 @query("oversize_sources", """
-    SELECT id % 50 AS query_id, max(length(content)) AS longest, bool_or(length(content) > 8000) AS rejected
+    SELECT id // 20 AS query_id, max(length(content)) AS longest, bool_or(length(content) > 8000) AS rejected
     FROM v_passages GROUP BY ALL""")
 def oversize_sources(spark, sf):
-    sources = v.passages(spark, sf).select((F.col("id") % 50).alias("query_id"), F.col("content").alias("text"))
+    sources = v.passages(spark, sf).select(F.floor(F.col("id") / 20).alias("query_id"), F.col("content").alias("text"))
     return src.oversize_queries(sources, MAX_CITATION_CHARS)

@@ -45,7 +45,7 @@ def parse_kind(spark, sf):
     return r.kind_replies(spark, sf).select("reply_id", words.parse_kind(F.col("reply")).alias("kind"))
 
 
-@query("model_replies")
+@query("model_replies", "SELECT conv_id * 1000 + turn AS reply_id, text AS reply, CAST(NULL AS VARCHAR) AS error FROM conversations")
 def model_replies(spark, sf):
     """A stand-in model that repeats the case, in place of a caller's."""
 
@@ -195,8 +195,7 @@ def json_shape(spark, sf):
 # Histories and prompts -------------------------------------------------------------------------
 
 CONVERSATION = """
-    WITH recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM v_history) WHERE n <= 20),
-    lines AS (SELECT conv_id, string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) ORDER BY turn) AS lines FROM recent GROUP BY ALL),
+    WITH lines AS (SELECT conv_id, string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) ORDER BY turn) AS lines FROM v_history GROUP BY ALL),
     conversation AS (SELECT h.conv_id, concat_ws(chr(10), CASE WHEN h.summary <> '' THEN '<summary>' || h.summary || '</summary>' END, l.lines) AS conversation
                      FROM v_requests h LEFT JOIN lines l USING (conv_id))"""
 

@@ -20,7 +20,7 @@ VIEWS = {
                CASE WHEN d.doc_id % 7 <> 5 THEN 'remedy:remedy-' || (d.doc_id % 41)
                     ELSE 'book:book' || (d.doc_id % 7) END AS subject,
                e.embedding
-        FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""",
+        FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)""",
     "v_queries": """
         SELECT b.item_id AS query_id, b.text, e.embedding
         FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id""",

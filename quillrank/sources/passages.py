@@ -62,7 +62,7 @@ def check_required(raw: DataFrame, texts: list[str], integers: list[str]) -> Dat
     Fields are strings as read. Any text or number serves as a text; an integer must be one.
     """
     tests = [F.when(F.col(name).isNull(), F.lit(f"no {name}")) for name in texts]
-    whole = r"^[+-]?\d+$"
+    whole = r"^[+-]?\d+\z"
     tests += [
         F.when(F.col(name).isNull() | ~F.col(name).rlike(whole), F.lit(f"no integer {name}")) for name in integers
     ]

@@ -28,9 +28,11 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    """documents x embeddings: seven books, the sixth without remedies."""
-    documents = table(spark, sf, "documents")
-    embeddings = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Every document, with a vector of ``embeddings`` in turn: seven books, the sixth without remedies."""
+    embeddings = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_vector"), "embedding")
+    # The number of vectors is one row; documents beyond it take them again from the first.
+    vectors = embeddings.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    documents = table(spark, sf, "documents").withColumn("_vector", F.col("doc_id") % max(1, vectors))
     book = F.col("doc_id") % BOOKS
     number = F.col("doc_id")
     book_id = F.concat(F.lit("book"), text_of(book))
@@ -41,7 +43,7 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
         .when(number % 3 == 1, F.array(number, number + 1))
         .otherwise(F.array(number, number + 4)),
     )
-    return documents.join(embeddings, "doc_id").select(
+    return documents.join(embeddings, "_vector", "left").select(
         book.alias("book_ord"),
         book_id.alias("book_id"),
         number.alias("id"),

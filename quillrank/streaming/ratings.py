@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillrank.streaming.answers import in_order
 
+WIDE_BLANKS = "\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 STATE = "rating string, reasons string, comment string"
 OUTPUT = "user_id long, answer_id long, seq long, rating string, reasons string, comment string, sources map<long,string>"
 
@@ -39,7 +40,7 @@ class Ratings(StatefulProcessor):
             elif event.kind == "reasons":
                 reasons = event.reasons
             else:
-                comment = event.comment
+                comment = (event.comment or "").strip(" \t\n\x0b\x0c\r" + WIDE_BLANKS) or None
         after = (rating, reasons, comment)
         self.main.update(after)
         for number in was.keys() - rated.keys():

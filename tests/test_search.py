@@ -44,6 +44,32 @@ def test_nearest_is_exact_over_many_blocks_with_copies(spark, monkeypatch):
     assert {(r.query_id, r.id, r.pos) for r in whole} == expected
 
 
+def test_nearest_meets_few_items_when_they_cluster(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ITEMS_PER_CENTROID", 40)
+    rng = np.random.default_rng(8)
+    heart = rng.normal(size=(12, 16))
+    items = np.repeat(heart, 60, axis=0) + rng.normal(size=(720, 16)) * 0.03
+    items[5] = 0  # without direction: scores 0 with everything
+    asked = heart + rng.normal(size=heart.shape) * 0.03
+    asked[3] = 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id long, embedding array<double>")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    scores = np.round(unit(asked) @ unit(items).T, 9)
+    found = nearest(queries, frame, 9, ["query_id"], ["id"], ties=["id"]).collect()
+    want = {(q, i, n + 1) for q in range(12) for n, i in enumerate(sorted(range(720), key=lambda i: (-scores[q, i], i))[:9])}
+    assert {(r.query_id, r.id, r.pos) for r in found} == want
+
+    centres = knn.centroids(frame, 720)
+    clusters = knn.Clusters(centres, knn.cluster_counts(knn.assigned(frame, ["id"], centres), []))
+    angles = clusters.angles(unit(asked))
+    some = np.arange(12) != 3
+    kth = np.sort(scores, axis=1)[:, -9]
+    met = clusters.seeds(angles, 9) | clusters.reaching(angles, kth, ~some)
+    pairs = (met * clusters.sizes.sum(axis=1)).sum(axis=1)
+    assert pairs[some].mean() < 0.2 * 720
+
+
 def test_bm25_with_and_without_pruning_is_brute_force(spark):
     rng = random.Random(5)
     common, rare = ["the", "of", "and"], [f"w{i}" for i in range(40)]
