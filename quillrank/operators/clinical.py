@@ -20,17 +20,22 @@ def with_words(frame: DataFrame, text: str) -> DataFrame:
     return frame.withColumn("words", term_words(F.col(text)))
 
 
+def numbered(frame: DataFrame, ordinal: str) -> DataFrame:
+    return frame if ordinal in frame.columns else frame.withColumn(ordinal, F.lit(0).cast("long"))
+
+
 def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
     """The diseases' columns and the ``term``, the text of a term, for every term a disease matches.
 
     A term can only match a disease that has the term's rarest word, so that one word is the join
     key: a common word brings pairs together only for terms that have no rarer one. The remaining
-    words are tested on the pair.
+    words are tested on the pair. A match has the order of its disease in the case and of its term in the
+    catalog, ``disease_ord`` and ``term_ord``, which are 0 where the input has none.
     """
-    asked = with_words(diseases, "disease").withColumnRenamed("words", "disease_words")
+    asked = with_words(numbered(diseases, "disease_ord"), "disease").withColumnRenamed("words", "disease_words")
     words = asked.select(F.explode_outer("disease_words").alias("word"))
     frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
-    listed = with_words(terms.select("text"), "text").withColumnRenamed("words", "term_words").withColumnRenamed("text", "term")
+    listed = with_words(numbered(terms, "term_ord").select("text", "term_ord"), "text").withColumnRenamed("words", "term_words").withColumnRenamed("text", "term")
     keyed = (
         listed.select("term", F.explode_outer("term_words").alias("word"))
         .join(frequency, "word", "left")
@@ -47,9 +52,10 @@ def matched_terms(diseases: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def case_terms(matched: DataFrame, terms: DataFrame) -> DataFrame:
-    """Distinct terms over all diseases of a case, with the remedies they list."""
+    """Distinct terms over all diseases of a case, with their first ``place`` and the remedies they list."""
     listed = terms.select(F.col("text").alias("term"), "remedies")
-    return matched.select("case_id", "term").distinct().join(listed, "term")
+    first = matched.groupBy("case_id", "term").agg(F.min(F.struct("disease_ord", "term_ord")).alias("place"))
+    return first.join(listed, "term")
 
 
 def popularity(terms: DataFrame) -> DataFrame:
@@ -95,6 +101,6 @@ def first_remedies(scored: DataFrame, popular: DataFrame, limit: int = LEADING_R
 
 
 def remedy_terms(leaders: DataFrame, found: DataFrame) -> DataFrame:
-    """The matched terms that list each leading remedy; a term once, however often it lists it."""
-    listed = found.select("case_id", "term", F.explode(F.array_distinct("remedies")).alias("remedy_id"))
+    """The matched terms that list each leading remedy, with their ``place``; a term once, however often it lists it."""
+    listed = found.select("case_id", "term", "place", F.explode(F.array_distinct("remedies")).alias("remedy_id"))
     return leaders.select("case_id", "remedy_id", "rank").join(listed, ["case_id", "remedy_id"])

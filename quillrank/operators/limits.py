@@ -10,14 +10,21 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.fixed_values import RATE_LIMITS
 from quillrank.operators.ordered import top_k
+from quillrank.sources.shared import materialise
 
 Limits = Sequence[tuple[int, int]]
 
 
+def limits_of(kind: str) -> Limits:
+    """The limits of a kind of request: chat, total, save or feedback."""
+    return RATE_LIMITS[kind]
+
+
 def check(windows: list[list[int]] | None, limits: Limits, now: int) -> list[list[int]]:
     """The client's windows as (count, end), with every one that is over opened anew at ``now``."""
     if windows is None:
@@ -103,15 +110,60 @@ def rate_limit(log: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
+def window_starts(requests: DataFrame, length: int) -> list[int]:
+    """When the windows of one sequence of requests open: at its first, and at the first after each is over.
+
+    One look-up for each window, so their number is bounded by the time that the log covers. The
+    requests are a written table sorted by time, of which a look-up reads the part it needs.
+    """
+    starts: list[int] = []
+    after = None
+    while True:
+        rest = requests if after is None else requests.filter(F.col("now_ms") >= after)
+        opened = rest.agg(F.min("now_ms").alias("s")).first()["s"]
+        if opened is None:
+            return starts
+        starts.append(opened)
+        after = opened + length
+
+
+def total_limit(requests: DataFrame, limit: int, length: int) -> DataFrame:
+    """(id, total, total_wait) of requests that all count in one window after another.
+
+    In a window requests pass until their amounts reach the limit. At most ``limit`` requests of a
+    positive amount can pass, so only the first so many of each window are looked at in order; where
+    they fill it decides for all others by comparison.
+    """
+    spark = requests.sparkSession
+    times = requests.select("now_ms").distinct().repartitionByRange("now_ms").sortWithinPartitions("now_ms")
+    starts = window_starts(materialise(times, "times"), length)
+    if not starts:
+        return requests.select("id", F.lit(True).alias("total"), F.lit(None).cast("long").alias("total_wait"))
+    # A window of this length lies in two steps of the clock, by which requests find it.
+    windows = spark.createDataFrame([(s,) for s in starts], "start long").withColumn(
+        "step", F.explode(F.array(F.floor(F.col("start") / length), F.floor(F.col("start") / length) + 1))
+    )
+    inside = (F.col("now_ms") >= F.col("start")) & (F.col("now_ms") < F.col("start") + length)
+    placed = materialise(requests.withColumn("step", F.floor(F.col("now_ms") / length)).join(windows, "step").filter(inside), "placed")
+    first = top_k(placed.filter(F.col("amount") > 0), ["start"], [F.col("now_ms").asc(), F.col("id").asc()], limit, "_place")
+    running = Window.partitionBy("start").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = first.withColumn("sum", F.sum("amount").over(running)).filter(F.col("sum") >= limit)
+    filled = filled.groupBy("start").agg(F.min(F.struct("now_ms", "id")).alias("full"))
+    known = placed.join(filled, "start", "left")
+    passed = F.col("full").isNull() | (F.struct("now_ms", "id") <= F.col("full"))
+    wait = F.ceil((F.col("start") + length - F.col("now_ms")) / 1000).cast("long")
+    return known.select("id", passed.alias("total"), F.when(~passed, wait).alias("total_wait"))
+
+
 def two_level(log: DataFrame, client_limits: Limits, total_limits: Limits) -> DataFrame:
-    """Clients' own limits first, then those of all clients together on what passed.
+    """Clients' own limits first, then that of all clients together on what passed.
 
-    A request the total refuses has already counted against its client. The total is one sequence:
-    its fold reads at most the largest limit of requests for each millisecond.
+    A request the total refuses has already counted against its client. The total has one window.
     """
+    ((limit, length),) = total_limits
     own = rate_limit(log, client_limits).withColumnRenamed("passed", "own").withColumnRenamed("wait", "own_wait")
-    rest = own.filter("own").select(F.lit("all").alias("client"), "now_ms", "id", "amount")
-    total = rate_limit(rest, total_limits).select("id", F.col("passed").alias("total"), F.col("wait").alias("total_wait"))
+    own = materialise(own, "own-limits")
+    total = total_limit(own.filter("own").select("now_ms", "id", "amount"), limit, length)
     refused = F.when(~F.col("own"), F.lit("client")).when(~F.col("total"), F.lit("total"))
     return (
         own.join(total, "id", "left")

@@ -121,7 +121,7 @@ def retrieve(
         F.col("case_id").alias("query_id"),
         F.col("rank").alias("leader_ord"),
         remedy_name(F.col("remedy_id")).alias("remedy_name"),
-        F.col("term").alias("matched_ord"),
+        F.struct("place", "term").alias("matched_ord"),
         F.col("term").alias("text"),
         F.lit(None).cast("long").alias("number"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.words import singular, term_words
@@ -97,12 +98,17 @@ def leading_clinical(spark, sf):
 
 
 @query("remedy_terms", MATCHED + """
-    SELECT DISTINCT r.case_id, r.remedy_id, r.rank, m.term FROM ranked r JOIN matched m
-    ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE r.rank <= 3""")
+    SELECT *, row_number() OVER (PARTITION BY case_id, remedy_id ORDER BY place) AS term_no FROM (
+      SELECT r.case_id, r.remedy_id, r.rank, m.term, min(m.disease_ord * 1000000000 + m.term_ord) AS place FROM ranked r JOIN matched m
+      ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE r.rank <= 3 GROUP BY ALL)""")
 def remedy_terms(spark, sf):
     found = case_terms(spark, sf)
     leaders = cl.first_remedies(cl.scores(found), cl.popularity(v.clinical_terms(spark, sf)))
-    return cl.remedy_terms(leaders, found)
+    place = F.col("place.disease_ord").cast("long") * 1_000_000_000 + F.col("place.term_ord")
+    # A remedy of a case has at most the terms that the case matches.
+    order = Window.partitionBy("case_id", "remedy_id").orderBy("place")
+    listed = cl.remedy_terms(leaders, found).withColumn("place", place)
+    return listed.withColumn("term_no", F.row_number().over(order).cast("long"))
 
 
 @query("clinical_match", MATCHED + """

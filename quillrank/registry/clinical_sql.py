@@ -13,9 +13,9 @@ WORDS = (
     + ")))"
 )
 MATCHED = f"""
-    WITH d AS (SELECT case_id, disease, {WORDS.format(t="disease")} AS words FROM v_diseases),
-    t AS (SELECT text AS term, remedies, {WORDS.format(t="text")} AS words FROM v_clinical_terms),
-    matched AS (SELECT d.case_id, t.term, t.remedies FROM d JOIN t ON len(t.words) > 0 AND list_has_all(d.words, t.words)),
+    WITH d AS (SELECT case_id, disease_ord, disease, {WORDS.format(t="disease")} AS words FROM v_diseases),
+    t AS (SELECT text AS term, term_ord, remedies, {WORDS.format(t="text")} AS words FROM v_clinical_terms),
+    matched AS (SELECT d.case_id, d.disease_ord, t.term_ord, t.term, t.remedies FROM d JOIN t ON len(t.words) > 0 AND list_has_all(d.words, t.words)),
     popular AS (SELECT remedy_id, count(*) AS popularity FROM (SELECT unnest(remedies) AS remedy_id FROM v_clinical_terms) GROUP BY ALL),
     scored AS (SELECT case_id, remedy_id, count(*) AS count, CAST(sum(share) AS BIGINT) AS rarity FROM (
       SELECT case_id, CAST(floor(1.0::DOUBLE / ln(len(remedies) + 2) * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS share, unnest(remedies) AS remedy_id

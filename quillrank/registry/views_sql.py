@@ -42,13 +42,13 @@ VIEWS = {
         SELECT o_custkey AS case_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS symptom_ord,
                o_orderkey AS rubric_id FROM orders""",
     "v_clinical_terms": """
-        SELECT text, list_sort(list(DISTINCT brand)) AS remedies FROM (
-          SELECT split_part(p_name, ' ', 2) AS text, lower(p_brand) AS brand FROM part
+        SELECT text, list_sort(list(DISTINCT brand)) AS remedies, min(o) AS term_ord FROM (
+          SELECT split_part(p_name, ' ', 2) AS text, lower(p_brand) AS brand, p_partkey * 2 AS o FROM part
           UNION ALL
-          SELECT split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1), lower(p_brand) FROM part)
+          SELECT split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1), lower(p_brand), p_partkey * 2 + 1 FROM part)
         GROUP BY text""",
     "v_diseases": """
-        SELECT c.c_custkey AS case_id,
+        SELECT c.c_custkey AS case_id, 0 AS disease_ord,
                CASE WHEN c.c_custkey % 3 = 0
                     THEN 'unnamed ' || substr(split_part(a.p_name, ' ', 2), 1, 2) || '-' || substr(split_part(a.p_name, ' ', 2), 3)
                     ELSE split_part(b.p_name, ' ', 1) || ' ' || split_part(a.p_name, ' ', 2) || 's of the '
@@ -306,14 +306,15 @@ VIEWS = {
               JOIN v_requests r ON r.conv_id = q.conv_id WHERE q.error IS NULL AND r.symptoms IS NULL) i
         JOIN embeddings e ON e.vec_id = (i.conv_id * 7 + i.ord * 3) % (SELECT count(*) FROM embeddings)""",
     "v_r_diseases": """
-        SELECT conv_id AS case_id, unnest(diseases) AS disease FROM v_requests
-        UNION ALL SELECT q.conv_id, p.item FROM v_parsed_diseases p JOIN v_question_replies q USING (reply_id)
+        SELECT conv_id AS case_id, generate_subscripts(diseases, 1) AS disease_ord, unnest(diseases) AS disease FROM v_requests
+        UNION ALL SELECT q.conv_id, p.ord, p.item FROM v_parsed_diseases p JOIN v_question_replies q USING (reply_id)
         JOIN v_requests r ON r.conv_id = q.conv_id WHERE q.error IS NULL AND r.diseases IS NULL""",
     "v_r_clinical": MATCHED.replace("v_diseases", "v_r_diseases")
     + "SELECT r.case_id, r.remedy_id, r.rank FROM ranked r JOIN gate g USING (case_id) WHERE g.decisive",
     "v_r_clinical_terms": MATCHED.replace("v_diseases", "v_r_diseases")
-    + """SELECT DISTINCT r.case_id, r.remedy_id, r.rank, m.term FROM ranked r JOIN gate g USING (case_id) JOIN matched m
-         ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE g.decisive AND r.rank <= 3""",
+    + """SELECT r.case_id, r.remedy_id, r.rank, m.term, min(m.disease_ord * 1000000000 + m.term_ord) AS place
+         FROM ranked r JOIN gate g USING (case_id) JOIN matched m
+         ON m.case_id = r.case_id AND list_contains(m.remedies, r.remedy_id) WHERE g.decisive AND r.rank <= 3 GROUP BY ALL""",
     "v_r_priors": """
         SELECT case_id AS query_id, 0 AS prior_ord, 'remedy:' || remedy_id AS subject, rank AS place
         FROM v_r_case_ranked JOIN v_r_case_decisive USING (case_id) WHERE decisive

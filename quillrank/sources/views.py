@@ -128,16 +128,15 @@ def rubric_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clinical_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """part: every noun, and every reversed name, with the brands that have it as remedies."""
+    """part: every noun, and every reversed name, with the brands that have it as remedies, in the order of parts."""
     words = F.split("p_name", " ")
     named = table(spark, sf, "part").select(
-        words[1].alias("noun"), F.concat(words[1], F.lit(", "), words[0]).alias("pair"), F.lower("p_brand").alias("brand")
+        "p_partkey", words[1].alias("noun"), F.concat(words[1], F.lit(", "), words[0]).alias("pair"), F.lower("p_brand").alias("brand")
     )
     return (
-        named.select(F.explode(F.array("noun", "pair")).alias("text"), "brand")
-        .distinct()
+        named.select(F.posexplode(F.array("noun", "pair")).alias("of", "text"), "brand", "p_partkey")
         .groupBy("text")
-        .agg(F.array_sort(F.collect_list("brand")).alias("remedies"))
+        .agg(F.array_sort(F.collect_set("brand")).alias("remedies"), F.min(F.col("p_partkey") * 2 + F.col("of")).alias("term_ord"))
     )
 
 

@@ -70,7 +70,7 @@ def test_nearest_meets_few_items_when_they_cluster(spark, monkeypatch):
     assert pairs[some].mean() < 0.2 * 720
 
 
-def test_bm25_with_and_without_pruning_is_brute_force(spark):
+def test_bm25_is_brute_force_with_and_without_a_stored_index(spark, tmp_path):
     rng = random.Random(5)
     common, rare = ["the", "of", "and"], [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(common, k=20) + rng.choices(rare, k=4)) for _ in range(150)]
@@ -100,9 +100,16 @@ def test_bm25_with_and_without_pruning_is_brute_force(spark):
                     scored.append((-score, i))
             expected[q, book] = [i for _, i in sorted(scored)[:k]]
 
-    terms, postings = bm25.query_terms(queries), bm25.build_postings(passages)
-    for direct in (bm25.DIRECT_ROWS, 0):
+    def results(frame):
         found = {key: [] for key in expected}
-        for r in bm25.bm25_topk(terms, postings, k, direct_rows=direct).orderBy("pos").collect():
+        for r in frame.orderBy("pos").collect():
             found[r.query_id, r.book_ord].append(r.id)
-        assert found == expected
+        return found
+
+    terms, postings = bm25.query_terms(queries), bm25.build_postings(passages)
+    assert results(bm25.bm25_topk(terms, postings, k)) == expected
+    path = str(tmp_path / "index")
+    bm25.write_index(passages, path)
+    stored = bm25.search_index(queries, path, k)
+    assert results(stored) == expected
+    assert "content" not in stored._jdf.queryExecution().toString()

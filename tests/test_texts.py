@@ -132,8 +132,62 @@ def test_short_texts(spark):
         ("direct", "direct"),
     ],
 )
-def test_client_key(address, key):
-    assert network.key_of(address) == key
+def test_client_key(spark, address, key):
+    frame = spark.createDataFrame([(address,)], "a string")
+    assert frame.select(network.client_key(F.col("a")).alias("k")).first()["k"] == key
+
+
+def test_client_key_agrees_with_the_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    texts = ["::", "::1", "1::", ":::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", "g::1", "12345::", ""]
+    texts += ["::ffff:1.2.3.4", "::FFFF:1.2.3.256", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "::ffff:1.2.3", "1.2.3.4", "fe80::1%eth0", ":1", "1:", "1:2", "::01.2.3.4"]
+    for _ in range(80):
+        groups = [format(rng.choice([0, 0, rng.randrange(65_536)]), rng.choice(["x", "X", "04x"])) for _ in range(8)]
+        texts.append(":".join(groups))
+        texts.append(str(ipaddress.IPv6Address(":".join(groups))))
+
+    def key(text):
+        try:
+            parsed = ipaddress.IPv6Address(text) if ":" in text and "%" not in text else None
+        except ValueError:
+            parsed = None
+        if parsed is None:
+            return text
+        if parsed.ipv4_mapped is not None:
+            return str(parsed.ipv4_mapped)
+        return ":".join(f"{int(g, 16):x}" for g in parsed.exploded.split(":")[:4]) + "::/64"
+
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "a string")
+    for row in frame.select("a", network.client_key(F.col("a")).alias("k")).collect():
+        assert row["k"] == (None if row["a"] is None else key(row["a"])), row
+
+
+@pytest.mark.parametrize("line", ["-\u00a0item", "\u20031)\u00a0item", "- item", "\ufeff* item"])
+def test_list_markers_before_wide_blanks(spark, line):
+    frame = spark.createDataFrame([(line,)], "r string")
+    assert frame.select(words.reply_lines(F.col("r")).alias("l")).first()["l"] == ["item"]
+
+
+def test_one_bad_prompt_fails_alone(spark):
+    def generate(asked):
+        if any("bad" in text for text in asked):
+            raise ValueError("no")
+        return [text.upper() for text in asked]
+
+    frame = spark.createDataFrame([(k, "bad" if k == 3 else f"case {k}") for k in range(6)], "k long, text string").coalesce(1)
+    found = {r["k"]: (r["reply"], r["error"]) for r in rep.model_replies(frame, "k", generate, wrap=None).collect()}
+    assert found[3] == (None, "ValueError: no")
+    assert all(found[k] == (f"CASE {k}", None) for k in range(6) if k != 3)
+
+
+def test_long_conversations_keep_all_turns(spark):
+    history = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(30)], "c long, turn long, role string, text string")
+    headers = spark.createDataFrame([(1, None)], "c long, summary string")
+    text = prompts.conversation_text(history, "c", headers).first()["conversation"]
+    assert text.split("\n") == [f"<user>t{t}</user>" for t in range(30)]
 
 
 def test_confirmed_text(spark):
