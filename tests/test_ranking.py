@@ -1,5 +1,8 @@
 """Coverage ranking, clinical ranking and the ordered helpers on small cases with known results."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,12 +97,10 @@ def test_standing_out(spark, scores, kept):
     assert [r.remedy_id for r in found] == [f"remedy-{i}" for i in range(kept)]
 
 
-WEEPING = [
-    [
-        ("Mind: weeping", [("pulsatilla", 3), ("natrum-muriaticum", 2)]),
-        ("Mind: weeping, alone", [("natrum-muriaticum", 3)]),
-    ],
-    [("Stomach: thirstless", [("pulsatilla", 3), ("gelsemium", 2)])],
+# Two symptoms. The second rubric of the first one grades birch higher than the first does; alder is in three.
+GARDEN = [
+    [("Leaf: yellow", [("alder", 2), ("birch", 1)]), ("Leaf: yellow, edges", [("birch", 2)]), ("Leaf: dry", [("alder", 1)])],
+    [("Root: soft", [("cedar-red", 1), ("alder", 2)])],
 ]
 
 
@@ -114,32 +115,24 @@ def leading(spark, symptoms, first_source=1, covered=None):
     )
 
 
-def test_leaders_cite_the_rubric_that_grades_them_highest(spark):
-    remedies, rubrics = leading(spark, WEEPING, 6)
-    assert remedies == [
-        ("Pulsatilla", 0, 6),
-        ("Pulsatilla", 1, 8),
-        ("Natrum muriaticum", 0, 7),
-        ("Gelsemium", 1, 8),
-    ]
-    assert rubrics == [
-        ("Mind: weeping", "Remedies and their grades: Pulsatilla (3), Natrum muriaticum (2)"),
-        ("Mind: weeping, alone", "Remedies and their grades: Natrum muriaticum (3)"),
-        ("Stomach: thirstless", "Remedies and their grades: Pulsatilla (3), Gelsemium (2)"),
-    ]
+def test_leaders_cite_their_best_rubric_of_each_symptom(spark):
+    remedies, rubrics = leading(spark, GARDEN, 4)
+    # Coverage: alder two symptoms, then birch (grade 2) before cedar (grade 1), with one each.
+    assert [r[0] for r in remedies] == ["Alder", "Alder", "Birch", "Cedar red"]
+    number = {(name, symptom): n for name, symptom, n in remedies}
+    titles = {4 + k: title for k, (title, _) in enumerate(rubrics)}
+    assert titles[number["Alder", 0]] == "Leaf: yellow" and titles[number["Birch", 0]] == "Leaf: yellow, edges"
+    assert number["Alder", 1] == number["Cedar red", 1] and titles[number["Alder", 1]] == "Root: soft"
+    assert dict(rubrics)["Root: soft"] == "Remedies and their grades: Alder (2), Cedar red (1)"
+    assert "Leaf: dry" not in titles.values()
 
 
 def test_cites_no_more_rubrics_than_it_may(spark):
-    _, _, hits = case(spark, WEEPING)
+    _, _, hits = case(spark, GARDEN)
     best = rep.best_rubrics(rep.standing_out(rep.coverage(hits)), hits)
-    numbered = rep.number_rubrics(best, 1, cap=1)
-    found = rep.matched_symptoms(best, numbered).orderBy("leader_ord", "symptom_ord").collect()
-    assert [(r.remedy_id, r.number) for r in found] == [
-        ("pulsatilla", 1),
-        ("pulsatilla", None),
-        ("natrum-muriaticum", None),
-        ("gelsemium", None),
-    ]
+    for cap in (1, 2, 9):
+        found = rep.matched_symptoms(best, rep.number_rubrics(best, 1, cap=cap)).collect()
+        assert len(found) == 4 and {r.number for r in found} - {None} == set(range(1, min(cap, 3) + 1))
 
 
 def test_lists_the_leaders_of_a_long_rubric_first(spark):
@@ -158,45 +151,48 @@ def diseases(spark, *names):
     return spark.createDataFrame([(1, name) for name in names], "case_id long, disease string")
 
 
-ASTHMA = [
-    ("asthma", ["ars", "ip", "nat-s", "sulph"]),
-    ("asthma, bronchial", ["nat-s"]),
-    ("eczema", ["graph", "sulph"]),
-    ("hay fever", ["sabad"]),
-]
-
-
-def test_matches_terms_whose_words_are_all_there(spark):
-    listed = terms(spark, *ASTHMA)
-    found = cl.matched_terms(diseases(spark, "Bronchial asthma"), listed)
-    assert sorted(r.term for r in found.collect()) == ["asthma", "asthma, bronchial"]
-    assert cl.matched_terms(diseases(spark, "fever"), listed).count() == 0
-
-
-@pytest.mark.parametrize(
-    ("named", "expected"),
-    [
-        (["bronchial asthma"], ["nat-s", "sulph", "ars", "ip"]),
-        (["asthma", "eczema"], ["sulph", "graph", "nat-s", "ars", "ip"]),
-    ],
-)
-def test_ranks_by_terms_rarity_and_popularity(spark, named, expected):
-    listed = terms(spark, *ASTHMA)
-    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, *named), listed), listed))
-    found = cl.ranking(scored, cl.popularity(listed)).orderBy("rank").collect()
-    assert [r.remedy_id for r in found] == expected
-
-
-@pytest.mark.parametrize(("named", "expected"), [("asthma", False), ("hay fever", True), ("bronchial asthma", True)])
-def test_decisive_match(spark, named, expected):
-    listed = terms(
-        spark,
-        ("asthma", ["ars", "ip", "kali-c", "nat-s", "spong"]),
-        ("asthma, bronchial", ["nat-s"]),
-        ("hay fever", ["sabad"]),
-    )
-    scored = cl.scores(cl.case_terms(cl.matched_terms(diseases(spark, named), listed), listed))
-    assert cl.decisive_match(scored).first()["decisive"] is expected
+def brute_clinical(named, listed):
+    """(matched terms, ranking) by sets: a term matches when its words are all among a disease's."""
+    words = lambda text: {w.strip(",") for w in text.split()}
+    matched = {t for t, _ in listed if any(words(t) <= words(d) for d in named)}
+    popular, count, rarity = {}, {}, {}
+    for term, remedies in listed:
+        for r in remedies:
+            popular[r] = popular.get(r, 0) + 1
+            if term in matched:
+                count[r] = count.get(r, 0) + 1
+                rarity[r] = rarity.get(r, 0) + math.floor(1 / math.log(len(remedies) + 2) * 1e12 + 0.5)
+    return matched, sorted(count, key=lambda r: (-count[r], -rarity[r], -popular[r], r))
+
+
+def test_clinical_ranking_is_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"word{chr(97 + k)}" for k in range(9)]
+    names = {", ".join(rng.sample(vocabulary, rng.randint(1, 3))) for _ in range(14)}
+    listed = [(name, sorted(rng.sample([f"r{k}" for k in range(7)], rng.randint(1, 5)))) for name in sorted(names)]
+    for _ in range(3):
+        named = [" ".join(rng.sample(vocabulary, rng.randint(2, 5))) for _ in range(2)]
+        found = cl.matched_terms(diseases(spark, *named), terms(spark, *listed))
+        matched, order = brute_clinical(named, listed)
+        assert {r.term for r in found.collect()} == matched
+        scored = cl.scores(cl.case_terms(found, terms(spark, *listed)))
+        ranking = cl.ranking(scored, cl.popularity(terms(spark, *listed))).orderBy("rank").collect()
+        assert [r.remedy_id for r in ranking] == order
+
+
+def test_terms_keep_the_order_of_diseases_and_catalog(spark):
+    listed = spark.createDataFrame([("zinc", ["x"], 0), ("amber", ["x"], 1), ("moss", ["x", "y"], 2)], "text string, remedies array<string>, term_ord long")
+    named = spark.createDataFrame([(1, 0, "old moss"), (1, 1, "amber zinc moss")], "case_id long, disease_ord long, disease string")
+    found = cl.case_terms(cl.matched_terms(named, listed), listed)
+    leaders = spark.createDataFrame([(1, "x", 1)], "case_id long, remedy_id string, rank long")
+    assert [r.term for r in cl.remedy_terms(leaders, found).orderBy("place").collect()] == ["moss", "zinc", "amber"]
+
+
+@pytest.mark.parametrize(("tied", "lead", "decisive"), [(5, 1, False), (4, 1, True), (9, 2, True), (1, 1, True)])
+def test_decisive_match(spark, tied, lead, decisive):
+    rows = [(1, f"r{k}", lead, 5) for k in range(tied)] + [(1, "behind", lead - 1, 9)] * (lead > 1)
+    scored = spark.createDataFrame(rows, "case_id long, remedy_id string, count long, rarity long")
+    assert cl.decisive_match(scored).first()["decisive"] is decisive
     assert cl.decisive_match(scored.limit(0)).count() == 0
 
 
