@@ -8,6 +8,8 @@ from quillrank.operators import chats as ch
 from quillrank.operators import ratings as rt
 from quillrank.registry import query
 from quillrank.sources import views as v
+from quillrank.streaming import ratings as stream_ratings
+from quillrank.streaming.runs import in_batches, run_to_end
 
 NOW_MS = 1_706_626_800_000  # 2024-01-30 15:00 UTC, within the event log
 
@@ -290,12 +292,15 @@ def rating_events(spark, sf):
     )
 
 
-@query("rating_fold", """
+FOLDED = """
     SELECT user_id, answer_id, arg_max({'r': rating}, seq) FILTER (WHERE kind = 'answer').r AS rating,
            CASE WHEN coalesce(max(seq) FILTER (WHERE kind = 'reasons') > max(seq) FILTER (WHERE kind = 'answer' AND rating IS DISTINCT FROM 'down'), true)
                 THEN arg_max(reasons, seq) FILTER (WHERE kind = 'reasons') END AS reasons,
            arg_max(comment, seq) FILTER (WHERE kind = 'comment') AS comment
-    FROM v_rating_events GROUP BY user_id, answer_id""")
+    FROM v_rating_events GROUP BY user_id, answer_id"""
+
+
+@query("rating_fold", FOLDED)
 def rating_fold(spark, sf):
     return rt.fold_ratings(rating_events(spark, sf), ["user_id", "answer_id"])
 
@@ -305,3 +310,15 @@ def rating_fold(spark, sf):
       FROM v_rating_events WHERE kind = 'source') WHERE n = 1 AND rating IS NOT NULL""")
 def source_rating_fold(spark, sf):
     return rt.fold_source_ratings(rating_events(spark, sf), ["user_id", "answer_id"])
+
+
+@query("rating_fold_stream", FOLDED)
+def rating_fold_streamed(spark, sf):
+    """The last state that the stream gave of each answer, over several micro-batches.
+
+    The stream says nothing of an answer whose events left it as it was; such answers have no ratings.
+    """
+    events, keys = rating_events(spark, sf), ["user_id", "answer_id"]
+    changes = run_to_end(spark, stream_ratings.fold_ratings(in_batches(events, "seq")), "ratings")
+    last = rt.latest(changes, keys, "seq").select(*keys, "rating", "reasons", "comment")
+    return events.select(*keys).distinct().join(last, keys, "left")

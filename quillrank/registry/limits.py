@@ -9,7 +9,8 @@ from quillrank.operators import limits as lim
 from quillrank.registry import query
 from quillrank.sources import views as v
 from quillrank.streaming.limits import rate_limit_stream
-from quillrank.streaming.runs import run_to_end
+from quillrank.streaming import answers as stream_answers
+from quillrank.streaming.runs import in_batches, run_to_end
 
 HOUR, DAY = 3_600_000, 86_400_000
 LIMITS = [(1, HOUR), (5, DAY)]
@@ -86,14 +87,8 @@ def state_expiry(spark, sf):
 
 @query("rate_limit_stream", fold_sql(1, 5, "CAST(1 AS BIGINT)") + ROWS)
 def rate_limit_streamed(spark, sf):
-    events = v.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
-    requests = stream.select(
-        F.col("user_id").alias("client"),
-        v.epoch_ms(F.col("ts")).alias("now_ms"),
-        F.col("event_id").alias("id"),
-        F.lit(1).cast("long").alias("amount"),
-    )
+    """Several micro-batches in the order of time, so that a client's rows of one are bounded."""
+    requests = in_batches(log(spark, sf), "now_ms", 4)
     return run_to_end(spark, rate_limit_stream(requests, LIMITS), "rate-limit")
 
 
@@ -108,21 +103,49 @@ def pieces(spark, sf):
     ).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("stream_cap", """
+CAPPED = """
     SELECT answer_id, seq, left(text, 12000 - before) AS text FROM (
       SELECT *, coalesce(CAST(sum(length(text)) OVER (PARTITION BY answer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
-      FROM v_pieces) WHERE before < 12000 AND text <> ''""")
+      FROM v_pieces) WHERE before < 12000 AND text <> ''"""
+
+
+@query("stream_cap", CAPPED)
 def stream_cap(spark, sf):
     return an.stream_cap(pieces(spark, sf))
 
 
-@query("answer_assembly", r"""
+ASSEMBLED = r"""
     WITH joined AS (SELECT answer_id, regexp_replace(string_agg(text, '' ORDER BY seq), '^\s+|\s+$', '', 'g') AS text FROM v_pieces GROUP BY answer_id)
     SELECT d.doc_id AS answer_id, CASE WHEN d.doc_id % 13 = 0 THEN 'exhausted' WHEN coalesce(j.text, '') = '' THEN 'empty' END AS failed,
            CASE WHEN d.doc_id % 13 <> 0 AND j.text <> '' THEN
              CASE WHEN length(j.text) > 12000 THEN regexp_replace(left(j.text, 12000), '\s+$', '') || '…' ELSE j.text END END AS answer
-    FROM documents d LEFT JOIN joined j ON j.answer_id = d.doc_id""")
+    FROM documents d LEFT JOIN joined j ON j.answer_id = d.doc_id"""
+
+
+@query("answer_assembly", ASSEMBLED)
 def answer_assembly(spark, sf):
     finish = F.when(F.col("doc_id") % 13 == 0, F.lit("length")).otherwise(F.lit("stop"))
     finishes = v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), finish.alias("finish"))
     return an.assemble(pieces(spark, sf), finishes)
+
+
+def ended_pieces(spark, sf):
+    """The pieces of documents, the last of each with the reason it ended; a document without text has one empty piece."""
+    finish = F.when(F.col("doc_id") % 13 == 0, F.lit("length")).otherwise(F.lit("stop"))
+    documents = v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text", finish.alias("finish"))
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,50}"), F.lit(0))
+    cut = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit("")))
+    placed = documents.select("answer_id", "finish", (F.size(cut) - 1).alias("last"), F.posexplode(cut).alias("seq", "text"))
+    ended = F.when(F.col("seq") == F.col("last"), F.col("finish"))
+    return placed.select("answer_id", F.col("seq").cast("long").alias("seq"), "text", ended.alias("finish"))
+
+
+@query("stream_cap_stream", CAPPED)
+def stream_cap_streamed(spark, sf):
+    return run_to_end(spark, stream_answers.stream_cap(in_batches(ended_pieces(spark, sf), "seq")), "cap")
+
+
+@query("answer_assembly_stream", ASSEMBLED)
+def answer_assembly_streamed(spark, sf):
+    assembled = run_to_end(spark, stream_answers.assemble(in_batches(ended_pieces(spark, sf), "seq")), "assembly")
+    return assembled.select("answer_id", "failed", "answer")
