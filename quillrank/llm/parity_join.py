@@ -140,17 +140,15 @@ SUMMARY = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("f1", T.LongType()),
         T.StructField("f2", T.LongType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
         *[T.StructField(f"s{k}", T.LongType()) for k in range(SKETCH_WORDS)],
     ]
 )
 
 
-def summaries(text: str, words: int, percent: int):
-    """Kernel: size, fingerprint, segment keys and parity sketch of each text's set."""
+def summaries(text: str, words: int):
+    """Kernel: size, fingerprint and parity sketch of each text's set."""
 
     def kernel(batches):
-        bands = Bands(percent)
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
             parts = []
@@ -164,98 +162,147 @@ def summaries(text: str, words: int, percent: int):
                         starts = (np.cumsum(sizes) - sizes)[has]
                         sums[has] = np.add.reduceat(mix(grams + np.uint64(seed)), starts)
                     prints.append(mix(sums + sizes.astype(np.uint64)).view(np.int64))
-                band = bands.of(np.maximum(sizes, 1))
-                keys, owners = segment_keys(grams, sizes, bands, sizes > 0, band)
-                below = bands.also_below(sizes, band) & (sizes > 0)
-                more, others = segment_keys(grams, sizes, bands, below, np.maximum(band - 1, 0))
-                keys, owners = np.concatenate([keys, more]), np.concatenate([owners, others])
-                by = np.argsort(owners, kind="stable")
-                counts = np.bincount(owners, minlength=b - a)
-                parts.append((sizes, *prints, keys[by].view(np.int64), counts, sketches(grams, sizes).view(np.int64)))
+                parts.append((sizes, *prints, sketches(grams, sizes).view(np.int64)))
             if not parts:
                 continue
-            sizes, one, two, keys, counts, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield batch, [pa.array(sizes), pa.array(one), pa.array(two), list_array(keys, counts, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)]]
+            sizes, one, two, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield batch, [pa.array(sizes), pa.array(one), pa.array(two), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)]]
 
     return kernel
 
 
-def batch_groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, ids, start of each group of one key) of rows (id, keys), by key and id."""
-    lists = batch.column(1)
-    keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-    by = np.lexsort((ids, keys))
-    keys, ids = keys[by], ids[by]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    return keys, ids, np.flatnonzero(head)
+def keys_of(texts: pa.Array, ids: np.ndarray, words: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) that the texts put forward, by key and id."""
+    data, offsets = text_bytes(texts)
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in slices(offsets):
+        grams, sizes = gram_sets(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), words)
+        band = bands.of(np.maximum(sizes, 1))
+        below = bands.also_below(sizes, band) & (sizes > 0)
+        for chosen, level in ((sizes > 0, band), (below, np.maximum(band - 1, 0))):
+            found, owner = segment_keys(grams, sizes, bands, chosen, level)
+            keys.append(found)
+            of.append(ids[owner + a])
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    by = np.lexsort((of, keys))
+    return keys[by], of[by]
 
 
 MEETS = "key long, id long, leader long"
+BLOCK = "bucket long, base long, keys binary, far binary, leaders binary"
+
+
+def group_starts(keys: np.ndarray) -> np.ndarray:
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(head)
 
 
-def meeting_rows(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """MEETS of the groups that have two members or more."""
+def meeting_rows(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, leaders) of the groups of two members or more; both sorted by key and id."""
+    starts = group_starts(keys)
     sizes = np.diff(np.append(starts, len(keys)))
     several = np.repeat(sizes > 1, sizes)
-    leaders = np.repeat(ids[starts], sizes)
-    columns = [pa.array(c[several]) for c in (keys.view(np.int64), ids, leaders)]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "id", "leader"])
+    return keys[several], ids[several], np.repeat(ids[starts], sizes)[several]
 
 
-def meet_in_batch(batches):
-    for batch in batches:
-        yield meeting_rows(*batch_groups(batch))
-
+def key_blocks(words: int, percent: int, buckets: int):
+    """Kernel over (id, text): BLOCKs of a batch's keys.
 
-def packed_firsts(buckets: int):
-    """Kernel: the smallest id of each key of a batch, packed per bucket of keys."""
+    The smallest id of each key goes to the key's bucket. The batch's own groups are complete as they are; they
+    are dealt to any buckets, so that a key that many texts have burdens none.
+    """
 
     def kernel(batches):
+        bands = Bands(percent)
         for batch in batches:
-            keys, ids, starts = batch_groups(batch)
-            keys, ids = keys[starts], ids[starts]
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            keys, ids = keys_of(batch.column(1), batch.column(0).to_numpy(), words, bands)
+            rows = []
+            starts = group_starts(keys)
+            first, least = keys[starts], ids[starts]
+            bucket = (first % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            keys, ids, bucket = keys[by], ids[by], bucket[by]
+            first, least, bucket = first[by], least[by], bucket[by]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if a < b:
-                    base = int(ids[a:b].min())
-                    far = ids[a:b] - base
+                    base = int(least[a:b].min())
+                    far = least[a:b] - base
                     far = far.astype(np.uint32) if far.max() < 1 << 32 else far
-                    rows.append((int(bucket[a]), base, keys[a:b].tobytes(), far.tobytes()))
-            names = ["bucket", "base", "keys", "far"]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=names)
+                    rows.append((int(bucket[a]), base, first[a:b].tobytes(), far.tobytes(), None))
+            own = meeting_rows(keys, ids)
+            for k in range(0, len(own[0]), 20_000):
+                part = [c[k : k + 20_000] for c in own]
+                rows.append((int(mix(part[0][:1] + np.uint64(k))[0] % np.uint64(buckets)), 0, *(c.tobytes() for c in part)))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=["bucket", "base", "keys", "far", "leaders"])
 
     return kernel
 
 
 def meet_in_bucket(blocks: pa.Table) -> pa.Table:
     keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for base, packed, far in zip(*(blocks.column(c).to_pylist() for c in ("base", "keys", "far")), strict=True):
-        keys.append(np.frombuffer(packed, np.uint64))
+    ready = []
+    for base, packed, far, leaders in zip(*(blocks.column(c).to_pylist() for c in ("base", "keys", "far", "leaders")), strict=True):
+        own = np.frombuffer(packed, np.uint64)
+        if leaders is not None:
+            ready.append((own, np.frombuffer(far, np.int64), np.frombuffer(leaders, np.int64)))
+            continue
         wide = np.uint32 if 2 * len(far) == len(packed) else np.int64
+        keys.append(own)
         ids.append(np.frombuffer(far, wide).astype(np.int64) + base)
     keys, ids = np.concatenate(keys), np.concatenate(ids)
     by = np.lexsort((ids, keys))
-    keys, ids = keys[by], ids[by]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    return pa.Table.from_batches([meeting_rows(keys, ids, np.flatnonzero(head))])
+    ready.append(meeting_rows(keys[by], ids[by]))
+    columns = [np.concatenate(c) for c in zip(*ready, strict=True)]
+    return pa.table([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], names=["key", "id", "leader"])
 
 
-def meetings(firsts: DataFrame) -> DataFrame:
-    """MEETS: the members of every group of a key, each with a smaller member (its leader) or itself."""
+def meetings(firsts: DataFrame, words: int, percent: int, grams: int) -> DataFrame:
+    """MEETS: the members of every group of a key, each with a smaller member (its leader) or itself.
+
+    ``firsts`` has (id, text), ``grams`` is how many n-grams there are about; it sets the number of buckets.
+    """
     spark = firsts.sparkSession
-    total = firsts.agg(F.sum(F.size("keys"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
-    packed = firsts.mapInArrow(packed_firsts(buckets), "bucket long, base long, keys binary, far binary")
-    across = packed.groupBy("bucket").applyInArrow(meet_in_bucket, MEETS)
-    return across.unionByName(firsts.mapInArrow(meet_in_batch, MEETS))
+    expected = 2 * grams * (100 - percent) // percent
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_KEYS))
+    return firsts.mapInArrow(key_blocks(words, percent, buckets), BLOCK).groupBy("bucket").applyInArrow(meet_in_bucket, MEETS)
+
+
+def wide_sketches(text: str, words: int):
+    """Kernel: parity sketches of 8 bits or more an n-gram. A power of two, so that a larger one folds to a smaller."""
+
+    def kernel(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            for a, b in slices(offsets):
+                grams, sizes = gram_sets(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), words)
+                out = []
+                for part in np.split(mix(grams), np.cumsum(sizes)[:-1]):
+                    bits = 1 << max(6, int(8 * len(part)).bit_length())
+                    odd = np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield batch.slice(a, b - a), [pa.array(out, pa.binary()), pa.array(sizes)]
+
+    return kernel
+
+
+def near_sketches(batches):
+    """The pairs whose wide sketches allow a link: differing bits are at most the elements in which the sets differ."""
+    for batch in batches:
+        a, b, n, m, percent, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n", "m", "percent", "x", "y"))
+        keep = []
+        for k in range(batch.num_rows):
+            left, right = (np.frombuffer(c[k].as_py(), np.uint8) for c in (x, y))
+            while len(left) > len(right):
+                left = left[: len(left) // 2] ^ left[len(left) // 2 :]
+            while len(right) > len(left):
+                right = right[: len(right) // 2] ^ right[len(right) // 2 :]
+            distance = int(np.unpackbits(left ^ right).sum())
+            p = percent[k].as_py()
+            keep.append((100 + p) * distance <= (100 - p) * (n[k].as_py() + m[k].as_py()))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
 def gram_lists(text: str, words: int):
@@ -285,13 +332,25 @@ def linked(batches):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links; ``texts`` has (id, text)."""
-    needed = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    sets = add_columns(texts.join(small_enough(needed), "id"), gram_lists("text", words), T.StructType([T.StructField("grams", T.ArrayType(T.LongType()))]))
-    sets = materialise(sets.select("id", "grams"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").withColumn("percent", F.lit(percent))
-    return materialise(joined.select("a", "b", "x", "y", "percent").mapInArrow(linked, "a long, b long"), "verified")
+    """The pairs (a, b) that are links; ``texts`` has (id, text).
+
+    Wide sketches, an eighth of the size of the sets, are compared first; only what they let pass meets its sets.
+    """
+
+    def both(pairs: DataFrame, name: str, kernel, made: list[T.StructField]) -> DataFrame:
+        needed = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+        table = add_columns(texts.join(small_enough(needed), "id"), kernel, T.StructType(made))
+        rest = [field.name for field in made[1:]]
+        table = materialise(table.select("id", "made", *rest), name)
+        left = table.select(F.col("id").alias("a"), F.col("made").alias("x"), *rest)
+        right = table.select(F.col("id").alias("b"), F.col("made").alias("y"), *[F.col(c).alias("m") for c in rest])
+        return pairs.join(left, "a").join(right, "b").withColumn("percent", F.lit(percent))
+
+    sketch = [T.StructField("made", T.BinaryType()), T.StructField("n", T.LongType())]
+    wide = both(pairs, "wide", wide_sketches("text", words), sketch)
+    likely = materialise(wide.select("a", "b", "n", "m", "percent", "x", "y").mapInArrow(near_sketches, "a long, b long"), "likely")
+    sets = both(likely, "sets", gram_lists("text", words), [T.StructField("made", T.ArrayType(T.LongType()))])
+    return materialise(sets.select("a", "b", "x", "y", "percent").mapInArrow(linked, "a long, b long"), "verified")
 
 
 def near(left: str, right: str, percent: int) -> Column:
@@ -310,14 +369,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """The documents with ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = without(docs, ["_id", "_its", "_print"]).withColumn("_print", F.xxhash64(text))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col("_print").alias("print"), F.col(text).alias("text"))
-    known = materialise(add_columns(texts, summaries("text", words, percent), SUMMARY).drop("text"), "sketches")
+    known = materialise(add_columns(texts, summaries("text", words), SUMMARY).drop("text"), "sketches")
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("least"))
     member = materialise(known.select("id", "print", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("id", "print", "n", "least"), "members")
+    # Texts that go on: those with words whose set no smaller id has.
     copies = member.where("id is null or least is null or id > least").select("id", "print").distinct()
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_its"))
     copies = small_enough(materialise(copies.toDF("_id", "_its"), "copies"))
-    firsts = known.join(copies, same, "left_anti")
-    meets = materialise(meetings(firsts.select("id", "keys")), "meets")
+
+    def without_copies(frame: DataFrame) -> DataFrame:
+        return frame.join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_its")), "left_anti")
+
+    firsts = without_copies(known)
+    grams = known.agg(F.sum("n")).first()[0] or 0
+    meets = materialise(meetings(without_copies(texts).select("id", "text"), words, percent, grams), "meets")
 
     bits = materialise(firsts.select("id", "n", *[f"s{k}" for k in range(SKETCH_WORDS)]), "bits")
     star = meets.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
