@@ -15,8 +15,9 @@ A text is the set of 64-bit hashes of its distinct n-grams. Two sets of sizes n
    and only that one goes on, in packed blocks by hash of the key, to be paired with the smallest of all. So
    a group of any size sends one entry per batch. Never is all paired with all. Pairs are verified by their
    exact sets; linked members fall into components.
-4. Groups whose members are then still in different components are joined within themselves, across components
-   only. Each set has a 512-bit parity sketch, one bit flipped per element, so that the Hamming distance
+4. In groups whose members are then still in different components, members are paired with a few further ones,
+   the same for all of the group, and verified; this is linear as well. Only what is apart after that is joined within
+   its groups, across components only. Each set has a 512-bit parity sketch, one bit flipped per element, so that the Hamming distance
    of two sketches is at most the number of elements in which the sets differ: pairs further apart than a
    link allows are dropped inside the join. The rest is verified and joins the components.
 
@@ -365,6 +366,23 @@ def near(left: str, right: str, percent: int) -> Column:
     return sizes & ((100 + percent) * distance <= (100 - percent) * (n + m))
 
 
+def near_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    both = pairs.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
+    return both.where(near("x", "y", percent)).select("a", "b")
+
+
+def apart(rows: DataFrame, labels: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, id) of groups with several components, with ``label``; and of each such group the first by ``order``."""
+    labelled = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = materialise(labelled.select("key", "id", "label"), "labelled")
+    groups = labelled.groupBy("key").agg(
+        F.min("label").alias("p"), F.max("label").alias("q"), F.min(F.struct(order.alias("o"), "id", "label")).alias("f")
+    )
+    groups = materialise(groups.where("p < q").select("key", F.col("f.id").alias("leader"), F.col("f.label").alias("leader_label")), "groups")
+    return labelled.join(groups.select("key"), "key"), groups
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """The documents with ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = without(docs, ["_id", "_its", "_print"]).withColumn("_print", F.xxhash64(text))
@@ -385,21 +403,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     bits = materialise(firsts.select("id", "n", *[f"s{k}" for k in range(SKETCH_WORDS)]), "bits")
     star = meets.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
-    star = materialise(star.where(near("x", "y", percent)).select("a", "b"), "star")
+    star = materialise(near_pairs(star, bits, percent), "star")
     texts = texts.where(F.col("id").isNotNull()).select("id", "text")
     links = verify(star, texts, words, percent)
     labels = components(links)
 
-    labelled = meets.select("key", "id").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = materialise(labelled.select("key", "id", "label"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    open_rows = materialise(labelled.join(mixed, "key").join(bits, "id"), "open")
+    # Whoever is still apart meets other members of its groups: the smallest, the greatest, one by hash.
+    # Each round is linear in the members of groups that more than one component shares.
+    tested, open_rows = star, meets.select("key", "id").distinct()
+    for order in (F.col("id"), -F.col("id"), F.xxhash64("key", "id")):
+        open_rows, leaders = apart(open_rows, labels, order)
+        pairs = open_rows.join(leaders, "key").where("label <> leader_label")
+        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = materialise(near_pairs(pairs, bits, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = verify(pairs, texts, words, percent)
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        if more.limit(1).count():
+            labels = components(links)
+        open_rows = open_rows.select("key", "id")
+
+    # What is left is joined within its groups, across components.
+    open_rows, _ = apart(open_rows, labels, F.col("id"))
+    open_rows = materialise(open_rows.join(bits, "id"), "open")
     across = open_rows.alias("x").join(
         open_rows.alias("y"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", percent),
     )
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = verify(materialise(across, "across"), texts, words, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
