@@ -210,3 +210,41 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     frame = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     plan = plan_of(top_k(frame, ["g"], [F.col("id").asc()], 5))
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ids_and_integers_end_where_the_text_ends(spark):
+    frame = spark.createDataFrame([("abc", True), ("abc\n", False), ("a b", False), ("x" * 65, False)], "id string, fine boolean")
+    assert all(r["v"] == r["fine"] for r in frame.select(ch.valid_id(F.col("id")).alias("v"), "fine").collect())
+    raw = spark.createDataFrame([("c", "7"), ("c", "7\n"), ("c", "-12")], "chunk_id string, chunk_index string")
+    problems = [r["problem"] for r in src.check_required(raw, ["chunk_id"], ["chunk_index"]).collect()]
+    assert problems == [None, "no integer chunk_index", None]
+
+
+def test_a_saved_chat_comes_first(spark):
+    rows = [(1, k, k * 10, 5) for k in range(6)]
+    frame = spark.createDataFrame(rows, "user_id long, chat_id long, updated_at long, bytes long")
+    kept = ch.retain_newest(frame, quota=15, saved=F.col("chat_id") == 2).orderBy("place").collect()
+    assert [r["chat_id"] for r in kept] == [2, 5, 4]
+    assert [r["chat_id"] for r in ch.retain_newest(frame, quota=15).orderBy("place").collect()] == [5, 4, 3]
+
+
+def test_comments_are_trimmed(spark):
+    rows = [(1, 1, 1, "comment", None, None, "  hi  "), (1, 2, 1, "comment", None, None, "x"), (1, 2, 2, "comment", None, None, " \n ")]
+    events = spark.createDataFrame(rows, "user_id long, answer_id long, seq long, kind string, rating string, reasons string, comment string")
+    found = {r["answer_id"]: r["comment"] for r in rt.fold_ratings(events, ["user_id", "answer_id"]).collect()}
+    assert found == {1: "hi", 2: None}
+
+
+def test_total_limit_is_a_fold_without_one_task(spark):
+    rows = [(f"c{k % 7}", (k * 37) // 3, k, k % 3) for k in range(400)]
+    log = spark.createDataFrame(rows, "client string, now_ms long, id long, amount long")
+    found = lim.two_level(log, [(10**6, 10**9)], [(9, 500)])
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["refused_by"], r["wait"]) for r in found.collect()}
+    count, end = 0, None
+    for _, now, number, amount in sorted(rows, key=lambda r: (r[1], r[2])):
+        if end is None or now >= end:
+            count, end = 0, now + 500
+        refused = count >= 9
+        assert got[number] == (("total", -(-(end - now) // 1000)) if refused else (None, None))
+        count += 0 if refused else amount
