@@ -153,7 +153,27 @@ def decontaminate(
     return frame.drop("_hits")
 
 
-@query("op7_benchmark_decontamination")
+SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win
+           FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+spots AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+          FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                FROM texts JOIN (SELECT DISTINCT size FROM wanted) s ON len(w) >= s.size)),
+found AS (SELECT doc_id, i, s.size, item_id FROM spots s JOIN wanted USING (win)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+
+@query("op7_benchmark_decontamination", SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     checked = decontaminate(docs, table(spark, sf_dir, "benchmark"))

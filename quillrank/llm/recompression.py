@@ -291,7 +291,22 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return add_columns(joined.drop("id", "_its", "_print"), cut_words(text, width), results).drop("_copy", "_starts")
 
 
-@query("op2_substring_recompression")
+SQL = r"""
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+spots AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS least FROM spots GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM spots JOIN firsts USING (win) WHERE least < doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op2_substring_recompression", SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
