@@ -442,7 +442,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return without(docs, results).join(small_enough(final), same, "left").drop("_id", "_its", "_print")
 
 
-@query("op5_parity_sketch_join")
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared s JOIN sizes p ON p.doc_id = s.x JOIN sizes q ON q.doc_id = s.y WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT b.y, reach.r FROM reach JOIN both_ways b ON b.x = reach.doc_id)
+SELECT t.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(r.r) AS component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) JOIN reach r USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+@query("op5_parity_sketch_join", SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
