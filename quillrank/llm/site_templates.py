@@ -1,20 +1,22 @@
 """Main text of pages: subtrees that recur across a host's pages are its template and go.
 
-Two passes over the pages, with one shuffle of small counts between them and one of the pages:
-
-1. Each page is parsed once and gives a 64-bit hash of every element subtree that can be template (tags,
-   classes and normalised text of the element and all below it), once per page. Spark counts pages per
-   (host, hash); the counts are added up before the shuffle, so neither a hot host nor a hot subtree
-   gathers its rows anywhere. A subtree recurs if ``least`` pages and ``share`` of the host's pages have it.
-   A host has at most (average subtrees of a page) / share of those, which bounds its list.
-2. Pages are joined with their host's list (broadcast if its written size allows it, else a join whose skewed hosts Spark splits)
-   and parsed again: recurring subtrees are deleted, then those that their tag, role or class names as menu,
+Two passes over the pages, with one shuffle of small counts between them:
+
+1. Each page is parsed once and gives a 64-bit key (of host, tags, classes and normalised text) of every block
+   element with text, inside and outside an article mark, and with it a witness: a hash of the page's text outside
+   that element. A subtree recurs if ``least`` pages with different witnesses have it, however large the host is.
+   Copies of one article agree in their remaining text, so they do not make its parts recur. Witnesses
+   set bits of four 64-bit maps, which Spark adds up by OR before the shuffle, so neither a hot host nor a hot
+   subtree gathers its rows anywhere; bits set are never more than witnesses, and four maps make a miss unlikely.
+2. Pages are parsed again: recurring subtrees are deleted, then those that their tag, role or class names as menu,
    header, footer, sidebar, notice, advert, form or reader comments; scripts, styles and comments of the
-   markup never count as text. What is left is cut into blocks.
+   markup never count as text. What is left is cut into blocks. The keys that recur are broadcast if their written
+   size allows it; else each chunk of ``chunk_rows`` neighbouring pages is joined with the keys that it has.
 
-Where a page marks its article (``article`` or ``main``), only that is kept, and recurrence deletes inside it
-only what is mostly links: copies of one article on a host are no template. Pages without such a mark keep
-the blocks of the body, and recurrence may delete any of them.
+The mark of an article (``article`` or ``main``) is a check made after that. Text outside it goes. Inside it the witness is the
+least hash of the other texts inside, so that copies with an edited passage mostly agree; and if recurrence would
+take more than half of the characters inside, the page is a near copy, and only what is mostly links goes there.
+So a notice longer than the article beside it stays. Pages without such a mark keep the blocks of the body.
 
 A null or empty html gives an empty text. A null or odd url is a host of its own ("" ). Repeated rows are judged each
 for itself. Empty tables give empty results. Other columns pass through, result names are replaced.
@@ -26,18 +28,22 @@ import hashlib
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillrank.llm.frames import add_columns, small_enough, table, without
+from quillrank.llm.frames import BROADCAST_BYTES, add_columns, table, without
 from quillrank.llm.registry import query
 from quillrank.llm.url_filter import url_host
 from quillrank.sources.shared import materialise
 
 LEAST = 4
-SHARE = 0.25
+CHUNK_ROWS = 1_024
+MAPS = 4  # of 64 bits, in which witnesses are counted
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)(?:>|\Z)", re.S
@@ -83,12 +89,12 @@ BARRIERS = {
 
 
 class Node:
-    __slots__ = ("tag", "names", "dropped", "children", "core")
+    __slots__ = ("tag", "names", "dropped", "children", "core", "shown")
 
     def __init__(self, tag: str, names: str = "", dropped: bool = False):
         self.tag, self.names, self.dropped = tag, names, dropped
         self.children: list[Node | str] = []
-        self.core = False
+        self.core = self.shown = False
 
 
 def parse(source: str) -> Node:
@@ -157,11 +163,19 @@ def new_node(tag: str, attributes: str) -> Node:
     return Node(tag, " ".join(sorted(names)), dropped)
 
 
-def note_hashes(node: Node, sink: list[tuple[Node, int, int, int]]) -> None:
-    """Note (element, hash, characters, characters in links) of each block element of a subtree."""
-    stack = [(node, iter(node.children), [node.tag, node.names], [0, 0])]
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def note_hashes(root: Node, has_core: bool, sink: list[tuple[Node, int, int, int, tuple[int, int]]]) -> list[int]:
+    """Note (element, hash, characters, characters in links, span) of each block element of a page.
+
+    Returns the hashes of the texts that count as the page's content; a span is the range of those inside the element.
+    """
+    pieces: list[int] = []
+    stack = [(root, iter(root.children), [root.tag, root.names], [0, 0], 0)]
     while True:
-        current, rest, parts, sums = stack[-1]
+        current, rest, parts, sums, first = stack[-1]
         for child in rest:
             if isinstance(child, str):
                 text = " ".join(child.split())
@@ -170,20 +184,21 @@ def note_hashes(node: Node, sink: list[tuple[Node, int, int, int]]) -> None:
                     sums[0] += len(text)
                     if current.tag == "a":
                         sums[1] += len(text)
+                    if current.core if has_core else current.shown:
+                        pieces.append(hash64(text))
             else:
-                stack.append((child, iter(child.children), [child.tag, child.names], [0, 0]))
+                stack.append((child, iter(child.children), [child.tag, child.names], [0, 0], len(pieces)))
                 break
         else:
             stack.pop()
-            digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            value = int.from_bytes(digest, "little", signed=True)
+            value = hash64("\x00".join(parts))
             if current.tag == "a":
                 sums[1] = sums[0]
             if sums[0] and current.tag in BLOCK:
-                sink.append((current, value, sums[0], sums[1]))
+                sink.append((current, value, sums[0], sums[1], (first, len(pieces))))
             if not stack:
-                return
-            stack[-1][2].append(digest.hex())
+                return pieces
+            stack[-1][2].append(f"{value:016x}")
             stack[-1][3][0] += sums[0]
             stack[-1][3][1] += sums[1]
 
@@ -198,20 +213,55 @@ def mark_core(root: Node) -> bool:
             continue
         inside = inside or node.tag in CORE
         found = found or inside
-        node.core = inside
+        node.core, node.shown = inside, True
         stack += [(child, inside) for child in node.children if not isinstance(child, str)]
     return found
 
 
-def template_candidates(root: Node, has_core: bool) -> list[tuple[Node, int]]:
-    """(element, hash) of the subtrees that may be deleted when they recur."""
+def site_key(site: int, value: int) -> int:
+    """One 64-bit number of a host and a subtree's hash."""
+    return ((site ^ value) * 0x9E3779B97F4A7C15 + (value >> 7)) & (2**64 - 1)
+
+
+def subtrees(root: Node, has_core: bool) -> tuple[list, list[int]]:
+    """The subtrees that may be deleted when they recur, as ``note_hashes`` notes them, and the hashes of the content."""
     sink: list = []
-    note_hashes(root, sink)
-    return [
-        (node, value)
-        for node, value, size, linked in sink
-        if node.tag not in ("html", "body", "head") and (not has_core or not node.core or (node.tag not in CORE and 2 * linked > size))
-    ]
+    pieces = note_hashes(root, has_core, sink)
+    return [found for found in sink if found[0].tag not in ("html", "body", "head") and not (found[0].core and found[0].tag in CORE)], pieces
+
+
+def witnesses(found: list, pieces: list[int]) -> list[int | None]:
+    """For each subtree a hash of the content outside it, None if there is none: inside the core the least, else the sum."""
+    n = len(pieces)
+    sums, before, after = [0] * (n + 1), [None] * (n + 1), [None] * (n + 1)
+    for k, piece in enumerate(pieces):
+        sums[k + 1] = sums[k] + piece
+        before[k + 1] = piece if before[k] is None else min(before[k], piece)
+    for k in range(n - 1, -1, -1):
+        after[k] = pieces[k] if after[k + 1] is None else min(after[k + 1], pieces[k])
+    out = []
+    for node, _, _, _, (first, last) in found:
+        if last - first == n:
+            out.append(None)
+        elif node.core:
+            out.append(min(x for x in (before[first], after[last]) if x is not None))
+        else:
+            out.append((sums[n] - sums[last] + sums[first]) & (2**64 - 1))
+    return out
+
+
+def template_nodes(root: Node, has_core: bool, site: int, recurring) -> set[int]:
+    """The elements that recur on the host; inside an article only lists of links, if the others are most of it."""
+    found = [(node, size, 2 * linked > size) for node, value, size, linked, _ in subtrees(root, has_core)[0] if site_key(site, value) in recurring]
+    prose = {id(node) for node, _, links in found if node.core and not links}
+    if prose and 2 * shown_size(root, prose) < shown_size(root, set()):
+        found = [f for f in found if id(f[0]) not in prose]
+    return {id(node) for node, _, _ in found}
+
+
+def shown_size(root: Node, deleted: set[int]) -> int:
+    """Characters of the article without the deleted elements."""
+    return sum(map(len, blocks(root, True, deleted)))
 
 
 def blocks(root: Node, has_core: bool, deleted: set[int]) -> list[str]:
@@ -248,70 +298,93 @@ def blocks(root: Node, has_core: bool, deleted: set[int]) -> list[str]:
     return out
 
 
-def page_hashes(source: str | None) -> set[int]:
+def page_keys(source: str | None, site: int) -> dict[int, int | None]:
+    """The key of each subtree of a page, with its witness."""
     if not source:
-        return set()
+        return {}
     root = parse(source)
-    return {value for _, value in template_candidates(root, mark_core(root))}
+    found, pieces = subtrees(root, mark_core(root))
+    return {site_key(site, f[1]): witness for f, witness in zip(found, witnesses(found, pieces), strict=True)}
 
 
-def main_text(source: str | None, recurring) -> str:
+def main_text(source: str | None, recurring, site: int = 0) -> str:
+    """The text without the subtrees whose keys recur."""
     if not source:
         return ""
     root = parse(source)
     has_core = mark_core(root)
-    deleted = set()
-    if recurring:
-        recurring = set(recurring)
-        deleted = {id(node) for node, value in template_candidates(root, has_core) if value in recurring}
-    return "\n".join(blocks(root, has_core, deleted))
+    return "\n".join(blocks(root, has_core, template_nodes(root, has_core, site, recurring) if recurring else set()))
 
 
-def host_templates(pages: DataFrame, host: str, html: str, least: int, share: float) -> DataFrame:
-    """Per host the hashes of the subtrees that recur across its pages."""
+def signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def site_templates(pages: DataFrame, host: str, html: str, least: int) -> DataFrame:
+    """The keys of the subtrees that recur across a host's pages."""
+    names = [f"m{k}" for k in range(MAPS)]
 
     def kernel(batches):
         for batch in batches:
-            hosts, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(h, v) for h, s in zip(hosts, sources, strict=True) for v in (None, *page_hashes(s))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.int64())], names=["host", "subtree"]
-            )
-
-    seen = pages.select(F.col(host), F.col(html)).mapInArrow(kernel, "host long, subtree long")
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    # A page gives one row without a subtree. Few counts pass ``least``, so what meets per host is small.
-    counts = counts.where((F.col("n") >= least) | F.col("subtree").isNull())
-    pages_of = F.max(F.when(F.col("subtree").isNull(), F.col("n")))
-    lists = counts.groupBy("host").agg(
-        pages_of.alias("pages"), F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "n"))).alias("found")
-    )
-    recurring = F.filter("found", lambda x: (x["n"] >= least) & (x["n"] >= share * F.col("pages")))
-    return lists.select(F.col("host").alias("_host"), F.transform(recurring, lambda x: x["subtree"]).alias("_recurring")).where(
-        F.size("_recurring") > 0
-    )
+            maps: dict[int, list[int]] = {}
+            for site, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for key, witness in page_keys(source, site & (2**64 - 1)).items():
+                    if witness is not None:
+                        bits = maps.setdefault(key, [0] * MAPS)
+                        for k in range(MAPS):
+                            bits[k] |= 1 << (witness >> (7 + 11 * k) & 63)
+            columns = [signed(list(maps))] + [signed([bits[k] for bits in maps.values()]) for k in range(MAPS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["subtree", *names])
+
+    seen = pages.select(F.col(host), F.col(html)).mapInArrow(kernel, ", ".join(["subtree long", *(f"{n} long" for n in names)]))
+    counts = seen.groupBy("subtree").agg(*[F.bit_or(n).alias(n) for n in names])
+    return counts.where(F.greatest(*[F.bit_count(n) for n in names]) >= least).select("subtree")
 
 
 def extract_main_text(
-    pages: DataFrame, url: str = "url", html: str = "html", least: int = LEAST, share: float = SHARE
+    pages: DataFrame, url: str = "url", html: str = "html", least: int = LEAST, chunk_rows: int = CHUNK_ROWS, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The pages without html, with ``text`` (the main text) and ``n_chars``."""
-    frame = without(pages, ["_site", "_host", "_recurring"]).withColumn("_site", F.xxhash64(url_host(F.col(url))))
-    lists = small_enough(materialise(host_templates(frame, "_site", html, least, share), "templates"))
-    joined = frame.join(lists, F.col("_site") == F.col("_host"), "left").drop("_site", "_host")
+    frame = without(pages, ["_site", "_chunk"]).withColumn("_site", F.xxhash64(url_host(F.col(url))))
+    recurring = materialise(site_templates(frame, "_site", html, least), "templates")
+    added = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def kernel(batches):
-        for batch in batches:
-            names = batch.schema.names
-            sources, lists = batch.column(names.index(html)), batch.column(names.index("_recurring"))
-            texts = []
-            for k in range(batch.num_rows):
-                recurring = lists[k].as_py()
-                texts.append(main_text(sources[k].as_py(), recurring))
-            yield batch, [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+    def extracted(sources, sites, keys: set[int]) -> list[pa.Array]:
+        texts = [main_text(source.as_py(), keys, site.as_py() & (2**64 - 1)) for source, site in zip(sources, sites, strict=True)]
+        return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    added = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return add_columns(joined, kernel, added).drop(html, "_recurring")
+    if 8 * recurring.count() <= broadcast_bytes:
+        shared = frame.sparkSession.sparkContext.broadcast(recurring.toArrow().column("subtree").to_numpy().view(np.uint64))
+
+        def kernel(batches):
+            keys = set(shared.value.tolist())
+            for batch in batches:
+                yield batch, extracted(batch.column(html), batch.column("_site"), keys)
+
+        return add_columns(frame, kernel, added).drop(html, "_site")
+
+    def chunk_keys(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            pairs = list({(chunk, key) for chunk, site, source in rows for key in page_keys(source, site & (2**64 - 1))})
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int64()), signed([k for _, k in pairs])], names=["_chunk", "subtree"])
+
+    try:
+        frame = frame.withColumn("_chunk", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / chunk_rows)))
+    except AnalysisException:  # not a table of files
+        frame = materialise(frame, "pages")
+        frame = frame.withColumn("_chunk", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / chunk_rows)))
+    needed = frame.select("_chunk", "_site", html).mapInArrow(chunk_keys, "_chunk long, subtree long").distinct().join(recurring, "subtree", "left_semi")
+    taken = {"text", "n_chars", html.lower(), "_site", "_chunk"}
+    schema = T.StructType([f for f in frame.schema.fields if f.name.lower() not in taken] + list(added.fields))
+    target = to_arrow_schema(schema)
+
+    def by_chunk(rows: pa.Table, keys: pa.Table) -> pa.Table:
+        keys = set(keys.column("subtree").to_numpy().view(np.uint64).tolist())
+        columns = [rows.column(f.name) for f in schema.fields[:-2]] + extracted(rows.column(html), rows.column("_site"), keys)
+        return pa.table([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return frame.groupBy("_chunk").cogroup(needed.groupBy("_chunk")).applyInArrow(by_chunk, schema)
 
 
 @query("op1_site_template_removal")

@@ -47,6 +47,24 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r["text"] for r in got.collect()} == {"the same story"}
 
 
+def test_unnamed_notices_inside_the_article_go(spark, tmp_path):
+    """On 6 of 60 pages of a host, inside main and without a telling class; copies and near copies lose nothing."""
+    page = "<body><main><h1>Title {0}</h1>{1}<p>A story of {0}, told at some length, about {0} and {0}.</p><p>It ends with {0}.</p></main></body>"
+    notice = "<div class=x1><p>Join our readers today</p></div>"
+    rows = [(k, f"http://a.example.org/{k}", page.format(f"w{k}", notice if k < 6 else "")) for k in range(60)]
+    copy = "<main><h1>Copied</h1><p>The first passage is the same.</p><p>So is the second one.</p><p>{}</p></main>"
+    rows += [(100 + k, f"http://a.example.org/c{k}", copy.format("Its end.")) for k in range(9)]
+    rows += [(200 + k, f"http://b.example.org/n{k}", copy.format(f"Edit {k}.")) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages")
+    stored = spark.read.parquet(f"{tmp_path}/pages")
+    for got in (extract_main_text(pages), extract_main_text(stored, broadcast_bytes=0, chunk_rows=7), extract_main_text(pages, broadcast_bytes=0)):
+        found = {r["page_id"]: r["text"] for r in got.collect()}
+        assert got.count() == len(rows) == len(found) and got.columns == ["page_id", "url", "text", "n_chars"]
+        assert found[3] == "Title w3\nA story of w3, told at some length, about w3 and w3.\nIt ends with w3."
+        assert found[104].startswith("Copied\nThe first passage is the same.\nSo is") and found[203].endswith("So is the second one.\nEdit 3.")
+
+
 def test_empty_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract_main_text(pages).count() == 0
