@@ -62,6 +62,37 @@ def test_phrases_are_longest_matches():
     assert lettered.tolist() == [True, True, True, False, False, True]
 
 
+@pytest.mark.parametrize("dense", [0, 4_000_000])
+def test_all_letters_of_the_samples_count(monkeypatch, dense):
+    """Scripts with more letters than a byte holds, beside a language of small code points."""
+    monkeypatch.setattr(language, "DENSE", dense)
+    rng = np.random.default_rng(3)
+
+    def text(first, size, n):
+        return " ".join("".join(chr(first + c) for c in rng.integers(0, size, 4)) for _ in range(n))
+
+    samples = {"en": messy.prose(1, 60), "ko": text(0xAC00, 900, 400), "zh": text(0x4E00, 900, 400)}
+    parsed = language.Languages(samples)
+    texts = [samples["ko"][100:160], samples["zh"][300:420], text(0x10A0 + 0x20000, 400, 30), messy.prose(5, 40), text(0xAC00, 900, 100)]
+    phrases = parsed.phrases(texts)[0]
+    known = {c for s in samples.values() for c in s}
+    for k, t in enumerate(texts):
+        symbols = "".join(c if c in known else "\0" for c in f" {t}")
+        for j, name in enumerate(parsed.names):
+            assert phrases[k, j] == greedy_phrases(symbols, f" {samples[name]} ", language.BLOCK)
+    names, _, readable = parsed.predict(texts)
+    assert names[:2] == ["ko", "zh"] and names[3:] == ["en", "ko"] and readable[:2].all() and not readable[2]
+
+
+def test_few_rows_fill_a_languages_sample(spark):
+    rows = [(k, messy.prose(k, 1_000), "few") for k in range(3)] + [(100 + k, f"{k} wort", "short") for k in range(500)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parsed = language.learn(labelled, "text", "lang", "doc_id", 40, 2_000)
+    sizes = {name: len(parser.keys if not parser.dense else parser.moves) // parser.size for name, (_, parser) in zip(parsed.names, parsed.tables, strict=True)}
+    assert sizes["few"] > 2_000 and sizes["short"] >= 1_900
+    assert language.filled(["a" * 9, "b" * 2, "c" * 9], 10, 3) == "aaaa bb cccc" and language.filled(["a", "b"], 9, 1) == "a b"
+
+
 def test_quality_of_held_out_texts(spark):
     sf = "/root/testdata/sf0.1"
     got = compression_quality.op6(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
