@@ -166,6 +166,26 @@ def test_spelling_is_a_distribution():
     assert math.isclose(total, 1.0, rel_tol=1e-5)
 
 
+def test_spelling_sees_across_words_and_learns_in_the_text(spark):
+    words = messy.prose(1, 200).split()
+    shuffled = [words[k] for k in np.random.default_rng(1).permutation(len(words))]
+    rows = [(k, " ".join(words), False) for k in range(20)] + [(100, " ".join(words), True), (101, " ".join(shuffled), True)]
+    rows += [(102, "zqx vkj " * 100, True), (103, "zqx vkj", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = model_rows(context_mixing.mixing_scores(docs))
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > 0.7 * got[101]["score"]
+    assert got[102]["score"] > 90 * got[103]["score"]
+    alone = model_rows(context_mixing.mixing_scores(docs.where("doc_id != 102")))
+    assert alone[101]["score"] == pytest.approx(got[101]["score"], rel=1e-6)
+
+
+def test_counts_of_millions_stay_finite():
+    slots = np.arange(context_mixing.OFFSETS[-1])
+    mixer = context_mixing.Mixer(slots, np.zeros(len(slots)), np.full(len(slots), 50_000_000))
+    mixer.learn([b"some text"] * 9)
+    assert np.isfinite(mixer.log10([b"some text", b""])).all()
+
+
 def brute_measures(text):
     w = messy.words(text)
     windows: dict = {}
