@@ -37,9 +37,8 @@ FILTERS = "ABCDE"
 MIN_WORDS = 100
 MIN_DISTINCT_PERCENT = 80
 MAX_CAPITALS_PERCENT = 10
-SYMBOLS = "#$%&*|"
+SYMBOLS = "[#$%&*|]"
 SPACES = " \t\n\x0b\x0c\r"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REPEATED = 1 << FILTERS.index("E")
 BATCHES = 4  # micro-batches that the files are dealt out to, about
 
@@ -52,19 +51,20 @@ def own_mask(text: Column) -> Column:
     """One bit for each of the filters A to D that a text fails."""
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
-    without_capitals = F.length(F.translate(text, CAPITALS, ""))
-
-    def fails(w: Column) -> Column:
-        bits = [
-            F.size(w) < MIN_WORDS,
-            100 * F.size(F.array_distinct(w)).cast("long") < MIN_DISTINCT_PERCENT * F.size(w).cast("long"),
-            100 * (F.length(text) - without_capitals).cast("long") > MAX_CAPITALS_PERCENT * F.length(text).cast("long"),
-            F.translate(text, SYMBOLS, "") != text,
+    # As the variable of a lambda the words are split once for both counts.
+    counts = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("distinct")))
+    counted = F.get(counts, F.lit(0))
+
+    def bits(w: Column) -> Column:
+        failed = [
+            w["all"] < MIN_WORDS,
+            100 * w["distinct"].cast("long") < MIN_DISTINCT_PERCENT * w["all"].cast("long"),
+            100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long") > MAX_CAPITALS_PERCENT * F.length(text).cast("long"),
+            text.rlike(SYMBOLS),
         ]
-        return sum((F.when(bit, 1 << k).otherwise(0) for k, bit in enumerate(bits)), F.lit(0))
+        return sum((F.when(bit, 1 << k).otherwise(0) for k, bit in enumerate(failed)), F.lit(0))
 
-    # As the variable of a lambda the words are split once for all uses.
-    return F.get(F.transform(F.array(words), fails), F.lit(0))
+    return F.get(F.transform(F.array(counted), bits), F.lit(0))
 
 
 def narrow(docs: DataFrame, text: str = "text", part: str = "lang", doc_id: str = "doc_id") -> DataFrame:
