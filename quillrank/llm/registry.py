@@ -29,4 +29,4 @@ def load_all() -> None:
         importlib.import_module(f"quillrank.llm.{name}")
 
 
-MODULES = ["decontaminate", "host_rules", "url_filter", "site_templates", "language", "compression_quality", "recompression", "parity_join", "pieces", "context_mixing", "histogram_sort", "filter_audit"]
+MODULES = ["decontaminate", "host_rules", "url_filter", "site_templates", "language", "compression_quality", "recompression", "parity_join", "pieces", "context_mixing", "histogram_sort", "collocations", "filter_audit"]
