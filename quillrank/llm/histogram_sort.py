@@ -54,7 +54,7 @@ def digits(widths: list[int]) -> list[tuple[int, int, int]]:
             bits = min(DIGIT, width)
             width -= bits
             found.append((key, width, bits))
-    return found
+    return found or [(0, 0, 1)]  # a single row
 
 
 def splitters(keyed: DataFrame, keys: list[str], widths: list[int], size: str, total: int, shards: int, parts: int) -> DataFrame:
