@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillrank.operators import bm25
 from quillrank.operators import knn
@@ -44,30 +45,61 @@ def test_nearest_is_exact_over_many_blocks_with_copies(spark, monkeypatch):
     assert {(r.query_id, r.id, r.pos) for r in whole} == expected
 
 
-def test_nearest_meets_few_items_when_they_cluster(spark, monkeypatch):
-    monkeypatch.setattr(knn, "ITEMS_PER_CENTROID", 40)
+def clustered(spark):
     rng = np.random.default_rng(8)
     heart = rng.normal(size=(12, 16))
     items = np.repeat(heart, 60, axis=0) + rng.normal(size=(720, 16)) * 0.03
     items[5] = 0  # without direction: scores 0 with everything
     asked = heart + rng.normal(size=heart.shape) * 0.03
     asked[3] = 0
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, embedding array<double>")
-    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id long, embedding array<double>")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(999, None)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)] + [(99, None)], "query_id long, embedding array<double>")
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     scores = np.round(unit(asked) @ unit(items).T, 9)
-    found = nearest(queries, frame, 9, ["query_id"], ["id"], ties=["id"]).collect()
     want = {(q, i, n + 1) for q in range(12) for n, i in enumerate(sorted(range(720), key=lambda i: (-scores[q, i], i))[:9])}
-    assert {(r.query_id, r.id, r.pos) for r in found} == want
-
-    centres = knn.centroids(frame, 720)
-    clusters = knn.Clusters(centres, knn.cluster_counts(knn.assigned(frame, ["id"], centres), []))
-    angles = clusters.angles(unit(asked))
-    some = np.arange(12) != 3
-    kth = np.sort(scores, axis=1)[:, -9]
-    met = clusters.seeds(angles, 9) | clusters.reaching(angles, kth, ~some)
-    pairs = (met * clusters.sizes.sum(axis=1)).sum(axis=1)
-    assert pairs[some].mean() < 0.2 * 720
+    return frame, queries, want
+
+
+def test_nearest_among_clusters_and_vectors_without_direction(spark, monkeypatch):
+    frame, queries, want = clustered(spark)
+    for items_of_a_block in (knn.ITEM_BLOCK, 100):  # one block, and bounds that meet across blocks
+        monkeypatch.setattr(knn, "ITEM_BLOCK", items_of_a_block)
+        found = nearest(queries, frame, 9, ["query_id"], ["id"], ties=["id"]).collect()
+        assert {(r.query_id, r.id, r.pos) for r in found} == want
+
+
+def test_few_exact_scores_are_taken_on_the_given_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    key, vector = vectors.columns[0], next(f.name for f in vectors.schema.fields if f.dataType.typeName() == "array")
+    items = vectors.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
+    queries = items.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    for k in (3, 8, 40):
+        pairs = knn.possible(queries, items, k, ["query_id"], ["id"], [], ["id"]).count()
+        assert k * queries.count() <= pairs < 0.05 * queries.count() * items.count()
+
+
+def test_bytes_bound_the_exact_score():
+    rng = np.random.default_rng(2)
+    for width in (1, 3, 64, 300):
+        rows = knn.unit(np.concatenate([rng.normal(size=(60, width)), np.eye(width)[:5], np.zeros((1, width))]))
+        codes, scale, error = knn.in_bytes(rows)
+        asked = knn.unit(rng.normal(size=(20, width)))
+        near = (asked @ knn.rotation(width)) @ (codes * scale[:, None]).T
+        assert (np.abs(near - asked @ rows.T) <= error + 1e-12).all()
+        assert error.max() < 0.01 * max(1, np.sqrt(width / 50))
+
+
+def test_inverted_lists_find_most_and_all_when_all_are_probed(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ITEMS_PER_LIST", 40)
+    frame, queries, want = clustered(spark)
+    exact = nearest(queries, frame, 9, ["query_id"], ["id"], ties=["id"])
+    index = knn.Inverted(frame, ["id"])
+    lists = len(index.centres)
+    whole = index.search(queries, 9, ["query_id"], ["id"], probes=lists).collect()
+    assert {(r.query_id, r.id, r.pos) for r in whole} == want
+    some = knn.recall(index.search(queries, 9, ["query_id"], ["id"], probes=3), exact, ["query_id"], ["id"])
+    rates = {r.query_id: r.recall for r in some.collect()}
+    assert np.mean([rates[q] for q in range(12) if q != 3]) >= 0.9
 
 
 def test_bm25_is_brute_force_with_and_without_a_stored_index(spark, tmp_path):
