@@ -9,7 +9,7 @@ from quillrank.operators import ratings as rt
 from quillrank.registry import query
 from quillrank.sources import views as v
 from quillrank.streaming import ratings as stream_ratings
-from quillrank.streaming.runs import in_batches, run_to_end
+from quillrank.streaming.runs import replay
 
 NOW_MS = 1_706_626_800_000  # 2024-01-30 15:00 UTC, within the event log
 
@@ -319,6 +319,6 @@ def rating_fold_streamed(spark, sf):
     The stream says nothing of an answer whose events left it as it was; such answers have no ratings.
     """
     events, keys = rating_events(spark, sf), ["user_id", "answer_id"]
-    changes = run_to_end(spark, stream_ratings.fold_ratings(in_batches(events, "seq")), "ratings")
+    changes = replay(events, "seq", stream_ratings.fold_ratings, "ratings")
     last = rt.latest(changes, keys, "seq").select(*keys, "rating", "reasons", "comment")
     return events.select(*keys).distinct().join(last, keys, "left")

@@ -8,9 +8,9 @@ from quillrank.operators import answers as an
 from quillrank.operators import limits as lim
 from quillrank.registry import query
 from quillrank.sources import views as v
-from quillrank.streaming.limits import rate_limit_stream
+from quillrank.streaming.limits import rate_limit_stream, two_level_stream
 from quillrank.streaming import answers as stream_answers
-from quillrank.streaming.runs import in_batches, run_to_end
+from quillrank.streaming.runs import replay, replay_state
 
 HOUR, DAY = 3_600_000, 86_400_000
 LIMITS = [(1, HOUR), (5, DAY)]
@@ -62,7 +62,7 @@ def rate_limit_weighted(spark, sf):
     )
 
 
-@query("rate_limit_two_level", fold_sql(1, 5, "CAST(1 AS BIGINT)") + f""",
+TWO_LEVEL = fold_sql(1, 5, "CAST(1 AS BIGINT)") + f""",
     survivors AS (SELECT id, now_ms FROM fold WHERE passed),
     opened AS (SELECT min(now_ms) AS s FROM survivors
       UNION ALL SELECT (SELECT min(now_ms) FROM survivors x WHERE x.now_ms >= o.s + {DAY}) FROM opened o
@@ -71,25 +71,42 @@ def rate_limit_weighted(spark, sf):
                FROM survivors v JOIN opened o ON v.now_ms >= o.s AND v.now_ms < o.s + {DAY})
     SELECT f.client, f.now_ms, f.id, CASE WHEN NOT f.passed THEN 'client' WHEN p.n > 150 THEN 'total' END AS refused_by,
            CASE WHEN NOT f.passed THEN f.wait WHEN p.n > 150 THEN CAST(ceil((p.s + {DAY} - p.now_ms) / 1000) AS BIGINT) END AS wait
-    FROM fold f LEFT JOIN placed p ON p.id = f.id""")
+    FROM fold f LEFT JOIN placed p ON p.id = f.id"""
+
+
+@query("rate_limit_two_level", TWO_LEVEL)
 def rate_limit_two_level(spark, sf):
     return lim.two_level(log(spark, sf), LIMITS, TOTAL_LIMITS)
 
 
-@query("state_expiry", fold_sql(1, 5, "CAST(1 AS BIGINT)") + """
+LIVE = fold_sql(1, 5, "CAST(1 AS BIGINT)") + """
     SELECT client, greatest(arg_max(end1, rn), arg_max(end2, rn)) AS until FROM fold GROUP BY client
-    HAVING greatest(arg_max(end1, rn), arg_max(end2, rn)) > (SELECT max(now_ms) - 43200000 FROM v_events)""")
+    HAVING greatest(arg_max(end1, rn), arg_max(end2, rn)) > (SELECT max(now_ms) - 43200000 FROM v_events)"""
+
+
+@query("state_expiry", LIVE)
 def state_expiry(spark, sf):
     # The last time of the log is one row; half a day before it stands for the present.
     last = v.events(spark, sf).agg(F.max("now_ms").alias("m")).first()["m"]
     return lim.tracked_clients(log(spark, sf), LIMITS, F.lit(last - 43_200_000))
 
 
+@query("state_expiry_stream", LIVE)
+def state_expiry_streamed(spark, sf):
+    """The clients that the stream's own state still holds: timers drop the others as the watermark, half a day behind, passes."""
+    held = replay_state(log(spark, sf), "now_ms", lambda requests: rate_limit_stream(requests, LIMITS, "12 hours"), "expiry", "windows", 4)
+    return held.select("key.client", F.greatest("value.end0", "value.end1").alias("until"))
+
+
 @query("rate_limit_stream", fold_sql(1, 5, "CAST(1 AS BIGINT)") + ROWS)
 def rate_limit_streamed(spark, sf):
     """Several micro-batches in the order of time, so that a client's rows of one are bounded."""
-    requests = in_batches(log(spark, sf), "now_ms", 4)
-    return run_to_end(spark, rate_limit_stream(requests, LIMITS), "rate-limit")
+    return replay(log(spark, sf), "now_ms", lambda requests: rate_limit_stream(requests, LIMITS), "rate-limit", 4)
+
+
+@query("rate_limit_two_level_stream", TWO_LEVEL)
+def rate_limit_two_level_streamed(spark, sf):
+    return replay(log(spark, sf), "now_ms", lambda requests: two_level_stream(requests, LIMITS, TOTAL_LIMITS), "two-level", 5)
 
 
 # Answers ---------------------------------------------------------------------------------------
@@ -142,10 +159,10 @@ def ended_pieces(spark, sf):
 
 @query("stream_cap_stream", CAPPED)
 def stream_cap_streamed(spark, sf):
-    return run_to_end(spark, stream_answers.stream_cap(in_batches(ended_pieces(spark, sf), "seq")), "cap")
+    return replay(ended_pieces(spark, sf), "seq", stream_answers.stream_cap, "cap")
 
 
 @query("answer_assembly_stream", ASSEMBLED)
 def answer_assembly_streamed(spark, sf):
-    assembled = run_to_end(spark, stream_answers.assemble(in_batches(ended_pieces(spark, sf), "seq")), "assembly")
+    assembled = replay(ended_pieces(spark, sf), "seq", stream_answers.assemble, "assembly")
     return assembled.select("answer_id", "failed", "answer")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillrank.operators.limits import Limits, check, moment, wait_seconds
@@ -14,15 +15,16 @@ OUTPUT = "client long, now_ms long, id long, passed boolean, wait long"
 
 
 class ClientWindows(StatefulProcessor):
-    """Keeps a client's windows; a timer forgets a client once all of its windows are over.
+    """Keeps a client's windows; with ``expire`` a timer forgets a client once all of its windows are over.
 
     The requests of one micro-batch are taken in the order of (time, id). Requests that come in a
     later batch are taken when they come, as a server would.
     """
 
-    def __init__(self, limits: Limits, expire: bool = False):
+    def __init__(self, limits: Limits, expire: bool = False, keep_amount: bool = False):
         self.limits = [tuple(pair) for pair in limits]
         self.expire = expire
+        self.keep_amount = keep_amount
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -48,9 +50,10 @@ class ClientWindows(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(max(window[1] for window in windows))
-        yield pd.DataFrame(out, columns=["client", "now_ms", "id", "passed", "wait"]).astype({"wait": "Int64"})
+        decided = pd.DataFrame(out, columns=["client", "now_ms", "id", "passed", "wait"]).astype({"wait": "Int64"})
+        yield decided.assign(amount=batch["amount"].to_numpy()) if self.keep_amount else decided
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
 
@@ -58,15 +61,74 @@ class ClientWindows(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, limits: Limits, expire: bool = False) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limits: Limits, late: str | None = None) -> DataFrame:
     """A stream of requests (client, now_ms, id, amount) with ``passed`` and ``wait``.
 
-    Needs the RocksDB state store. With ``expire``, processing-time timers drop idle clients. That
-    suits live requests under a repeating trigger; a run that is to end by itself waits for the timers.
+    Needs the RocksDB state store. With ``late``, how long after the newest request one may still come, event-time timers
+    drop clients from the store once their windows are over by the watermark. Time is that of the requests, so a replay drops the same
+    clients.
     """
+    if late is not None:
+        requests = requests.withColumn("at", F.timestamp_millis("now_ms")).withWatermark("at", late)
     return requests.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=ClientWindows(limits, expire),
+        statefulProcessor=ClientWindows(limits, late is not None),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="ProcessingTime" if expire else "None",
+        timeMode="None" if late is None else "EventTime",
+    )
+
+
+DECIDED = "client long, now_ms long, id long, refused_by string, wait long"
+
+
+class TotalWindow(StatefulProcessor):
+    """Counts what passed the clients' own limits in one window of all clients; passes on what did not, untouched."""
+
+    def __init__(self, limits: Limits):
+        self.limits = [tuple(pair) for pair in limits]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("window", "count long, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        columns = ["client", "now_ms", "id", "refused_by", "wait"]
+        if key[0] != COUNTED:
+            for frame in rows:
+                yield frame.assign(refused_by="client")[columns].astype({"wait": "Int64"})
+            return
+        windows = [list(self.state.get())] if self.state.exists() else None
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["now_ms", "id"], kind="stable")
+        out = []
+        for client, now, number, amount in batch[["client", "now_ms", "id", "amount"]].itertuples(index=False):
+            windows = check(windows, self.limits, int(now))
+            wait = wait_seconds(windows, self.limits, int(now))
+            if wait is None:
+                windows[0][0] += int(amount)
+            out.append((client, now, number, None if wait is None else "total", wait))
+        self.state.update(tuple(windows[0]))
+        yield pd.DataFrame(out, columns=columns).astype({"wait": "Int64", "refused_by": object})
+
+    def close(self) -> None:
+        pass
+
+
+COUNTED = 0
+SPREAD = 64
+
+
+def two_level_stream(requests: DataFrame, client_limits: Limits, total_limits: Limits) -> DataFrame:
+    """A stream of requests with who refused them and for how long: each client's own limits, then the one of all.
+
+    Two stateful steps of one query. The total is one key: only requests that its clients' own limits let pass meet there, in the
+    order of time within a micro-batch; refused ones are spread over other keys.
+    """
+    own = requests.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=ClientWindows(client_limits, keep_amount=True),
+        outputStructType=f"{OUTPUT}, amount long",
+        outputMode="Append",
+        timeMode="None",
+    )
+    place = F.when(F.col("passed"), F.lit(COUNTED)).otherwise(1 + F.pmod(F.xxhash64("client", "id"), F.lit(SPREAD))).cast("int")
+    return own.withColumn("place", place).groupBy("place").transformWithStateInPandas(
+        statefulProcessor=TotalWindow(total_limits), outputStructType=DECIDED, outputMode="Append", timeMode="None"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +13,44 @@ from quillrank.sources.shared import shared_folder
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def in_batches(frame: DataFrame, by: str, batches: int = 3) -> DataFrame:
-    """A table as a stream of files in the order of ``by``, one micro-batch each, of equal ranges of it.
+def replay(frame: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], name: str, batches: int = 3) -> DataFrame:
+    """What a stream writes for a table that arrives in the order of ``by``."""
+    folder, stream = _replayed(frame, by, build, name, batches)
+    return frame.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
-    So the rows of one micro-batch are bounded by the number of batches, as a live source's are by its rate.
+
+def replay_state(frame: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], name: str, variable: str, batches: int = 3) -> DataFrame:
+    """What a stream still holds in a state variable (key, value, ...) after the table, read from its state store."""
+    folder, _ = _replayed(frame, by, build, name, batches)
+    return frame.sparkSession.read.format("statestore").option("stateVarName", variable).load(f"{folder}/checkpoint")
+
+
+def _replayed(frame: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], name: str, batches: int) -> tuple[str, DataFrame]:
+    """Run a stream over a table in ranges of about equal numbers of rows; its folder, and the stream.
+
+    The table is written once, cut by Spark's range partitioning. Then one range after another is handed to the
+    source's folder, in many files, and the stream runs on from its checkpoint, as after a restart. No range goes through one task.
     """
     spark = frame.sparkSession
-    least, most = frame.agg(F.min(by), F.max(by)).first()
-    folder = f"{shared_folder(spark)}/streams/source-{uuid.uuid4().hex}"
-    step = max(1, -(-((most or 0) - (least or 0) + 1) // batches))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    ordered = frame.repartitionByRange(batches, by).withColumn("_range", F.spark_partition_id())
+    ordered.write.partitionBy("_range").parquet(f"{folder}/ordered")
+    ranges = spark.read.schema(f"{_ddl(frame)}, _range int").parquet(f"{folder}/ordered")
+    stream = build(spark.readStream.schema(frame.schema).parquet(f"{folder}/source/*"))
     for k in range(batches):
-        low = (least or 0) + k * step
-        part = frame.filter((F.col(by) >= low) & (F.col(by) < low + step))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        part = ranges.where(F.col("_range") == k).drop("_range")
+        part.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/source/{k}")
+        run_once(stream, folder)
+    return folder, stream
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Process what the source holds now, and return what was written."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    folder = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in frame.dtypes)
+
+
+def run_once(stream: DataFrame, folder: str) -> None:
+    """Process what the source holds now, from the checkpoint on."""
     run = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
@@ -41,4 +60,11 @@ def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     run.awaitTermination()
+
+
+def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Process what the source holds now, and return what was written."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    run_once(stream, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
