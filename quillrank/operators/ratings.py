@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.citing import cited_numbers
 from quillrank.functions.words import strip
 
 
@@ -77,3 +78,24 @@ def fold_source_ratings(events: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by("rating", "seq").alias("rating")
     )
     return last.filter(F.col("rating").isNotNull())
+
+
+def cited_flags(answers: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Sources (keys, number, …) with ``cited``: whether the ``answer`` of their keys names their number."""
+    numbers = answers.select(*keys, cited_numbers(F.col("answer")).alias("_cited"))
+    flag = F.coalesce(F.array_contains("_cited", F.col("number")), F.lit(False))
+    return sources.join(numbers, keys).withColumn("cited", flag).drop("_cited")
+
+
+def feedback_records(answers: DataFrame, sources: DataFrame, main: DataFrame, rated: DataFrame, keys: list[str]) -> DataFrame:
+    """What is kept for each answer that can be rated: question, answer, rating, sources, reasons and comment.
+
+    ``answers`` are those of ``rateable_answers``; ``sources`` (keys, number, id), at most a search's limit for each answer; ``main`` and
+    ``rated`` the folded ratings of answers and of sources. An answer that nobody rated has a record without ratings.
+    """
+    flagged = cited_flags(answers, sources, keys).join(rated.select(*keys, "number", "rating"), [*keys, "number"], "left")
+    listed = flagged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("number", "id", "cited", "rating"))).alias("_s"))
+    known = answers.join(listed, keys, "left").join(main.select(*keys, "rating", "reasons", "comment"), keys, "left")
+    none = F.array().cast("array<struct<id: string, cited: boolean, rating: string>>")
+    each = F.transform("_s", lambda s: F.struct(s["id"].alias("id"), s["cited"].alias("cited"), s["rating"].alias("rating")))
+    return with_defaults(known.select(*keys, "question", "answer", "rating", F.coalesce(each, none).alias("sources"), "reasons", "comment"))

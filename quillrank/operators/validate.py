@@ -138,8 +138,24 @@ def context_length(history: Column, summary: Column) -> Column:
     return total + F.coalesce(F.length(strip(string(summary))), F.lit(0))
 
 
-def _parsed(rows: DataFrame, body: str) -> DataFrame:
-    return rows.withColumn("_v", F.try_parse_json(body))
+# What each kind of body has. A field is read from the body once and is then a column, ``_message`` and so on.
+REQUEST = ["message", "history", "summary", "symptoms", "diseases"]
+COMPACT = ["history", "summary"]
+CHAT = ["title", "updatedAt", "messages", "history", "summary"]
+RATED = ["question", "answer", "rating", "sources", "reasons", "comment"]
+
+
+def _parsed(rows: DataFrame, body: str, names: list[str]) -> DataFrame:
+    parsed = rows.withColumn("_v", F.try_parse_json(body))
+    return parsed.select("*", *[field(F.col("_v"), name).alias(f"_{name}") for name in names])
+
+
+def _values(names: list[str]) -> list[Column]:
+    return [F.col("_v"), *[F.col(f"_{name}") for name in names]]
+
+
+def _bare(judged: DataFrame, names: list[str]) -> DataFrame:
+    return judged.drop("_v", *[f"_{name}" for name in names])
 
 
 def _object_error(value: Column, what: str) -> Column:
@@ -148,44 +164,49 @@ def _object_error(value: Column, what: str) -> Column:
     )
 
 
-def validate_requests(rows: DataFrame, body: str = "body") -> DataFrame:
-    """``error`` of each question, and its trimmed ``message`` when it has none."""
-    parsed = _parsed(rows, body)
-    v = F.col("_v")
-    history, summary = field(v, "history"), field(v, "summary")
-    symptoms, diseases = field(v, "symptoms"), field(v, "diseases")
+def judged_requests(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each question, beside its fields."""
+    v, message, history, summary, symptoms, diseases = _values(REQUEST)
     too_long = context_length(history, summary) > fixed.MAX_HISTORY_CHARS
     found = F.coalesce(
         _object_error(v, "request"),
-        turn_text(field(v, "message"), "message"),
+        turn_text(message, "message"),
         optional(history, history_error(history)),
         optional(summary, turn_text(summary, "summary")),
         optional(symptoms, confirmed_error(symptoms, "symptom", "symptoms", fixed.MAX_SYMPTOMS, fixed.MAX_SYMPTOM_CHARS)),
         optional(diseases, confirmed_error(diseases, "disease", "diseases", fixed.MAX_DISEASES, fixed.MAX_DISEASE_CHARS)),
-        error(unknown(v, ["message", "history", "summary", "symptoms", "diseases"]), "unexpected request field"),
+        error(unknown(v, REQUEST), "unexpected request field"),
         error(too_long, f"history must not exceed {fixed.MAX_HISTORY_CHARS} characters"),
     )
-    message = F.when(F.col("error").isNull(), strip(string(field(v, "message"))))
-    return parsed.withColumn("error", found).withColumn("message", message).drop("_v")
+    return _parsed(rows, body, REQUEST).withColumn("error", found)
 
 
-def validate_compact(rows: DataFrame, body: str = "body") -> DataFrame:
-    """``error`` of each request to condense a history."""
-    parsed = _parsed(rows, body)
-    v = F.col("_v")
-    history, summary = field(v, "history"), field(v, "summary")
+def validate_requests(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each question, and its trimmed ``message`` when it has none."""
+    message = F.when(F.col("error").isNull(), strip(string(F.col("_message"))))
+    return _bare(judged_requests(rows, body).withColumn("message", message), REQUEST)
+
+
+def judged_compacts(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each request to condense a history, beside its fields."""
+    v, history, summary = _values(COMPACT)
     found = F.coalesce(
         _object_error(v, "request"),
         history_error(history),
         optional(summary, turn_text(summary, "summary")),
-        error(unknown(v, ["history", "summary"]), "unexpected request field"),
+        error(unknown(v, COMPACT), "unexpected request field"),
         error(
             context_length(history, summary) > fixed.MAX_HISTORY_CHARS,
             f"history must not exceed {fixed.MAX_HISTORY_CHARS} characters",
         ),
         error(F.size(items(history)) <= fixed.KEPT_TURNS, "there is nothing to compact"),
     )
-    return parsed.withColumn("error", found).drop("_v")
+    return _parsed(rows, body, COMPACT).withColumn("error", found)
+
+
+def validate_compact(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each request to condense a history."""
+    return _bare(judged_compacts(rows, body), COMPACT)
 
 
 def _is_citation(value: Column) -> Column:
@@ -206,11 +227,9 @@ def _is_citation(value: Column) -> Column:
     return whole
 
 
-def validate_chats(rows: DataFrame, body: str = "body") -> DataFrame:
-    """``error`` of each whole chat that is to be saved."""
-    parsed = _parsed(rows, body)
-    v = F.col("_v")
-    messages, history, summary = field(v, "messages"), field(v, "history"), field(v, "summary")
+def judged_chats(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each whole chat that is to be saved, beside its fields."""
+    v, title, updated_at, messages, history, summary = _values(CHAT)
 
     def is_message(value: Column) -> Column:
         sources = field(value, "sources")
@@ -230,23 +249,26 @@ def validate_chats(rows: DataFrame, body: str = "body") -> DataFrame:
 
     found = F.coalesce(
         _object_error(v, "chat"),
-        error(~F.coalesce(is_text(field(v, "title"), fixed.MAX_TITLE_CHARS, 1), F.lit(False)), "invalid title"),
-        error(~F.coalesce(is_whole(field(v, "updatedAt")), F.lit(False)), "invalid updatedAt"),
+        error(~F.coalesce(is_text(title, fixed.MAX_TITLE_CHARS, 1), F.lit(False)), "invalid title"),
+        error(~F.coalesce(is_whole(updated_at), F.lit(False)), "invalid updatedAt"),
         error(~is_kind(messages, "ARRAY") | (F.size(items(messages)) == 0), "invalid messages"),
         error(~F.forall(items(messages), is_message), "invalid messages"),
         error(F.size(items(messages)) > fixed.MAX_MESSAGES, f"a chat must not exceed {fixed.MAX_MESSAGES} messages"),
         history_error(history),
         optional(summary, error(~F.coalesce(is_text(summary, fixed.MAX_TURN_CHARS), F.lit(False)), "invalid summary")),
-        error(unknown(v, ["title", "updatedAt", "messages", "history", "summary"]), "unexpected chat field"),
+        error(unknown(v, CHAT), "unexpected chat field"),
     )
-    return parsed.withColumn("error", found).drop("_v")
+    return _parsed(rows, body, CHAT).withColumn("error", found)
 
 
-def validate_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
-    """``error`` of each feedback; if none, its ``comment``, trimmed and NULL when blank."""
-    parsed = _parsed(rows, body)
-    v = F.col("_v")
-    rating, sources, reasons, comment = (field(v, name) for name in ("rating", "sources", "reasons", "comment"))
+def validate_chats(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each whole chat that is to be saved."""
+    return _bare(judged_chats(rows, body), CHAT)
+
+
+def judged_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each feedback, beside its fields."""
+    v, question, answer, rating, sources, reasons, comment = _values(RATED)
 
     def is_rating(value: Column) -> Column:
         return F.coalesce(is_kind(value, "VOID") | is_one_of(value, fixed.RATINGS), F.lit(False))
@@ -275,8 +297,8 @@ def validate_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
     )
     found = F.coalesce(
         _object_error(v, "feedback"),
-        error(~F.coalesce(is_text(field(v, "question"), fixed.MAX_TURN_CHARS, 1), F.lit(False)), "invalid question"),
-        error(~F.coalesce(is_text(field(v, "answer"), fixed.MAX_ANSWER_CHARS, 1), F.lit(False)), "invalid answer"),
+        error(~F.coalesce(is_text(question, fixed.MAX_TURN_CHARS, 1), F.lit(False)), "invalid question"),
+        error(~F.coalesce(is_text(answer, fixed.MAX_ANSWER_CHARS, 1), F.lit(False)), "invalid answer"),
         error(~is_rating(rating), "invalid rating"),
         error(
             ~is_kind(sources, "ARRAY")
@@ -286,16 +308,136 @@ def validate_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
         ),
         optional(reasons, reason_errors),
         optional(comment, comment_errors),
-        error(
-            unknown(v, ["question", "answer", "rating", "sources", "reasons", "comment"]), "unexpected feedback field"
-        ),
+        error(unknown(v, RATED), "unexpected feedback field"),
         error(
             (F.size(given) > 0) & (F.coalesce(string(rating), F.lit("")) != "down"),
             "only an answer rated down has reasons",
         ),
     )
-    kept = F.when(F.col("error").isNull(), F.nullif(strip(string(comment)), F.lit("")))
-    return parsed.withColumn("error", found).withColumn("comment", kept).drop("_v")
+    return _parsed(rows, body, RATED).withColumn("error", found)
+
+
+def trimmed_comment() -> Column:
+    return F.nullif(strip(string(F.col("_comment"))), F.lit(""))
+
+
+def validate_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``error`` of each feedback; if none, its ``comment``, trimmed and NULL when blank."""
+    judged = judged_feedback(rows, body).withColumn("comment", F.when(F.col("error").isNull(), trimmed_comment()))
+    return _bare(judged, RATED)
+
+
+# Typed rows --------------------------------------------------------------------------------------
+
+
+def _turns(history: Column) -> Column:
+    """Turns as structs, trimmed; none where there is no history."""
+    return F.transform(
+        items(history),
+        lambda t: F.struct(string(field(t, "role")).alias("role"), strip(string(field(t, "content"))).alias("content")),
+    )
+
+
+def _listed(values: Column) -> Column:
+    """A confirmed list, trimmed; NULL if it was not given."""
+    return F.when(~missing(values), F.transform(items(values), lambda x: strip(string(x))))
+
+
+def _given(value: Column) -> Column:
+    """NULL for a JSON null as for a missing value."""
+    return F.when(~is_kind(value, "VOID"), string(value))
+
+
+def _number(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "double").cast("long")
+
+
+def _valid(judged: DataFrame, names: list[str], **made: Column) -> DataFrame:
+    """The rows without an error, with typed columns."""
+    fine = judged.where(F.col("error").isNull()).withColumns(made)
+    return fine.drop("error", "_v", *[f"_{name}" for name in names])
+
+
+def valid_requests(rows: DataFrame, body: str = "body") -> DataFrame:
+    """The questions that pass: message, history (array of turns), summary, symptoms, diseases. What was put aside is in ``validate_requests``."""
+    _, message, history, summary, symptoms, diseases = _values(REQUEST)
+    return _valid(
+        judged_requests(rows, body),
+        REQUEST,
+        message=strip(string(message)),
+        history=_turns(history),
+        summary=strip(string(summary)),
+        symptoms=_listed(symptoms),
+        diseases=_listed(diseases),
+    )
+
+
+def valid_compacts(rows: DataFrame, body: str = "body") -> DataFrame:
+    """The requests to condense that pass: history and summary."""
+    _, history, summary = _values(COMPACT)
+    return _valid(judged_compacts(rows, body), COMPACT, history=_turns(history), summary=strip(string(summary)))
+
+
+def _citations(sources: Column) -> Column:
+    """Saved sources; NULL if the message has no list of them."""
+
+    def source(value: Column) -> Column:
+        texts = {"id": "id", "bookId": "book_id", "bookTitle": "book_title", "sectionTitle": "section_title", "text": "text"}
+        fields = [string(field(value, name)).alias(alias) for name, alias in texts.items()]
+        fields += [_given(field(value, name)).alias(alias) for name, alias in (("author", "author"), ("remedyName", "remedy_name"))]
+        indexes = F.transform(items(field(value, "passageIndexes")), _number)
+        return F.struct(*fields, indexes.alias("passage_indexes"))
+
+    return F.when(~missing(sources), F.transform(items(sources), source))
+
+
+def _messages(messages: Column) -> Column:
+    return F.transform(
+        items(messages),
+        lambda m: F.struct(
+            _number(field(m, "id")).alias("id"),
+            string(field(m, "role")).alias("role"),
+            string(field(m, "content")).alias("content"),
+            _citations(field(m, "sources")).alias("sources"),
+        ),
+    )
+
+
+def valid_chats(rows: DataFrame, body: str = "body") -> DataFrame:
+    """The chats that may be saved: title, updated_at, messages with their sources, history, summary."""
+    _, title, updated_at, messages, history, summary = _values(CHAT)
+    return _valid(
+        judged_chats(rows, body),
+        CHAT,
+        title=string(title),
+        updated_at=_number(updated_at),
+        messages=_messages(messages),
+        history=_turns(history),
+        summary=string(summary),
+    )
+
+
+def valid_feedback(rows: DataFrame, body: str = "body") -> DataFrame:
+    """The feedback that passes: question, answer, rating, sources, reasons (none by default) and comment."""
+    _, question, answer, rating, sources, reasons, _ = _values(RATED)
+    rated = F.transform(
+        items(sources),
+        lambda s: F.struct(
+            string(field(s, "id")).alias("id"),
+            F.try_variant_get(field(s, "cited"), "$", "boolean").alias("cited"),
+            _given(field(s, "rating")).alias("rating"),
+        ),
+    )
+    return _valid(
+        judged_feedback(rows, body),
+        RATED,
+        question=string(question),
+        answer=string(answer),
+        rating=_given(rating),
+        sources=rated,
+        reasons=F.transform(items(reasons), string),
+        comment=trimmed_comment(),
+    )
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

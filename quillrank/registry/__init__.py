@@ -60,3 +60,4 @@ def load_all() -> None:
         text,
         validation,
     )
+    from quillrank.registry import saving  # noqa: F401  (reads the SQL of the rules)
