@@ -2,21 +2,25 @@
 
 Two passes over the pages, with one shuffle of small counts between them:
 
-1. Each page is parsed once and gives a 64-bit key (of host, tags, classes and normalised text) of every block
-   element with text, inside and outside an article mark, and with it a witness: a hash of the page's text outside
-   that element. A subtree recurs if ``least`` pages with different witnesses have it, however large the host is.
-   Copies of one article agree in their remaining text, so they do not make its parts recur. Witnesses
-   set bits of four 64-bit maps, which Spark adds up by OR before the shuffle, so neither a hot host nor a hot
-   subtree gathers its rows anywhere; bits set are never more than witnesses, and four maps make a miss unlikely.
-2. Pages are parsed again: recurring subtrees are deleted, then those that their tag, role or class names as menu,
+1. Each page is parsed once. Every block element with text, inside and outside an article mark, gives a 64-bit key
+   (of host, tags, classes, normalised text and whether it lies inside the mark), its place (the path to it and its number
+   among its siblings, from either end) and a witness: a hash of the page's text outside the element. A row for each key of a batch holds the
+   number of pages, a 64-bit map of their witnesses, and sums of signs, +1 or -1 by bits of the witness and of the two
+   places. Spark adds all of that up before the shuffle, so neither a hot host nor a hot subtree gathers its rows anywhere.
+2. From those sums follows how alike the pages of a subtree are. If all n agree a sum is n or -n, if all differ about
+   the root of n; the mean square over n squared estimates how often two of the pages agree. A subtree recurs if
+   ``least`` pages that differ in their other text have it: copies of one article, edited or not, agree too often. Inside an
+   article mark two more tests hold, unless the subtree is mostly links: nearly all pages have it at the same place, and
+   the host has it far more often than a Poisson law with the rate of all other hosts allows. So sentences of the language, which
+   stand anywhere on many hosts, are kept however large a host is, and a notice that a host puts at one place goes.
+3. Pages are parsed again: recurring subtrees are deleted, then those that their tag, role or class names as menu,
    header, footer, sidebar, notice, advert, form or reader comments; scripts, styles and comments of the
    markup never count as text. What is left is cut into blocks. The keys that recur are broadcast if their written
    size allows it; else each chunk of ``chunk_rows`` neighbouring pages is joined with the keys that it has.
 
-The mark of an article (``article`` or ``main``) is a check made after that. Text outside it goes. Inside it the witness is the
-least hash of the other texts inside, so that copies with an edited passage mostly agree; and if recurrence would
-take more than half of the characters inside, the page is a near copy, and only what is mostly links goes there.
-So a notice longer than the article beside it stays. Pages without such a mark keep the blocks of the body.
+The mark of an article (``article`` or ``main``) is a check made after that: text outside it goes. Inside it the witness is the
+least hash of the other texts inside, longer ones first, so that copies with an edited passage mostly agree. Pages without such a
+mark keep the blocks of the body. The sums estimate: a subtree that recurs on barely enough pages may be missed.
 
 A null or empty html gives an empty text. A null or odd url is a host of its own ("" ). Repeated rows are judged each
 for itself. Empty tables give empty results. Other columns pass through, result names are replaced.
@@ -31,19 +35,24 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillrank.llm.frames import BROADCAST_BYTES, add_columns, table, without
+from quillrank.llm.frames import BROADCAST_BYTES, add_columns, small_enough, table, without
 from quillrank.llm.registry import query
 from quillrank.llm.url_filter import url_host
 from quillrank.sources.shared import materialise
 
 LEAST = 4
 CHUNK_ROWS = 1_024
-MAPS = 4  # of 64 bits, in which witnesses are counted
+SHORT = 20  # characters
+INSIDE = 6  # pages that must have a subtree of an article at one place
+SIGNS, PLACES = 8, 4  # sums of signs, of witnesses and of each of the two places
+DIFFER = 0.75  # of the pages, where their witnesses can be counted by the map
+SAME_PLACE = 0.6  # of pairs of pages
+UNUSUAL = 5.0  # standard deviations above what other hosts have
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)(?:>|\Z)", re.S
@@ -101,6 +110,16 @@ def parse(source: str) -> Node:
     """The element tree; unclosed and misplaced tags are mended as browsers mostly do."""
     root = Node("html")
     stack = [root]
+    open_at: dict[str, list[int]] = {}  # where elements of a tag lie on the stack; so an end tag is found at once
+    block_at = [0]
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            open_at[node.tag].pop()
+        del stack[k:]
+        while block_at[-1] >= k:
+            block_at.pop()
+
     at, end = 0, len(source)
     while at < end:
         found = TOKEN.search(source, at)
@@ -115,31 +134,28 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline end tag does not end a block
+            k = open_at[tag][-1] if open_at.get(tag) else 0
+            if k and (tag in BLOCK or k > block_at[-1]):  # an inline end tag does not end a block
+                close(k)
             continue
         attributes = found[3]
         if tag in BLOCK or tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = stack[k].tag
-                if open_tag == "p" and tag in BLOCK:
-                    del stack[k:]
-                    break
-                if open_tag in CLOSES.get(tag, ()):
-                    del stack[k:]
+                if (open_tag == "p" and tag in BLOCK) or open_tag in CLOSES.get(tag, ()):
+                    close(k)
                     break
                 if open_tag in BARRIERS.get(tag, ()) or (open_tag in BLOCK and tag not in CLOSES):
                     break
         node = new_node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = close.end() if close else end
+            ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            at = ended.end() if ended else end
         elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "use")):
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                block_at.append(len(stack))
             stack.append(node)
     return root
 
@@ -185,7 +201,8 @@ def note_hashes(root: Node, has_core: bool, sink: list[tuple[Node, int, int, int
                     if current.tag == "a":
                         sums[1] += len(text)
                     if current.core if has_core else current.shown:
-                        pieces.append(hash64(text))
+                        # Short texts come last in the order: many pages have them, so they tell pages apart badly.
+                        pieces.append(hash64(text) >> 1 | (len(text) < SHORT) << 63)
             else:
                 stack.append((child, iter(child.children), [child.tag, child.names], [0, 0], len(pieces)))
                 break
@@ -218,9 +235,9 @@ def mark_core(root: Node) -> bool:
     return found
 
 
-def site_key(site: int, value: int) -> int:
-    """One 64-bit number of a host and a subtree's hash."""
-    return ((site ^ value) * 0x9E3779B97F4A7C15 + (value >> 7)) & (2**64 - 1)
+def site_key(site: int, value: int, core: bool) -> int:
+    """One 64-bit number of a host, a subtree's hash and whether it lies inside an article."""
+    return ((site ^ value) * 0x9E3779B97F4A7C15 + (value >> 7) + core) & (2**64 - 1)
 
 
 def subtrees(root: Node, has_core: bool) -> tuple[list, list[int]]:
@@ -250,18 +267,23 @@ def witnesses(found: list, pieces: list[int]) -> list[int | None]:
     return out
 
 
-def template_nodes(root: Node, has_core: bool, site: int, recurring) -> set[int]:
-    """The elements that recur on the host; inside an article only lists of links, if the others are most of it."""
-    found = [(node, size, 2 * linked > size) for node, value, size, linked, _ in subtrees(root, has_core)[0] if site_key(site, value) in recurring]
-    prose = {id(node) for node, _, links in found if node.core and not links}
-    if prose and 2 * shown_size(root, prose) < shown_size(root, set()):
-        found = [f for f in found if id(f[0]) not in prose]
-    return {id(node) for node, _, _ in found}
+def places(root: Node) -> dict[int, tuple[int, int]]:
+    """Of each element, hashes of the path to it with its number among its siblings from the first and from the last."""
+    out: dict[int, tuple[int, int]] = {}
+    stack = [(root, "")]
+    while stack:
+        node, path = stack.pop()
+        path = f"{path}/{node.tag}"[-200:]
+        inside = [child for child in node.children if not isinstance(child, str)]
+        for k, child in enumerate(inside):
+            out[id(child)] = (hash64(f"{path}/{child.tag}#{k}"), hash64(f"{path}/{child.tag}#{k - len(inside)}"))
+            stack.append((child, path))
+    return out
 
 
-def shown_size(root: Node, deleted: set[int]) -> int:
-    """Characters of the article without the deleted elements."""
-    return sum(map(len, blocks(root, True, deleted)))
+def template_nodes(root: Node, has_core: bool, site: int, recurring) -> set[int]:
+    """The elements that recur on the host."""
+    return {id(node) for node, value, *_ in subtrees(root, has_core)[0] if site_key(site, value, node.core) in recurring}
 
 
 def blocks(root: Node, has_core: bool, deleted: set[int]) -> list[str]:
@@ -298,13 +320,18 @@ def blocks(root: Node, has_core: bool, deleted: set[int]) -> list[str]:
     return out
 
 
-def page_keys(source: str | None, site: int) -> dict[int, int | None]:
-    """The key of each subtree of a page, with its witness."""
+def page_keys(source: str | None, site: int) -> dict[int, tuple]:
+    """The key of each subtree of a page, with (witness, places, value, inside an article, mostly links)."""
     if not source:
         return {}
     root = parse(source)
     found, pieces = subtrees(root, mark_core(root))
-    return {site_key(site, f[1]): witness for f, witness in zip(found, witnesses(found, pieces), strict=True)}
+    place = places(root)
+    return {
+        site_key(site, value, node.core): (witness, place[id(node)], value, node.core, 2 * linked > size)
+        for (node, value, size, linked, _), witness in zip(found, witnesses(found, pieces), strict=True)
+        if node is not root
+    }
 
 
 def main_text(source: str | None, recurring, site: int = 0) -> str:
@@ -320,25 +347,67 @@ def signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def site_templates(pages: DataFrame, host: str, html: str, least: int) -> DataFrame:
-    """The keys of the subtrees that recur across a host's pages."""
-    names = [f"m{k}" for k in range(MAPS)]
+SUMS = [f"w{k}" for k in range(SIGNS)] + [f"p{k}" for k in range(PLACES)] + [f"q{k}" for k in range(PLACES)]
+
+
+def signs(witness: int, place: tuple[int, int]) -> list[int]:
+    """+1 or -1 for each sum."""
+    return [2 * (number >> k & 1) - 1 for number, n in ((witness, SIGNS), (place[0], PLACES), (place[1], PLACES)) for k in range(n)]
+
+
+def counted(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """A row for each subtree of a host: pages, map and sums."""
+    schema = ", ".join(["subtree long, site long, value long, core boolean, links boolean, n long, seen long", *(f"{c} long" for c in SUMS)])
 
     def kernel(batches):
         for batch in batches:
-            maps: dict[int, list[int]] = {}
+            rows: dict[int, list] = {}
             for site, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for key, witness in page_keys(source, site & (2**64 - 1)).items():
-                    if witness is not None:
-                        bits = maps.setdefault(key, [0] * MAPS)
-                        for k in range(MAPS):
-                            bits[k] |= 1 << (witness >> (7 + 11 * k) & 63)
-            columns = [signed(list(maps))] + [signed([bits[k] for bits in maps.values()]) for k in range(MAPS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["subtree", *names])
-
-    seen = pages.select(F.col(host), F.col(html)).mapInArrow(kernel, ", ".join(["subtree long", *(f"{n} long" for n in names)]))
-    counts = seen.groupBy("subtree").agg(*[F.bit_or(n).alias(n) for n in names])
-    return counts.where(F.greatest(*[F.bit_count(n) for n in names]) >= least).select("subtree")
+                for key, (witness, place, value, core, links) in page_keys(source, site & (2**64 - 1)).items():
+                    if witness is None:
+                        continue
+                    row = rows.setdefault(key, [site, value, core, links, 0, 0, *([0] * len(SUMS))])
+                    row[4] += 1
+                    row[5] |= 1 << (witness >> 50 & 63)
+                    for k, sign in enumerate(signs(witness, place), 6):
+                        row[k] += sign
+            columns = list(zip(*rows.values(), strict=True)) or [()] * (6 + len(SUMS))
+            arrays = [signed(list(rows)), pa.array(columns[0], pa.int64()), signed(columns[1]), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.bool_())]
+            arrays += [pa.array(columns[4], pa.int64()), signed(columns[5]), *[pa.array(c, pa.int64()) for c in columns[6:]]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["subtree", "site", "value", "core", "links", "n", "seen", *SUMS])
+
+    seen = pages.select(F.col(host), F.col(html)).mapInArrow(kernel, schema)
+    sums = [F.sum(c).alias(c) for c in SUMS]
+    return seen.groupBy("subtree", "site", "value", "core").agg(F.max("links").alias("links"), F.sum("n").alias("n"), F.bit_or("seen").alias("seen"), *sums)
+
+
+def alike(names: list[str]) -> Column:
+    """How often two of the pages agree, from sums of signs."""
+    squares = sum((F.col(c).cast("double") * F.col(c) for c in names), F.lit(0.0))
+    return squares / len(names) / (F.col("n").cast("double") * F.col("n"))
+
+
+def site_templates(pages: DataFrame, host: str, html: str, least: int) -> DataFrame:
+    """The keys of the subtrees that recur across a host's pages."""
+    rows = materialise(counted(pages, host, html), "subtrees")
+    # By linear counting; a full map says that there are many.
+    empty = 64 - F.bit_count("seen")
+    distinct = F.when(empty > 16, -64 * F.log(empty / 64)).otherwise(F.col("n"))
+    differ = (distinct >= F.greatest(F.lit(least) - 0.5, DIFFER * F.col("n"))) & (alike(SUMS[:SIGNS]) <= 4 / F.col("n"))
+    recurring = rows.where((F.col("n") >= least) & differ)
+    anywhere = recurring.where(~F.col("core") | F.col("links")).select("subtree")
+
+    one_place = F.greatest(alike(SUMS[SIGNS : SIGNS + PLACES]), alike(SUMS[SIGNS + PLACES :])) >= SAME_PLACE
+    inside = recurring.where(F.col("core") & ~F.col("links") & (F.col("n") >= INSIDE) & one_place)
+    inside = small_enough(materialise(inside.select("subtree", "site", "value", "n"), "inside"))
+    everywhere = rows.where("core").join(inside.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.sum("n").alias("all"))
+    sizes = pages.groupBy(F.col(host).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
+    total = sizes.agg(F.sum("pages").alias("p")).select("p").scalar()
+    known = inside.join(everywhere, "value").join(sizes, "site")
+    others = F.greatest(total - F.col("pages"), F.lit(1))
+    usual = F.col("pages") * (F.col("all") - F.col("n")) / others
+    own = known.where(F.col("n") - usual >= least + UNUSUAL * F.sqrt(usual)).select("subtree")
+    return anywhere.unionByName(own)
 
 
 def extract_main_text(

@@ -1,7 +1,10 @@
+import math
+
 import messy
+import numpy as np
 import pytest
 
-from quillrank.llm.site_templates import extract_main_text, main_text, op1
+from quillrank.llm.site_templates import extract_main_text, main_text, op1, parse
 from quillrank.llm.url_filter import best_threshold, filter_urls
 
 
@@ -71,16 +74,90 @@ def test_empty_pages(spark):
     assert filter_urls(pages.drop("html")).count() == 0
 
 
-def test_page_query_keeps_the_article(spark):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_page_query_keeps_the_article(spark, scale):
     import html
     import re
 
-    sf = "/root/testdata/sf0.001"
+    sf = f"/root/testdata/{scale}"
     sources = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    lost = 0
     for row in op1(spark, sf).collect():
         inside = re.search(r"<article>(.*)</article>", sources[row["page_id"]], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub("</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
-        assert row["text"] == "\n".join(p for p in parts if p) and row["n_chars"] == len(row["text"])
+        lost += row["text"] != "\n".join(p for p in parts if p)
+        assert row["n_chars"] == len(row["text"])
+    assert lost == 0
+
+
+def story(k, notice=""):
+    """A page whose article has a few common sentences as blocks of their own, at places that vary."""
+    words = messy.prose(k, 40).split()
+    blocks = [" ".join(words[i : i + 8]) for i in range(0, 40, 8)]
+    for n, common in enumerate(["Les.", "And so on.", "It ends here."]):
+        blocks.insert((k * (7 + n) + k // 3) % (len(blocks) + 1), common)
+    return f"<body><main><h1>{words[0]} {k}</h1>{notice}" + "".join(f"<p>{b}</p>" for b in blocks) + "</main></body>"
+
+
+@pytest.mark.parametrize("pages", [100, 900])
+@pytest.mark.parametrize("hosts", [1, 20])
+def test_sentences_of_the_language_stay_however_large_a_host_is(spark, pages, hosts):
+    notice = "<p>Join our readers today</p>"
+    rows = [(k, f"http://h{k % hosts}.org/{k}", story(k, notice if k % hosts == 0 and k % 2 == 0 else "")) for k in range(pages)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for row in got:
+        want = main_text(story(row["page_id"]), None)
+        few = sum(k % hosts == 0 and k % 2 == 0 for k in range(pages)) < 12  # too few to tell
+        assert row["text"] == want or (few and "Join" in row["text"])
+
+
+def test_recurrence_as_added_up_plainly(spark):
+    from collections import defaultdict
+
+    from quillrank.llm import site_templates as st
+
+    rows = [(f"http://h{k % 7}.org/{k}", story(k % 60, "<div>Own notice</div>" if k % 7 == 3 else "<div>Our notice</div>" if k % 2 else "")) for k in range(210)]
+    frame = spark.createDataFrame(rows, "url string, html string").withColumn("_site", st.F.xxhash64(st.url_host(st.F.col("url"))))
+    got = {r["subtree"] & (2**64 - 1) for r in st.site_templates(frame, "_site", "html", st.LEAST).collect()}
+    pages = defaultdict(list)
+    sizes = defaultdict(int)
+    for row in frame.collect():
+        sizes[row["_site"]] += 1
+        for key, found in st.page_keys(row["html"], row["_site"] & (2**64 - 1)).items():
+            if found[0] is not None:
+                pages[key].append((row["_site"], *found))
+    everywhere = defaultdict(int)
+    for found in pages.values():
+        everywhere[found[0][3]] += len(found) * found[0][4]
+    want = set()
+    for key, found in pages.items():
+        n = len(found)
+        sums = np.array([st.signs(witness, place) for _, witness, place, *_ in found]).sum(axis=0)
+        agree = lambda part: (part.astype(float) ** 2).mean() / n**2
+        empty = 64 - len({w >> 50 & 63 for _, w, *_ in found})
+        distinct = -64 * math.log(empty / 64) if empty > 16 else n
+        if n < 4 or distinct < max(3.5, 0.75 * n) or agree(sums[:8]) > 4 / n:
+            continue
+        site, _, _, value, core, links = found[0]
+        if core and not links:
+            usual = sizes[site] * (everywhere[value] - n) / max(len(rows) - sizes[site], 1)
+            if n < 6 or max(agree(sums[8:12]), agree(sums[12:])) < 0.6 or n - usual < 4 + 5 * math.sqrt(usual):
+                continue
+        want.add(key)
+    assert got == want and want
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        for page in ("<div>" * n + "</section>" * n, "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n + "x", "<li>" * n + "<td>" * n + "</p>" * n):
+            parse(page)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 0.5
 
 
 URLS = [
