@@ -1,7 +1,8 @@
 """A corpus from raw documents, in stages that are each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The columns of ``documents``
-stay the same up to the last stage, which returns token ids in the place of the text. Rows with a null or empty text are no
+stay the same up to the last stage, which returns token ids in the place of the text, the digest of what they decode to, and whether
+that is the text. Rows with a null or empty text are no
 text in any language and leave at the first stage. An empty table gives an empty result.
 """
 
@@ -50,8 +51,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts."""
-    return encode(docs.select(COLUMNS)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
+    """Token ids of the texts, decoded again: the decoded text's digest, and whether it is the text (the word mark ``▁`` being a blank)."""
+    whole = encode(docs.select(COLUMNS), decoded=True)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return whole.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", digest.alias("text_sha256"), same.alias("round_trip"))
 
 
 STAGES = [
