@@ -23,6 +23,7 @@ for itself. Empty tables give empty results. Other columns pass through; result
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -106,18 +107,39 @@ class Vocabulary:
         self.remembered = None
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
-        """Merging by rank, leftmost first, until ``stop`` parts are left or no pair is a piece."""
-        parts = list(text)
-        while len(parts) > stop:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                rank = self.rank_of.get(parts[k] + parts[k + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Merging by rank, leftmost first, until ``stop`` parts are left or no pair is a piece.
+
+        The pairs wait in a heap, parts are linked by place: a long text takes little more time a character than a short one.
+        """
+        parts: list[str | None] = list(text)
+        after = list(range(1, len(parts) + 1))
+        before = list(range(-1, len(parts) - 1))
+        waiting: list[tuple[int, int, int]] = []
+
+        def offer(k: int) -> None:
+            following = after[k]
+            if following < len(parts):
+                rank = self.rank_of.get(parts[k] + parts[following])
+                if rank is not None:
+                    heapq.heappush(waiting, (rank, k, len(parts[k]) + len(parts[following])))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        left = len(parts)
+        while waiting and left > stop:
+            _, k, size = heapq.heappop(waiting)
+            following = after[k]
+            if parts[k] is None or following >= len(parts) or len(parts[k]) + len(parts[following]) != size:
+                continue  # one side has been merged meanwhile
+            parts[k], parts[following] = parts[k] + parts[following], None
+            after[k] = after[following]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            left -= 1
+            offer(k)
+            if before[k] >= 0:
+                offer(before[k])
+        return [part for part in parts if part is not None]
 
     def merged_ids(self, text: str) -> list[int]:
         out: list[int] = []

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import messy
 import numpy as np
@@ -35,6 +36,17 @@ def test_encoding_equals_the_library(spark, model):
     assert pieces.decode_ids(ids, counts, pieces.vocabulary_of(pieces.MODEL)) == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_runs_of_spaces_take_linear_time(model):
+    vocabulary = pieces.vocabulary_of(pieces.MODEL)
+    for text in (" " * 100_000, "a  " + "b" * 100_000, ("x" + " " * 7) * 12_000, "  " + "ab" * 30_000 + "   c"):
+        start = time.perf_counter()
+        ids, counts = pieces.encode_texts([text], vocabulary)
+        assert time.perf_counter() - start < 10
+        assert pieces.decode_ids(ids, counts, vocabulary) == [text]
+        short = text[:3_000]
+        assert pieces.encode_texts([short], vocabulary)[0].tolist() == model.encode(short)
+
+
 def test_merges_of_the_border_are_decided_right():
     """For pairs of pieces: v may follow u if merging their text gives u and v."""
     vocabulary = pieces.vocabulary_of(pieces.MODEL)
@@ -96,6 +108,9 @@ def test_pipeline_stage_by_stage(spark, model):
     texts = dict(read(clean))
     encoded = stages["piece_encoding"](spark, clean, sf).collect()
     assert {r["doc_id"]: r["ids"] for r in encoded} == {i: model.encode(t) for i, t in texts.items()}
+    for r in encoded:
+        text = texts[r["doc_id"]]
+        assert r["round_trip"] and r["text_sha256"] == hashlib.sha256(text.replace("▁", " ").encode()).hexdigest()
 
 
 def test_pipeline_bears_messy_rows(spark):
