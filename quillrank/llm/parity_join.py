@@ -47,7 +47,8 @@ from quillrank.sources.shared import materialise
 
 GROWTH = 1.6
 SKETCH_WORDS = 8
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 500_000
+KEY_BYTES = 8_000_000  # of texts whose keys are held at once
 
 
 class Bands:
@@ -208,15 +209,16 @@ def meeting_rows(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def key_blocks(words: int, percent: int, buckets: int):
-    """Kernel over (id, text): BLOCKs of a batch's keys.
+    """Kernel over (id, text): BLOCKs of the keys of a few megabytes of texts.
 
-    The smallest id of each key goes to the key's bucket. The batch's own groups are complete as they are; they
+    The smallest id of each key goes to the key's bucket. Groups among these texts are complete as they are; they
     are dealt to any buckets, so that a key that many texts have burdens none.
     """
 
     def kernel(batches):
         bands = Bands(percent)
-        for batch in batches:
+        parts = (batch.slice(a, b - a) for batch in batches for a, b in slices(text_bytes(batch.column(1))[1], KEY_BYTES))
+        for batch in parts:
             keys, ids = keys_of(batch.column(1), batch.column(0).to_numpy(), words, bands)
             rows = []
             starts = group_starts(keys)
