@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillrank.operators import chats as ch
 from quillrank.operators import limits as lim
 from quillrank.operators import validate as val
-from quillrank.sources.shared import materialise
+from quillrank.sources.shared import materialise, path_exists
 
 KEYS = ["user_id", "chat_id"]
 BUCKETS = 64
@@ -121,16 +121,12 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], result: str):
         self.spark, self.folder, self.tables, self.result = spark, folder.rstrip("/"), tables, result
 
-    def exists(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-
     def bucket(self):
         return F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def read(self, name: str) -> DataFrame:
         schema = self.tables[name]
-        if not self.exists(f"{self.folder}/{name}"):
+        if not path_exists(self.spark, f"{self.folder}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/{name}").drop("bucket")
 
@@ -142,7 +138,7 @@ class Store:
         return f"{self.folder}/staged/{batch}"
 
     def marked(self, batch: int) -> bool:
-        return self.exists(f"{self.staged(batch)}/marker/_SUCCESS")
+        return path_exists(self.spark, f"{self.staged(batch)}/marker/_SUCCESS")
 
     def stage(self, batch: int, changed: dict[str, tuple[DataFrame, list[str]]], result: DataFrame) -> None:
         """Write the buckets as they will be. ``changed``: rows that replace all stored ones with the same keys."""
@@ -166,7 +162,7 @@ class Store:
         """Finish a batch that is marked; what it decided. None if it has to run."""
         if not self.marked(batch):
             return None
-        if not self.exists(f"{self.staged(batch)}/applied/_SUCCESS"):
+        if not path_exists(self.spark, f"{self.staged(batch)}/applied/_SUCCESS"):
             self.apply(batch)
         return self.spark.read.schema(self.result).parquet(f"{self.staged(batch)}/result")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from quillrank.functions.paths import aphorism_label, section_title, subject_key
 from quillrank.operators import bm25, fusion
 from quillrank.operators.knn import nearest
 from quillrank.operators.ordered import top_k
+from quillrank.operators.segments import Index
 from quillrank.plans import retrieval as plan
 from quillrank.registry import query
 from quillrank.sources import passages as src
 from quillrank.sources import views as v
+from quillrank.sources.shared import shared_folder
 
 LIMIT = 5
 
@@ -170,6 +174,21 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "book_id", "id", F.col("pos").cast("long").alias("pos"), rounded())
 
 
+@query("search_index", "SELECT query_id, book_id, id, pos, round(score, 6) AS score FROM v_sparse WHERE pos <= 10")
+def search_index(spark, sf):
+    """Through the stored index, after passages came in two segments, some of them out of date, and others went again."""
+    passages = v.passages(spark, sf).select("book_ord", "id", "book_id", "subject", "content")
+    index = Index(spark, f"{shared_folder(spark)}/stores/index-{uuid.uuid4().hex}")
+    odd = F.col("id") % 2 == 1
+    stale = passages.where(odd & (F.col("id") % 3 == 0)).withColumn("content", F.concat("content", F.lit(" "), "content"))
+    extra = passages.where(F.col("id") % 5 == 0).withColumn("id", -1 - F.col("id"))
+    index.add(passages.where(~odd).unionByName(stale).unionByName(extra))
+    index.add(passages.where(odd))
+    index.remove(extra.select("book_ord", "id"))
+    found = index.search(v.search_queries(spark, sf), 10)
+    return found.select("query_id", "book_id", "id", F.col("pos").cast("long").alias("pos"), rounded())
+
+
 @query("global_dense_rank", "SELECT query_id, book_id, id, pos, round(score, 6) AS score FROM v_dense")
 def global_dense_rank(spark, sf):
     found = plan.dense_ranking(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT)

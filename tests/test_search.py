@@ -145,3 +145,55 @@ def test_bm25_is_brute_force_with_and_without_a_stored_index(spark, tmp_path):
     stored = bm25.search_index(queries, path, k)
     assert results(stored) == expected
     assert "content" not in stored._jdf.queryExecution().toString()
+
+
+def test_index_in_segments_reads_few_blocks_and_survives_changes(spark, tmp_path):
+    from quillrank.operators.segments import Index
+
+    rng = random.Random(11)
+    common, rare = ["the", "of", "and"], [f"w{i}" for i in range(60)]
+
+    def text():
+        return " ".join(rng.choices(common, [9, 4, 1], k=rng.randint(5, 60)) + rng.choices(rare, k=4))
+
+    schema = "book_ord long, id long, book_id string, subject string, content string"
+    docs = {(i % 2, i): text() for i in range(700)}
+    frame = lambda some: spark.createDataFrame([(b, i, f"b{b}", "s", t) for (b, i), t in some.items()], schema)
+    queries = spark.createDataFrame(list(enumerate(["the w1 w2", "the of and", "w3 the w3", "nothing", ""])), "query_id long, text string")
+
+    def want(docs, k):
+        out = {}
+        for book in range(2):
+            words = {i: re.findall("[a-z0-9]+", t.lower()) for (b, i), t in docs.items() if b == book}
+            mean = sum(map(len, words.values())) / len(words)
+            df = Counter(w for x in words.values() for w in set(x))
+            for r in queries.collect():
+                scored = []
+                for i, x in words.items():
+                    tf, score = Counter(x), 0
+                    for w in set(re.findall("[a-z0-9]+", r.text)) & set(tf):
+                        idf = math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5))
+                        score += math.floor(tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) * idf * 1e9 + 0.5)
+                    if score:
+                        scored.append((-score, i))
+                out |= {(r.query_id, book, n + 1): i for n, (_, i) in enumerate(sorted(scored)[:k])}
+        return out
+
+    def found(index, k):
+        return {(r.query_id, r.book_ord, r.pos): r.id for r in index.search(queries, k).collect()}
+
+    index = Index(spark, str(tmp_path / "index"))
+    first = {key: t for key, t in docs.items() if key[1] < 500}
+    index.add(frame(first))
+    assert found(index, 5) == want(first, 5)
+    index.add(frame({key: t for key, t in docs.items() if key[1] >= 500}))
+    changed = {(0, 4): "w1 w2 w3", (1, 7): "the", (0, 900): "w1 the of"}
+    index.add(frame(changed))  # two of them replace what is there
+    index.remove(spark.createDataFrame([(0, 10), (1, 11), (1, 12_345)], "book_ord long, id long"))
+    docs = {key: t for key, t in (docs | changed).items() if key not in ((0, 10), (1, 11))}
+    assert found(index, 5) == want(docs, 5)
+    read, every = index.read_blocks.count(), index.blocks().where("term IN ('the', 'of', 'and', 'w1', 'w2', 'w3')").count()
+    assert read < 0.7 * every
+    index.merge()
+    assert index.manifest()[0][1] == "segment" and len(index.manifest()) == 1
+    assert found(index, 5) == want(docs, 5)
