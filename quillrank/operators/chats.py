@@ -9,6 +9,7 @@ from quillrank.functions.fixed_values import ID_PATTERN, MAX_LISTED_CHATS, MAX_L
 from quillrank.functions.paths import pad_index
 from quillrank.functions.prompts import title_from
 from quillrank.functions.words import strip
+from quillrank.operators import validate as val
 from quillrank.operators.ordered import top_k
 
 DAY_MS = 24 * 60 * 60 * 1000
@@ -72,7 +73,7 @@ def without_deleted(frame: DataFrame, deleted: DataFrame, key: str = "user_id")
     return frame.join(deleted.select(key), key, "left_anti")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, whole: bool = False) -> DataFrame:
     """The chats in each archive, a JSON array, newest first; what cannot be read is skipped.
 
     Values keep their JSON type here, so a number is not taken for a text.
@@ -99,12 +100,52 @@ def read_archives(archives: DataFrame) -> DataFrame:
             F.try_variant_get("entry", "$.id", "string").alias("chat_id"),
             F.try_variant_get("entry", "$.title", "string").alias("title"),
             F.try_variant_get("entry", "$.updatedAt", "bigint").alias("updated_at"),
+            *(["entry"] if whole else []),
         )
         .withColumn("place", F.row_number().over(place).cast("long"))
         .drop("position")
     )
 
 
+def whole_archives(archives: DataFrame) -> DataFrame:
+    """The chats of each archive as typed rows: messages with their sources, history and summary; newest first.
+
+    A field of another kind than it should have is NULL; ``entry`` keeps the chat as it was written, so nothing is lost on the way back.
+    """
+    listed = read_archives(archives, whole=True)
+    entry = F.col("entry")
+    history = F.transform(
+        val.items(val.field(entry, "history")),
+        lambda t: F.struct(val.string(val.field(t, "role")).alias("role"), val.string(val.field(t, "content")).alias("content")),
+    )
+    return listed.select(
+        "archive_id",
+        "place",
+        "chat_id",
+        "title",
+        "updated_at",
+        val.typed_messages(val.field(entry, "messages")).alias("messages"),
+        history.alias("history"),
+        val.string(val.field(entry, "summary")).alias("summary"),
+        F.to_json("entry").alias("entry"),
+    )
+
+
+def open_conversations(heads: DataFrame, messages: DataFrame) -> DataFrame:
+    """What opening chats gives, in long form: (keys, part, place, role, text), parts being message, history and summary.
+
+    ``heads`` (user_id, chat_id, history, summary) are the chats that exist; ``messages`` (user_id, chat_id, turn, role, text).
+    """
+    keys = ["user_id", "chat_id"]
+    said = messages.join(heads.select(*keys), keys).select(*keys, F.lit("message").alias("part"), F.col("turn").alias("place"), "role", "text")
+    turns = heads.select(*keys, F.posexplode("history").alias("place", "t"))
+    earlier = turns.select(*keys, F.lit("history").alias("part"), F.col("place").cast("long").alias("place"), "t.role", F.col("t.content").alias("text"))
+    short = heads.where(F.col("summary").isNotNull()).select(
+        *keys, F.lit("summary").alias("part"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("role"), F.col("summary").alias("text")
+    )
+    return said.unionByName(earlier).unionByName(short)
+
+
 def retain_newest(chats: DataFrame, quota: int, cap: int = MAX_LOCAL_CHATS, saved: Column | None = None) -> DataFrame:
     """The chats of each user that fit the quota of bytes; ``too_large`` if not even one does.
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import words
 from quillrank.functions.fixed_values import MAX_DISEASES, MAX_SYMPTOMS
 from quillrank.operators.ordered import top_k
+from quillrank.sources.shared import materialise, path_exists
 
 
 def distinct_keep_first(items: DataFrame, key: str, position: str, text: str, limit: int) -> DataFrame:
@@ -76,3 +77,45 @@ def model_replies(
             yield pd.DataFrame({key: batch[key], "reply": replies, "error": errors})
 
     return asked.mapInPandas(call, f"`{key}` {key_type}, reply string, error string")
+
+
+STORED = "digest string, reply string, error string, attempt long"
+
+
+class ReplyStore:
+    """Replies of a model by their prompt's digest, so that a run that stopped or failed in part asks only what is left.
+
+    A run writes its replies as a folder of their own; of one prompt the reply of the latest attempt counts. A prompt that
+    failed is asked again until ``attempts`` runs have tried it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, attempts: int = 3):
+        self.spark, self.folder, self.attempts = spark, folder.rstrip("/"), attempts
+
+    def runs(self) -> int:
+        number = 0
+        while path_exists(self.spark, f"{self.folder}/{number}/_SUCCESS"):
+            number += 1
+        return number
+
+    def stored(self) -> DataFrame:
+        paths = [f"{self.folder}/{number}" for number in range(self.runs())]
+        if not paths:
+            return self.spark.createDataFrame([], STORED)
+        rows = self.spark.read.schema(STORED).parquet(*paths)
+        return rows.groupBy("digest").agg(F.max(F.struct("attempt", "reply", "error")).alias("r")).select("digest", "r.reply", "r.error", "r.attempt")
+
+    def ask(self, prompts: DataFrame, key: str, generate: Callable[[list[str]], list[str]], text: str = "text", wrap: str | None = "case") -> DataFrame:
+        """(key, reply, error, attempt) of each prompt; equal prompts are asked once."""
+        tagged = F.col(text) if wrap is None else F.concat(F.lit(f"<{wrap}>\n"), F.col(text), F.lit(f"\n</{wrap}>"))
+        keyed = prompts.select(key, tagged.alias("prompt")).withColumn("digest", F.sha2(F.col("prompt").cast("binary"), 256))
+        known = self.stored()
+        done = known.where(F.col("error").isNull() | (F.col("attempt") >= self.attempts))
+        left = keyed.groupBy("digest").agg(F.first("prompt").alias("prompt")).join(done.select("digest"), "digest", "left_anti")
+        tried = left.join(known.select("digest", "attempt"), "digest", "left").select("digest", "prompt", F.coalesce("attempt", F.lit(0).cast("long")).alias("attempt"))
+        tried = materialise(tried, "unanswered")
+        if tried.head(1):
+            replies = model_replies(tried, "digest", generate, "prompt", None)
+            counted = replies.join(tried.select("digest", "attempt"), "digest").select("digest", "reply", "error", (F.col("attempt") + 1).alias("attempt"))
+            counted.write.mode("overwrite").parquet(f"{self.folder}/{self.runs()}")
+        return keyed.drop("prompt").join(self.stored(), "digest").drop("digest")

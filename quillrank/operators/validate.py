@@ -391,7 +391,7 @@ def _citations(sources: Column) -> Column:
     return F.when(~missing(sources), F.transform(items(sources), source))
 
 
-def _messages(messages: Column) -> Column:
+def typed_messages(messages: Column) -> Column:
     return F.transform(
         items(messages),
         lambda m: F.struct(
@@ -411,7 +411,7 @@ def valid_chats(rows: DataFrame, body: str = "body") -> DataFrame:
         CHAT,
         title=string(title),
         updated_at=_number(updated_at),
-        messages=_messages(messages),
+        messages=typed_messages(messages),
         history=_turns(history),
         summary=string(summary),
     )

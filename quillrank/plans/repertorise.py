@@ -11,6 +11,7 @@ from quillrank.functions.fixed_values import RUBRICS_PER_SYMPTOM
 from quillrank.functions.paths import remedy_name
 from quillrank.operators import repertory as rep
 from quillrank.operators.knn import nearest
+from quillrank.sources.passages import listed_remedies
 from quillrank.sources.shared import materialise
 
 
@@ -50,9 +51,9 @@ def combined(found: DataFrame) -> DataFrame:
 
 def remedy_rows(matches: DataFrame, rubrics: DataFrame) -> DataFrame:
     """One row for each remedy of a matched rubric."""
-    listed = rubrics.select(
-        "book_id", F.col("id").alias("rubric_id"), F.posexplode("remedies").alias("listed_ord", "remedy")
-    ).select("book_id", "rubric_id", "listed_ord", "remedy.remedy_id", "remedy.grade")
+    matched = matches.select("book_id", F.col("rubric_id").alias("id")).distinct()
+    # Only records that were matched are looked at; one that is not whole is an error.
+    listed = listed_remedies(rubrics.join(matched, ["book_id", "id"], "left_semi"))
     return matches.join(listed, ["book_id", "rubric_id"])
 
 

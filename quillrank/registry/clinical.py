@@ -15,7 +15,7 @@ from quillrank.sources import views as v
 from quillrank.sources.shared import materialise
 
 def matched(spark, sf):
-    return cl.matched_terms(v.diseases(spark, sf), v.clinical_terms(spark, sf))
+    return cl.matched_terms(v.diseases(spark, sf), src.catalog_of(v.clinical_terms(spark, sf)))
 
 
 def case_terms(spark, sf):
@@ -33,7 +33,7 @@ def scan_clinical_terms(spark, sf):
     stored = v.table(spark, sf, "part").select(
         "p_partkey", F.array("p_type", "p_name").alias("path"), F.array(pair).alias("pairs")
     )
-    return src.term_records(stored, ["p_partkey"]).select(
+    return src.catalog_of(src.term_records(stored, ["p_partkey"])).select(
         "p_partkey", "text", F.get("remedies", F.lit(0)).alias("remedy_id")
     )
 

@@ -71,6 +71,18 @@ def fetch_payloads(spark, sf):
     return src.fetch_payloads(keyed, payload).select("query_id", "book_id", "id", "chunk_id", "content")
 
 
+@query("fetch_payloads_stored", """
+    SELECT q.query_id, p.book_id, p.id, p.chunk_id, p.source_title, p.chunk_index, p.content FROM v_queries q
+    JOIN v_passages p ON p.id = (q.query_id * 7919) % (SELECT count(*) FROM documents)""")
+def fetch_payloads_stored(spark, sf):
+    total = v.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    winners = v.search_queries(spark, sf).select("query_id", ((F.col("query_id") * 7919) % total).alias("id"))
+    keyed = winners.withColumn("book_id", F.concat(F.lit("book"), (F.col("id") % v.BOOKS).cast("string")))
+    path = f"{shared_folder(spark)}/stores/payloads-{uuid.uuid4().hex}"
+    src.store_payloads(v.passages(spark, sf), path, 64)
+    return src.fetch_stored(keyed, path, 64).select("query_id", "book_id", "id", "chunk_id", "source_title", "chunk_index", "content")
+
+
 @query("missing_collections", """
     SELECT e.book_id FROM (SELECT 'book' || r_regionkey * 2 AS book_id FROM region) e
     WHERE e.book_id NOT IN (SELECT book_id FROM v_passages)""")

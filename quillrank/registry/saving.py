@@ -65,9 +65,7 @@ CITATION_SQL = "array_to_string(list_transform(CAST(json_extract(t, '$.sources')
 MESSAGE_SQL = f"json_extract_string(t, '$.id') || ' ' || json_extract_string(t, '$.role') || ': ' || json_extract_string(t, '$.content') || ' ' || coalesce({CITATION_SQL}, 'none')"
 
 
-@query("valid_chats", valid_sql("validate_chats", CHATS, f"""json_extract_string(v, '$.title') AS title, CAST(json_extract(v, '$.updatedAt') AS BIGINT) AS updated_at,
-    array_to_string({listed("messages", MESSAGE_SQL)}, '|') AS messages, {HISTORY_SQL}, json_extract_string(v, '$.summary') AS summary"""))
-def valid_chats(spark, sf):
+def messages_text():
     def source(s):
         indexes = F.array_join(F.transform(s["passage_indexes"], lambda i: i.cast("string")), "+")
         parts = [s["id"], F.coalesce(s["author"], F.lit("-")), s["remedy_name"], indexes, F.concat(s["book_title"], s["section_title"], s["text"])]
@@ -77,8 +75,14 @@ def valid_chats(spark, sf):
         sources = F.coalesce(F.array_join(F.transform(m["sources"], source), ","), F.lit("none"))
         return F.concat(m["id"].cast("string"), F.lit(" "), m["role"], F.lit(": "), m["content"], F.lit(" "), sources)
 
+    return F.array_join(F.transform("messages", message), "|").alias("messages")
+
+
+@query("valid_chats", valid_sql("validate_chats", CHATS, f"""json_extract_string(v, '$.title') AS title, CAST(json_extract(v, '$.updatedAt') AS BIGINT) AS updated_at,
+    array_to_string({listed("messages", MESSAGE_SQL)}, '|') AS messages, {HISTORY_SQL}, json_extract_string(v, '$.summary') AS summary"""))
+def valid_chats(spark, sf):
     found = val.valid_chats(bodies(spark, sf, CHATS))
-    return found.select("conv_id", "turn", "title", "updated_at", F.array_join(F.transform("messages", message), "|").alias("messages"), history(), "summary")
+    return found.select("conv_id", "turn", "title", "updated_at", messages_text(), history(), "summary")
 
 
 RATED_SQL = "json_extract_string(t, '$.id') || '/' || json_extract_string(t, '$.cited') || '/' || coalesce(json_extract_string(t, '$.rating'), '-')"
@@ -246,3 +250,37 @@ def feedback_record(spark, sf):
     found = rt.feedback_records(answers, sources, main, rated, keys)
     source = F.transform("sources", lambda s: F.concat_ws("/", s["id"], s["cited"].cast("string"), F.coalesce(s["rating"], F.lit("-"))))
     return found.select(*keys, "question", "answer", "rating", F.array_join(source, ",").alias("sources"), F.array_join("reasons", ",").alias("reasons"), "comment")
+
+
+# Whole chats ---------------------------------------------------------------------------------------
+
+
+@query("open_chat_whole", f"""
+    WITH h AS (SELECT conv_id, conv_id % 40 AS user_id, 'c' || conv_id AS chat_id FROM conversations WHERE conv_id % 3 <> 1 GROUP BY conv_id)
+    SELECT h.user_id, h.chat_id, 'message' AS part, t.turn AS place, t.role, t.text FROM conversations t JOIN h USING (conv_id)
+    UNION ALL SELECT h.user_id, h.chat_id, 'history', t.turn, t.role, t.text FROM conversations t JOIN h USING (conv_id) WHERE t.turn < 2
+    UNION ALL SELECT user_id, chat_id, 'summary', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 'so far ' || conv_id FROM h WHERE conv_id % 2 = 0""")
+def open_chat_whole(spark, sf):
+    keyed = v.turns(spark, sf).select((F.col("conv_id") % 40).alias("user_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chat_id"), "conv_id", "turn", "role", "text")
+    early = F.when(F.col("turn") < 2, F.struct("turn", "role", F.col("text").alias("content")))
+    heads = keyed.where("conv_id % 3 <> 1").groupBy("user_id", "chat_id", "conv_id").agg(F.array_sort(F.collect_list(early)).alias("h"))
+    history = F.transform("h", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history")
+    summary = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("so far "), F.col("conv_id").cast("string"))).alias("summary")
+    return ch.open_conversations(heads.select("user_id", "chat_id", history, summary), keyed.drop("conv_id"))
+
+
+@query("read_archive_whole", f"""
+    WITH b AS ({bodies_sql(CHATS)}),
+    e AS (SELECT conv_id * 1000 + turn AS archive_id, CAST(body AS JSON) AS v FROM b),
+    shaped AS (SELECT * FROM e WHERE json_type(v, '$.title') = 'VARCHAR' AND json_type(v, '$.updatedAt') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+      AND json_type(v, '$.messages') = 'ARRAY' AND json_type(v, '$.history') = 'ARRAY')
+    SELECT archive_id, CAST(1 AS BIGINT) AS place, 'x' || archive_id AS chat_id, json_extract_string(v, '$.title') AS title,
+           CAST(floor(CAST(json_extract(v, '$.updatedAt') AS DOUBLE)) AS BIGINT) AS updated_at,
+           coalesce(array_to_string({listed("messages", MESSAGE_SQL)}, '|'), '') AS messages, {HISTORY_SQL.replace("regexp_replace(json_extract_string(t, '$.content'), '^\\s+|\\s+$', '', 'g')", "json_extract_string(t, '$.content')")},
+           CASE WHEN json_type(v, '$.summary') = 'VARCHAR' THEN json_extract_string(v, '$.summary') ELSE CAST(json_extract(v, '$.summary') AS VARCHAR) END AS summary FROM shaped""")
+def read_archive_whole(spark, sf):
+    rows = bodies(spark, sf, CHATS).withColumn("archive_id", F.col("conv_id") * 1000 + F.col("turn"))
+    # Each body becomes the only chat of an archive, with an id of its own.
+    named = F.concat(F.lit('[{"id":"x'), F.col("archive_id").cast("string"), F.lit('",'), F.substring("body", F.lit(2), F.length("body")), F.lit("]"))
+    found = ch.whole_archives(rows.select("archive_id", named.alias("archive")))
+    return found.select("archive_id", "place", "chat_id", "title", "updated_at", messages_text(), history(), "summary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillrank.functions import citing, network, paths, prompts, words
@@ -11,6 +13,8 @@ from quillrank.operators import replies as rep
 from quillrank.registry import query
 from quillrank.sources import requests as r
 from quillrank.sources import views as v
+from quillrank.sources.shared import shared_folder
+
 
 @query("reply_lines", """
     SELECT reply_id, count(*) AS lines, string_agg(line, '|' ORDER BY line_no) AS text FROM v_lines GROUP BY reply_id""")
@@ -56,6 +60,25 @@ def model_replies(spark, sf):
     return rep.model_replies(turns, "reply_id", repeat)
 
 
+@query("model_replies_resumed", """
+    SELECT conv_id * 1000 + turn AS reply_id, CASE WHEN length(text) % 5 <> 0 THEN text END AS reply,
+           CASE WHEN length(text) % 5 = 0 THEN 'ValueError: no reply' END AS error, CAST(CASE WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempt
+    FROM conversations""")
+def model_replies_resumed(spark, sf):
+    """A second run asks again only what failed in the first."""
+
+    def repeat(asked: list[str]) -> list[str]:
+        texts = [text.removeprefix("<case>\n").removesuffix("\n</case>") for text in asked]
+        if any(len(text) % 5 == 0 for text in texts):
+            raise ValueError("no reply")
+        return texts
+
+    turns = v.turns(spark, sf).withColumn("reply_id", F.col("conv_id") * 1000 + F.col("turn"))
+    store = rep.ReplyStore(spark, f"{shared_folder(spark)}/stores/replies-{uuid.uuid4().hex}", attempts=2)
+    store.ask(turns, "reply_id", repeat)
+    return store.ask(turns, "reply_id", repeat)
+
+
 # Citations -------------------------------------------------------------------------------------
 
 LABELS = r"""

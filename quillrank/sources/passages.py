@@ -34,20 +34,64 @@ def passage_source(score: Column | None = None) -> list[Column]:
     ]
 
 
+TEXTS = ["chunk_id", "source_title", "content"]
+INTEGERS = ["chunk_index"]
+
+
+def payload_problem(texts: list[str], integers: list[str]) -> Column:
+    """What a winner's payload lacks of what a source needs; NULL if nothing. A number serves as a text."""
+    tests = [F.when(F.col(name).isNull(), F.lit(f"no {name}")) for name in texts]
+    tests += [F.when(F.col(name).try_cast("bigint").isNull() | (F.col(name).try_cast("double") != F.col(name).try_cast("bigint")), F.lit(f"no integer {name}")) for name in integers]
+    return F.coalesce(*tests, F.lit(None).cast("string"))
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """Winners whose payload can be used; any other is an error. Only fields that were read are looked at."""
+    texts, integers = ([name for name in names if name in found.columns] for names in (TEXTS, INTEGERS))
+    problem = payload_problem(texts, integers)
+    passage = F.concat(F.lit("passage "), F.col("book_id"), F.lit("/"), F.col("id").cast("string"))
+    absent = F.coalesce(*[F.col(name).cast("string") for name in [*texts, *integers]]).isNull()
+    message = F.when(absent, F.concat(F.lit("no payload for "), passage)).otherwise(F.concat(F.lit("payload of "), passage, F.lit(" has "), problem))
+    first = texts[0]
+    return found.withColumn(first, F.when(problem.isNotNull(), F.raise_error(message)).otherwise(F.col(first)))
+
+
 def fetch_payloads(best: DataFrame, passages: DataFrame, strict: bool = True) -> DataFrame:
-    """The payload of the winners only. A winner without one is an error, or a NULL if not strict.
+    """The payload of the winners only. A winner without one, or with one that is not whole, is an error, or NULL if not strict.
 
     Passages are first cut to the winners: when those are few, their keys go to the passages, and no
     text is shuffled but that of the winners. Give ``best`` as a table, so that its size is known.
     """
     keys = ["book_id", "id"]
     found = best.join(passages.join(best.select(keys).distinct(), keys, "left_semi"), keys, "left")
-    if not strict:
-        return found
-    missing = F.concat(F.lit("no payload for passage "), F.col("book_id"), F.lit("/"), F.col("id").cast("string"))
-    return found.withColumn(
-        "chunk_id", F.when(F.col("chunk_id").isNull(), F.raise_error(missing)).otherwise(F.col("chunk_id"))
-    )
+    return checked(found) if strict else found
+
+
+def payload_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("book_id", "id"), F.lit(buckets)).cast("int")
+
+
+def store_payloads(passages: DataFrame, path: str, buckets: int = 256) -> None:
+    """Payloads in folders by hash of (book, id), sorted within, without their vectors."""
+    stored = passages.drop("embedding").withColumn("bucket", payload_bucket(buckets))
+    # A range of buckets for each task; a large bucket is several files.
+    stored = stored.repartitionByRange("bucket", "book_id", "id").sortWithinPartitions("bucket", "book_id", "id")
+    stored.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def fetch_stored(best: DataFrame, path: str, buckets: int = 256, strict: bool = True) -> DataFrame:
+    """``fetch_payloads`` from ``store_payloads``: the winners' buckets prune the folders that are read, and no payload is shuffled.
+
+    Winners are a search's limit for each query. If even their keys are too many for a broadcast, Spark shuffles both sides.
+    """
+    keyed = best.withColumn("bucket", payload_bucket(buckets))
+    wanted = keyed.select("bucket", "book_id", "id").distinct()
+    # At most ``buckets`` small numbers, by which whole folders are left out before anything is read.
+    numbers = sorted(row["bucket"] for row in wanted.select("bucket").distinct().collect())
+    stored = best.sparkSession.read.parquet(path).where(F.col("bucket").isin(numbers))
+    payloads = stored.join(wanted, ["bucket", "book_id", "id"])
+    found = best.join(payloads.drop("bucket"), ["book_id", "id"], "left")
+    return checked(found) if strict else found
 
 
 def missing_collections(expected: DataFrame, passages: DataFrame) -> DataFrame:
@@ -95,16 +139,39 @@ def oversize_queries(sources: DataFrame, max_chars: int) -> DataFrame:
 
 
 def rubric_problems(rubrics: DataFrame) -> DataFrame:
-    """``problem``: why a rubric's record cannot be used, else NULL."""
+    """``problem``: why a rubric's record cannot be used, else NULL. Only fields that were read are looked at."""
+    unnamed = F.lit(False)
+    for name in ("id", "chapter", "text"):
+        unnamed = unnamed | F.col(name).isNull() if name in rubrics.columns else unnamed
     graded = F.forall("remedies", lambda r: r["remedy_id"].isNotNull() & r["grade"].isNotNull())
     return rubrics.withColumn(
         "problem",
-        F.when(F.col("id").isNull() | F.col("chapter").isNull() | F.col("text").isNull(), F.lit("no text"))
+        F.when(unnamed, F.lit("no text"))
         .when(F.col("remedies").isNull(), F.lit("no remedies"))
         .when(~graded, F.lit("no grade")),
     )
 
 
+def listed_remedies(rubrics: DataFrame) -> DataFrame:
+    """(book_id, rubric_id, listed_ord, remedy_id, grade) of rubrics; one whose record is not whole is an error when it is read.
+
+    The outer explode keeps Spark from testing the remedies, and so the error, before the rubrics are cut to those asked for.
+    """
+    each = rubric_problems(rubrics).select("book_id", F.col("id").alias("rubric_id"), "problem", F.posexplode_outer("remedies").alias("listed_ord", "remedy"))
+    each = each.where(F.col("problem").isNotNull() | F.col("remedy").isNotNull())
+    message = F.concat(F.lit("rubric "), F.coalesce(F.col("rubric_id").cast("string"), F.lit("?")), F.lit(": "), F.col("problem"))
+    remedy = F.when(F.col("problem").isNotNull(), F.raise_error(message)).otherwise(F.col("remedy.remedy_id"))
+    return each.select("book_id", "rubric_id", "listed_ord", remedy.alias("remedy_id"), F.col("remedy.grade").alias("grade"))
+
+
+def catalog_of(terms: DataFrame) -> DataFrame:
+    """Clinical terms (text, remedies) that can be used; an empty catalog or a term without text or remedies is an error."""
+    if not terms.head(1):
+        raise ValueError("there are no clinical terms")
+    broken = F.col("text").isNull() | F.col("remedies").isNull() | F.exists("remedies", lambda r: r.isNull())
+    return terms.withColumn("text", F.when(broken, F.raise_error(F.lit("invalid clinical term"))).otherwise(F.col("text")))
+
+
 def term_records(stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Stored terms (path, pairs of remedy and grade) as (text, remedies)."""
     return stored.select(
