@@ -20,10 +20,18 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def sort_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order, with the sums of their counts."""
+    """The distinct rows in order, with the sums of their counts. As many columns as fit are compared as one number."""
     if not len(rows):
         return rows, counts
-    by = np.lexsort(rows.T[::-1])
+    bits = int(rows.max() + 2).bit_length()
+    keys = []
+    for column in rows.T[: int((rows >= 0).any(axis=0).sum())]:
+        if not keys or filled + bits > 63:
+            keys.append(np.zeros(len(rows), np.int64))
+            filled = 0
+        keys[-1] = (keys[-1] << bits) + column + 1
+        filled += bits
+    by = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     rows, counts = rows[by], counts[by]
     starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
     return rows[starts], np.add.reduceat(counts, starts)
@@ -85,7 +93,7 @@ class Counts:
 
     def rows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """All sequences with a count, padded with -1, and the counts."""
-        path = np.full((1, width), -1, np.int64)
+        path = np.full((1, width), -1, np.int32)
         state = np.array([self.root])
         found = [(path[:0], self.weight[:0])]
         for d in range(width):
@@ -116,13 +124,21 @@ class Counts:
             state = np.where(on, self.target[arc], 0)
         return out
 
-    def pack(self) -> bytes:
-        columns = [shrunk(c) for c in (self.first, self.label, self.weight, self.target)]
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(columns, protocol=5))
+    def pack(self, words: pa.Array) -> bytes:
+        """The automaton and the words of its labels."""
+        words = words.cast(pa.large_string())
+        lengths = pa.compute.binary_length(words).to_numpy()
+        data = pa.concat_arrays([words]).buffers()[2] if lengths.sum() else b""
+        columns = [shrunk(c) for c in (lengths, self.first, self.label, self.weight, self.target)]
+        text = np.frombuffer(data, np.uint8)[: int(lengths.sum())] if len(words) else np.zeros(0, np.uint8)
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps([text, *columns], protocol=5))
 
     @classmethod
-    def unpack(cls, packed: bytes) -> Counts:
-        return cls(*[c.astype(np.int64) for c in pickle.loads(zstandard.ZstdDecompressor().decompress(packed))])
+    def unpack(cls, packed: bytes) -> tuple[pa.Array, Counts]:
+        text, lengths, *columns = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(text))
+        return words, cls(*[c.astype(np.int64) for c in columns])
 
 
 def register(starts: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +162,9 @@ def union(parts: list[tuple[pa.Array, Counts]], width: int) -> tuple[pa.Array, n
     """(words, rows, counts): the sums of several automata, each with its own words, in the order of the words' bytes."""
     words = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
     order = pa.compute.sort_indices(words.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    number = np.append(place[words.indices.to_numpy()], -1)  # the padding stays
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    number = np.append(place[words.indices.to_numpy()], np.int32(-1))  # the padding stays
     rows, counts, base = [], [], 0
     for own, automaton in parts:
         path, weight = automaton.rows(width)

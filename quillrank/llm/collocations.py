@@ -32,21 +32,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.automata import Counts, mix, sort_rows, union
-from quillrank.llm.frames import table
+from quillrank.llm.frames import small_enough, table
 from quillrank.llm.registry import query
 from quillrank.sources.shared import materialise
 
 LEAST = 100
 LONGEST = 5
 FIRST = 2000
-SHARD_BYTES = 8_000_000  # text of one language in a shard; a longer text is a shard of its own
+SHARD_BYTES = 4_000_000  # text of one language in a shard; a longer text is a shard of its own
 RANGE_WORDS = 2_000_000
 BITS = 1 << 26
 BREAKS = "[.,;:!?\\n\\x0b\\x0c\\r]+"
 GROUP_ROWS = 200_000  # phrases with one beginning, above which the next word splits them too
 
 SHARDS = "lang string, words array<string>, counts array<bigint>, stream binary"
-PIECES = "lang string, range int, words array<string>, automaton binary"
+PIECES = "lang string, range int, automaton binary"
 PHRASES = "lang string, phrase string, a bigint"
 
 
@@ -95,7 +95,8 @@ def pack(shard_bytes: int):
 def shard_rows(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[pa.Array]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
+    # Few rows at a time: what is held of a batch keeps only those alive.
+    for batch in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
         langs, texts = batch.column(0), batch.column(1)
         for lang in pc.unique(langs).to_pylist():
             own = texts.filter(pc.equal(langs, lang))
@@ -162,8 +163,7 @@ def bitmap_of(phrases: DataFrame) -> np.ndarray:
 def phrases_of(stream: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray, pairs: bool) -> np.ndarray:
     """Word numbers of the phrases of a shard that may be frequent: two words long, or three to five."""
     if len(stream) < 2:
-        return np.zeros((0, LONGEST), np.int64)
-    stream = stream.astype(np.int64)
+        return np.zeros((0, LONGEST), np.int32)
     two = np.stack([stream[:-1], stream[1:]], axis=1)
     if pairs:
         good = np.append(has_bit(bitmap, row_hashes(hashes, np.arange(len(hashes))[:, None])), False)[stream]
@@ -180,7 +180,7 @@ def phrases_of(stream: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray, pairs
 
 
 def padded(rows: np.ndarray) -> np.ndarray:
-    out = np.full((len(rows), LONGEST), -1, np.int64)
+    out = np.full((len(rows), LONGEST), -1, np.int32)
     out[:, : rows.shape[1]] = rows
     return out
 
@@ -210,10 +210,9 @@ def shard_automata(bitmap, pairs: bool):
                     own = rows[order[a:b]]
                     used, number = np.unique(np.append(own, -1), return_inverse=True)
                     number = number[:-1].reshape(own.shape) - 1
-                    packed = Counts.of(number, counts[order[a:b]]).pack()
-                    names = words.take(pa.array(used[1:]))
-                    columns = [pa.array([lang]), pa.array([int(owner[order[a]])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([packed], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "range", "words", "automaton"])
+                    packed = Counts.of(number, counts[order[a:b]]).pack(words.take(pa.array(used[1:])))
+                    columns = [pa.array([lang]), pa.array([int(owner[order[a]])], pa.int32()), pa.array([packed], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "range", "automaton"])
 
     return kernel
 
@@ -230,14 +229,16 @@ def unite(least: int):
 
         for batch in batches:
             for k in range(batch.num_rows):
-                waiting.append((batch.column(2)[k].values, Counts.unpack(batch.column(3)[k].as_py())))
+                waiting.append(Counts.unpack(batch.column(2)[k].as_py()))
                 size += len(waiting[-1][1].label)
                 if size > RANGE_WORDS:
                     whole = merged(([whole] if whole else []) + waiting)
                     waiting, size = [], 0
         words, rows, counts = union(([whole] if whole else []) + waiting, LONGEST)
         rows, counts = rows[counts >= least], counts[counts >= least]
-        names = words.to_pylist()
+        used, rows = np.unique(np.append(rows, -1), return_inverse=True)
+        rows = rows[:-1].reshape(-1, LONGEST) - 1
+        names = words.take(pa.array(used[1:])).to_pylist()
         phrases = [" ".join(names[w] for w in row if w >= 0) for row in rows.tolist()]
         columns = [pa.array([key[0].as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts)]
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
@@ -253,7 +254,8 @@ def frequent(shards: DataFrame, langs: DataFrame, least: int) -> DataFrame:
     # Words above a range's share: fewer than there are ranges.
     hot = found[0].join(langs.where("ranges > 1"), "lang").where(F.col("a") > F.col("n") / F.col("ranges"))
     hot = hot.groupBy("lang").agg(F.collect_list("phrase").alias("hot"))
-    inputs = shards.select("lang", "words", "stream").join(langs.join(hot, "lang", "left").select("lang", "ranges", "hot"), "lang")
+    known = small_enough(materialise(langs.join(hot, "lang", "left").select("lang", "ranges", "hot"), "ranges"))
+    inputs = shards.select("lang", "words", "stream").join(known, "lang")
     inputs = inputs.select("lang", "words", "stream", "ranges", "hot")
     for pairs in (True, False):
         bitmap = spark.sparkContext.broadcast(bitmap_of(found[-1]))

@@ -31,8 +31,10 @@ def test_automaton_holds_what_it_was_built_from(n):
     counts = counted(n, n)
     built = automata.Counts.of(*arrays(counts))
     assert as_dict(*built.rows(5)) == counts
-    again = automata.Counts.unpack(built.pack())
-    assert as_dict(*again.rows(5)) == counts
+    names = pa.array(["x", "", "é", "yy", "z"] + [f"w{k}" for k in range(5)])
+    words, again = automata.Counts.unpack(built.pack(names.slice(0, 10)))
+    assert as_dict(*again.rows(5)) == counts and words.equals(names)
+    assert automata.Counts.unpack(built.pack(names.slice(3, 2)))[0].to_pylist() == ["yy", "z"]
     probes = np.array([[0, 1, 2, 3, 9], [9, 9, -1, -1, -1], [5, 0, 0, 0, 0], [3, -1, -1, -1, -1]])
     want = [[counts.get(tuple(p[: d + 1]), 0) if p[d] >= 0 else 0 for d in range(5)] for p in probes.tolist()]
     assert built.walk(probes).tolist() == want
