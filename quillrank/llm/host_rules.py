@@ -3,16 +3,17 @@
 1. ``measures``: counts of each text, by array functions inside one row; no shuffle. Repeated windows
    are found by sorting (hash of eight words, place) and comparing neighbours; texts whose window hashes
    are all distinct skip that.
-2. ``host_rates``: rule failures added up per host before any shuffle. A host's rate is shrunk with a
-   beta prior whose two parameters are the moments of the rates of all hosts, so that a host of few
-   documents is judged mainly by what is usual and a large one by its own documents.
-3. ``host_verdicts`` joined back: a document is kept if it passes the base rules itself and its host's
-   shrunk rate is at most ``most``.
+2. ``host_rates``: documents that fail any rule (the base rules, symbols, repeated lines, length of words) added up per host
+   before any shuffle. A host's rate is shrunk with a beta prior whose two parameters are the moments of the
+   rates of all hosts, so that a host of few documents is judged mainly by what is usual and a large one by its own.
+3. Verdicts joined back: a host fails if its shrunk rate lies ``TAIL`` standard deviations of the prior above the prior's
+   mean, and is at least ``least``: where all hosts are alike, none is put aside for being the worst. A document
+   is kept if it passes the base rules itself and its host does not fail.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated
 rows are judged each for itself. Empty tables give empty results. The measures are written once and read
 twice; the host table, one row for each host, is joined as Spark decides, with skew split by AQE.
-Windows are told apart by a 64-bit hash within one text.
+Windows are told apart by a 64-bit hash within one text. Columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.frames import table
+from quillrank.llm.frames import table, without
 from quillrank.llm.registry import query
 from quillrank.sources.shared import materialise
 
@@ -29,7 +30,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-MOST = 0.6  # a host fails as a whole when its shrunk failure rate is above this
+MAX_SYMBOL_PERCENT = 10  # of the characters of words
+MAX_DUP_LINE_PERCENT = 30
+WORD_LENGTHS = (2, 15)  # of a text's words, on average
+LEAST = 0.4  # a host's shrunk rate of failures is at least this if it fails
+TAIL = 4.0
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "any_failed", "host_docs", "shrunk_rate", "host_failed", "kept"]
 
 
 def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -50,6 +56,7 @@ def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_words") < window, F.array().cast("array<bigint>"))
         .otherwise(
@@ -60,7 +67,7 @@ def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
         )
         .alias("_hashes"),
     )
-    counts = [*others, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    counts = [*others, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     return step.select(
         *counts,
         F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0).cast("long"))
@@ -103,8 +110,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """Per host: documents, failures, and the failure rate shrunk by an empirical beta prior."""
+def any_failed() -> Column:
+    """Whether a document fails any rule; these count for its host."""
+    symbols = 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")
+    lines = 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")
+    lengths = ~F.col("word_chars").between(WORD_LENGTHS[0] * F.col("n_words"), WORD_LENGTHS[1] * F.col("n_words"))
+    return base_failed() | symbols | lines | lengths
+
+
+def host_rates(judged: DataFrame, host: str, failed: str, least: float) -> DataFrame:
+    """Per host: documents, failures, the failure rate shrunk by an empirical beta prior, and whether that is far above it."""
     hosts = judged.groupBy(host).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"))
     moments = hosts.agg(
         F.struct(
@@ -112,22 +127,27 @@ def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
             F.coalesce(F.var_samp(F.col("failures") / F.col("n")), F.lit(0.0)).alias("variance"),
         ).alias("m")
     )
-    mean, variance = F.col("_m.mean"), F.col("_m.variance")
+    mean, variance, weight = F.col("_m.mean"), F.col("_m.variance"), F.col("_weight")
     # Of a beta distribution: variance = mean (1 - mean) / (a + b + 1). Bounds keep it a prior when all
     # hosts are alike (no variance) or are as different as can be.
-    weight = F.least(F.greatest(mean * (1 - mean) / F.greatest(variance, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1000.0))
+    fitted = F.least(F.greatest(mean * (1 - mean) / F.greatest(variance, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1000.0))
+    limit = F.greatest(F.lit(least), mean + TAIL * F.sqrt(mean * (1 - mean) / (weight + 1)))
     return (
         hosts.withColumn("_m", moments.scalar())
+        .withColumn("_weight", fitted)
         .withColumn("shrunk_rate", (F.col("failures") + mean * weight) / (F.col("n") + weight))
-        .drop("_m")
+        .withColumn("host_failed", F.col("shrunk_rate") >= limit)
+        .drop("_m", "_weight")
     )
 
 
-def judge_hosts(docs: DataFrame, host: str, text: str = "text", most: float = MOST) -> DataFrame:
+def judge_hosts(docs: DataFrame, host: str, text: str = "text", least: float = LEAST) -> DataFrame:
     """Each document with its measures, ``base_failed``, its host's rate and ``kept``."""
-    judged = materialise(measures(docs, text).withColumn("base_failed", base_failed()), "measures")
-    verdicts = host_rates(judged, host, "base_failed").select(
-        F.col(host).alias("_host"), F.col("n").alias("host_docs"), "shrunk_rate", (F.col("shrunk_rate") > most).alias("host_failed")
+    docs = without(docs, [c for c in [*RESULTS, "_words", "_lines", "_hashes", "_host"] if c != host])
+    judged = measures(docs, text).withColumn("base_failed", base_failed()).withColumn("any_failed", any_failed())
+    judged = materialise(judged, "measures")
+    verdicts = host_rates(judged, host, "any_failed", least).select(
+        F.col(host).alias("_host"), F.col("n").alias("host_docs"), "shrunk_rate", "host_failed"
     )
     joined = judged.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
@@ -150,14 +170,17 @@ base AS (
   SELECT w.doc_id, w.source, CAST(len(w.w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[ \t-\r]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM words w LEFT JOIN cover c USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged GROUP BY source),
+judged AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines
+            OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words AS any_failed
+  FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS f FROM judged GROUP BY source),
 m AS (SELECT coalesce(sum(f) / sum(n), 0.0) AS mean, coalesce(var_samp(f / n), 0.0) AS v FROM hosts),
 p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v, 1e-9) - 1, 1.0), 1000.0) AS k FROM m),
-verdicts AS (SELECT source, (f + mean * k) / (n + k) > 0.6 AS host_failed FROM hosts, p)
+verdicts AS (SELECT source, (f + mean * k) / (n + k) >= greatest(0.4, mean + 4.0 * sqrt(mean * (1 - mean) / (k + 1))) AS host_failed FROM hosts, p)
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
        NOT j.base_failed AND NOT v.host_failed AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
