@@ -218,15 +218,19 @@ def rateable_answers(messages: DataFrame) -> DataFrame:
     return answers.join(questions, ["chat_id", "turn"])
 
 
+def midnight_of(now_ms: Column, zone: str = "UTC") -> Column:
+    """The last midnight of a zone, in milliseconds."""
+    day = F.date_trunc("day", F.from_utc_timestamp(F.timestamp_millis(now_ms), zone))
+    return F.unix_millis(F.to_utc_timestamp(day, zone))
+
+
 def age_groups(listed: DataFrame, now_ms: int, zone: str = "UTC") -> DataFrame:
     """Listed chats with the label of their age and the number of their run of one label.
 
     Days are 24 hours back from the last midnight of the zone. ``listed`` is bounded by the cap of
     ``list_chats``.
     """
-    midnight = F.unix_millis(
-        F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(F.timestamp_millis(F.lit(now_ms)), zone)), zone)
-    )
+    midnight = midnight_of(F.lit(now_ms), zone)
     label = (
         F.when(F.col("updated_at") >= midnight, F.lit("Today"))
         .when(F.col("updated_at") >= midnight - DAY_MS, F.lit("Yesterday"))

@@ -9,11 +9,11 @@ every step here works on one exchange by query of that bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.fixed_values import DIFFERENTIAL_REMEDIES, DOMINANT_SHARE, PRIOR_K, RRF_K
-from quillrank.operators.ordered import fixed_point
+from quillrank.operators.ordered import fixed_point, top_k
 
 # Sums of several terms are kept in whole units of this digit.
 DIGITS = 12
@@ -29,7 +29,7 @@ def union_rankings(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 def fuse(rankings: DataFrame) -> DataFrame:
     """Each candidate's summed reciprocal ranks and where it first appears."""
     return rankings.groupBy("query_id", "book_id", "id", "subject").agg(
-        F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("pos"))).alias("score"),
+        F.sum(rank_share(F.col("pos"))).alias("score"),
         F.min(F.struct("ranking_ord", "pos")).alias("first"),
     )
 
@@ -93,6 +93,26 @@ def with_priors(candidates: DataFrame, priors: DataFrame | None, k: int = PRIOR_
     )
 
 
+def dominance(candidates: DataFrame, limit: int) -> DataFrame:
+    """(query_id, most_held, dominated): a query's row of ``with_dominance``."""
+    return with_dominance(candidates, limit).where(F.col("fused_rank") == 1).select("query_id", "most_held", "dominated")
+
+
+def of_leaders(supported: DataFrame) -> DataFrame:
+    """The candidates of the subjects that lead by the support of the books."""
+    return supported.where(F.col("support_rank") <= DIFFERENTIAL_REMEDIES)
+
+
+def best_of_subjects(ranked_candidates: DataFrame) -> DataFrame:
+    """Each subject's first candidate of a query."""
+    return top_k(ranked_candidates, ["query_id", "subject"], [F.col("fused_rank").asc()], 1, "_place").drop("_place")
+
+
+def rank_share(place: Column) -> Column:
+    """What a place in a ranking adds to a score."""
+    return F.lit(1.0) / (F.lit(RRF_K) + place)
+
+
 def select_best(candidates: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best candidates of each query, as ``rank``.
 

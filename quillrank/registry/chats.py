@@ -205,9 +205,8 @@ def chat_age_groups(spark, sf):
 @query("day_bounds", """
     SELECT event_id, now_ms - now_ms % 86400000 AS today, now_ms - now_ms % 86400000 - 604800000 AS week FROM v_events""")
 def day_bounds(spark, sf):
-    instant = F.timestamp_millis("now_ms")
-    midnight = F.unix_millis(F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(instant, "UTC")), "UTC"))
-    return v.events(spark, sf).select("event_id", midnight.alias("today"), (midnight - 7 * ch.DAY_MS).alias("week"))
+    today = ch.midnight_of(F.col("now_ms"))
+    return v.events(spark, sf).select("event_id", today.alias("today"), (today - 7 * ch.DAY_MS).alias("week"))
 
 
 @query("chat_title", r"""

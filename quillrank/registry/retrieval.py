@@ -259,10 +259,7 @@ def top_candidates(spark, sf):
 
 @query("dominated", "SELECT query_id, most_held, dominated FROM v_dominated")
 def dominated(spark, sf):
-    # Here the test stands alone: a count for each subject among the first places, then the most.
-    held = fused(spark, sf).filter(F.col("fused_rank") <= LIMIT).groupBy("query_id", "subject").count()
-    most = held.groupBy("query_id").agg(F.max("count").alias("most_held"))
-    return most.withColumn("dominated", F.col("most_held") >= LIMIT * fusion.DOMINANT_SHARE)
+    return fusion.dominance(fused(spark, sf), LIMIT)
 
 
 @query("book_support", "SELECT query_id, subject, support, support_rank FROM v_support")
@@ -283,16 +280,13 @@ def support_with_priors(spark, sf):
     SELECT f.query_id, f.book_id, f.id, f.subject FROM v_fused f
     SEMI JOIN (SELECT * FROM v_support WHERE support_rank <= 5) s ON s.query_id = f.query_id AND s.subject = f.subject""")
 def leader_passages(spark, sf):
-    found = fusion.with_support(fused(spark, sf))
-    return found.filter(F.col("support_rank") <= fusion.DIFFERENTIAL_REMEDIES).select("query_id", "book_id", "id", "subject")
+    return fusion.of_leaders(fusion.with_support(fused(spark, sf))).select("query_id", "book_id", "id", "subject")
 
 
 @query("best_passage_per_subject", """
     SELECT query_id, subject, arg_min(book_id, fused_rank) AS book_id, arg_min(id, fused_rank) AS id FROM v_fused GROUP BY ALL""")
 def best_passage_per_subject(spark, sf):
-    return top_k(fused(spark, sf), ["query_id", "subject"], [F.col("fused_rank").asc()], 1).select(
-        "query_id", "subject", "book_id", "id"
-    )
+    return fusion.best_of_subjects(fused(spark, sf)).select("query_id", "subject", "book_id", "id")
 
 
 @query("select_regrouped", """

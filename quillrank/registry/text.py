@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import citing, network, paths, prompts, words
 from quillrank.functions import fixed_values as fixed
+from quillrank.operators import fusion
 from quillrank.operators import history as hist
+from quillrank.operators import ratings as rt
 from quillrank.operators import replies as rep
+from quillrank.operators import validate as val
 from quillrank.registry import query
 from quillrank.sources import requests as r
 from quillrank.sources import views as v
@@ -127,9 +130,8 @@ def link_citations(spark, sf):
     FROM v_answers a JOIN (SELECT answer_id, unnest(range(1, sources + 1)) AS n FROM v_answers) s USING (answer_id)""")
 def cited_flags(spark, sf):
     answers = r.answers(spark, sf).filter(F.col("sources") >= 1)
-    cited = citing.cited_numbers(F.col("answer"))
-    each = answers.select("answer_id", cited.alias("c"), F.explode(F.sequence(F.lit(1).cast("long"), "sources")).alias("number"))
-    return each.select("answer_id", "number", F.array_contains("c", F.col("number")).alias("cited"))
+    each = answers.select("answer_id", F.explode(F.sequence(F.lit(1).cast("long"), "sources")).alias("number"))
+    return rt.cited_flags(answers, each, ["answer_id"]).select("answer_id", "number", "cited")
 
 
 # Short texts -----------------------------------------------------------------------------------
@@ -194,7 +196,7 @@ def scoring_math(spark, sf):
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        F.round(F.lit(1.0) / (F.lit(60) + F.col("l_linenumber")), 9).alias("rank_share"),
+        F.round(fusion.rank_share(F.col("l_linenumber")), 9).alias("rank_share"),
         F.round(F.lit(1.0) / F.log(F.col("l_quantity") + 2), 9).alias("rarity"),
         F.greatest(F.lit(0).cast("long"), F.lit(25) - F.col("l_quantity").cast("long")).alias("room"),
         F.ceil(F.col("l_extendedprice") / 1000).alias("seconds"),
@@ -206,13 +208,10 @@ def scoring_math(spark, sf):
     SELECT event_id, json_type(props) = 'OBJECT' AS is_record, json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') AS is_integer,
            CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_shape(spark, sf):
-    parsed = F.try_parse_json("props")
-    return v.table(spark, sf, "events").select("event_id", parsed.alias("p")).select(
-        "event_id",
-        F.startswith(F.schema_of_variant("p"), F.lit("OBJECT")).alias("is_record"),
-        (F.schema_of_variant(F.try_variant_get("p", "$.k", "variant")) == "BIGINT").alias("is_integer"),
-        F.try_variant_get("p", "$.k", "bigint").alias("k"),
-    )
+    parsed = v.table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("p"))
+    k = val.field(F.col("p"), "k")
+    is_integer = val.is_kind(k, "BIGINT")
+    return parsed.select("event_id", val.is_kind(F.col("p"), "OBJECT").alias("is_record"), is_integer.alias("is_integer"), F.try_variant_get(k, "$", "bigint").alias("k"))
 
 
 # Histories and prompts -------------------------------------------------------------------------
