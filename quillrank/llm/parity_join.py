@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.llm.components import components
-from quillrank.llm.frames import add_columns, small_enough, table, without
+from quillrank.llm.frames import add_columns, lean, release, small_enough, table, without
 from quillrank.llm.recompression import sequence_hashes
 from quillrank.llm.registry import query
 from quillrank.llm.tokens import Words, list_array, mix, slices, text_bytes, windows
@@ -258,7 +258,10 @@ def meet_in_bucket(blocks: pa.Table) -> pa.Table:
     by = np.lexsort((ids, keys))
     ready.append(meeting_rows(keys[by], ids[by]))
     columns = [np.concatenate(c) for c in zip(*ready, strict=True)]
-    return pa.table([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], names=["key", "id", "leader"])
+    met = pa.table([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], names=["key", "id", "leader"])
+    del keys, ids, ready, columns, blocks
+    release()
+    return met
 
 
 def meetings(firsts: DataFrame, words: int, percent: int, grams: int) -> DataFrame:
@@ -269,7 +272,7 @@ def meetings(firsts: DataFrame, words: int, percent: int, grams: int) -> DataFra
     spark = firsts.sparkSession
     expected = 2 * grams * (100 - percent) // percent
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_KEYS))
-    return firsts.mapInArrow(key_blocks(words, percent, buckets), BLOCK).groupBy("bucket").applyInArrow(meet_in_bucket, MEETS)
+    return firsts.mapInArrow(lean(key_blocks(words, percent, buckets)), BLOCK).groupBy("bucket").applyInArrow(meet_in_bucket, MEETS)
 
 
 def wide_sketches(text: str, words: int):
@@ -351,9 +354,9 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     sketch = [T.StructField("made", T.BinaryType()), T.StructField("n", T.LongType())]
     wide = both(pairs, "wide", wide_sketches("text", words), sketch)
-    likely = materialise(wide.select("a", "b", "n", "m", "percent", "x", "y").mapInArrow(near_sketches, "a long, b long"), "likely")
+    likely = materialise(wide.select("a", "b", "n", "m", "percent", "x", "y").mapInArrow(lean(near_sketches), "a long, b long"), "likely")
     sets = both(likely, "sets", gram_lists("text", words), [T.StructField("made", T.ArrayType(T.LongType()))])
-    return materialise(sets.select("a", "b", "x", "y", "percent").mapInArrow(linked, "a long, b long"), "verified")
+    return materialise(sets.select("a", "b", "x", "y", "percent").mapInArrow(lean(linked), "a long, b long"), "verified")
 
 
 def near(left: str, right: str, percent: int) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.llm.frames import add_columns, small_enough, table, without
+from quillrank.llm.frames import add_columns, lean, small_enough, table, without
 from quillrank.llm.registry import query
 from quillrank.llm.tokens import Words, list_array, mix, slices, text_bytes, windows
 from quillrank.sources.shared import materialise
@@ -202,7 +202,7 @@ def revealed_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "id", "print", "at"])
 
     rows = docs.select(F.col(key).alias("_id"), F.col("_print"), F.col(text).alias("_text"), "_shared")
-    return rows.mapInArrow(kernel, "w1 long, w2 long, id long, print long, at int")
+    return rows.mapInArrow(lean(kernel), "w1 long, w2 long, id long, print long, at int")
 
 
 def cut_words(text: str, width: int):
