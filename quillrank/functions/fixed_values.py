@@ -55,8 +55,10 @@ LIST_MARKER = rf"^[{BLANK}*\-•#]*(\d+[.)])?[{BLANK}]*"
 EMPHASIS = r"\*\*|__"
 NONE_LINE = r"(?i)^none\W*$"
 DISEASE_LABEL = rf"(?i)^(disease|diagnosis)[{BLANK}]*:[{BLANK}]*"
-NO_LINE = r"(?i)^no\b"
-QUESTION_REPLY = r"(?i)^\W*question\b"
+# A word ends before any character but these, as in the original; Java's own \b takes other letters for parts of a word.
+WORD_END = "(?![A-Za-z0-9_])"
+NO_LINE = rf"(?i)^no{WORD_END}"
+QUESTION_REPLY = rf"(?i)^\W*question{WORD_END}"
 CITATION_LABEL = rf"\[(\d+(?:[{BLANK}]*[,–-][{BLANK}]*\d+)*)\](?!\()"
 MAX_CITED_RANGE = 20
 

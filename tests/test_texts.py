@@ -262,3 +262,13 @@ def test_should_compact(spark, turns, chars, full):
         return hist.should_compact(c, t, fixed.MAX_HISTORY_CHARS, fixed.MAX_HISTORY_TURNS)
 
     assert value(spark, test, chars, turns, kinds=["long", "long"]) is full
+
+
+def test_a_letter_beyond_ascii_ends_a_word_of_a_reply(spark):
+    from quillrank.functions.words import parse_kind
+
+    replies = spark.createDataFrame([(1, "Noñbosque\nnote\nNo"), (2, "Questionñ"), (3, "questions")], "reply_id long, reply string")
+    found = rep.parse_diseases(replies.where("reply_id = 1"), "reply_id").collect()
+    assert [r["item"] for r in found] == ["note"]
+    kinds = replies.select("reply_id", parse_kind(F.col("reply")).alias("kind")).collect()
+    assert {r["reply_id"]: r["kind"] for r in kinds if r["reply_id"] > 1} == {2: "question", 3: "case"}
