@@ -2,97 +2,99 @@
 
 ``finish`` is NULL until an answer's last piece, which has the reason it ended. Pieces of one answer
 come in order from batch to batch; within a batch they are put in order.
+
+A call of Python for each answer costs far more than the work on its pieces, so answers are dealt to buckets, and a call has a bucket: its
+pieces, and as state a JSON object of its answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillrank.functions.fixed_values import MAX_ANSWER_CHARS
 
+BUCKETS = 4_096
 
-def in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    """One key's rows of a micro-batch; the source's rate bounds them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
+def in_buckets(rows: DataFrame, keys: Sequence[str], by: str, work: Callable, output: str) -> DataFrame:
+    """``work`` on the rows of each bucket of ``keys`` in a micro-batch, and on what it kept of them.
 
-class CappedPieces(StatefulProcessor):
-    """Passes on pieces until an answer has had its characters. The state is their number."""
+    ``work`` gets a dict of what is kept by key (its parts joined by a blank), which it changes, and the columns in the order of (keys, by)
+    with the place where each key starts, and last the number of rows. It returns a frame.
+    """
+    keys = list(keys)
+
+    def bucket(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        batch = pd.concat(list(frames), ignore_index=True)
+        order = np.lexsort([batch[name].to_numpy() for name in [by, *reversed(keys)]])
+        columns = {name: batch[name].to_numpy()[order] for name in batch.columns}
+        new = np.zeros(len(order), bool)
+        for name in keys:
+            new[1:] |= columns[name][1:] != columns[name][:-1]
+        new[0] = True
+        yield work(kept, columns, np.append(np.flatnonzero(new), len(order)))
+        state.update((json.dumps(kept),))
 
-    def __init__(self, cap: int):
-        self.cap = cap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "chars long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        sent = self.sent.get()[0] if self.sent.exists() else 0
-        out = []
-        for seq, text in in_order(rows, "seq")[["seq", "text"]].itertuples(index=False):
-            piece = text[: max(0, self.cap - sent)]
-            sent += len(piece)
-            if piece:
-                out.append((key[0], seq, piece))
-        self.sent.update((sent,))
-        yield pd.DataFrame(out, columns=["answer_id", "seq", "text"])
-
-    def close(self) -> None:
-        pass
-
-
-class Assembled(StatefulProcessor):
-    """Emits an answer once it ends. The state holds no more text than an answer may have."""
-
-    def __init__(self, cap: int):
-        self.cap = cap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("text", "head string, over boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        head, over = self.state.get() if self.state.exists() else ("", False)
-        out = []
-        for text, finish in in_order(rows, "seq")[["text", "finish"]].itertuples(index=False):
-            head = (head + text).lstrip() if not head else head + text
-            # Blanks at the end may yet be followed by text, which alone makes the answer too long.
-            over = over or len(head.rstrip()) > self.cap
-            head = head[: self.cap] if over else head
-            if finish is None:
-                continue
-            if finish == "length":
-                out.append((key[0], None, "exhausted"))
-            elif not head.strip():
-                out.append((key[0], None, "empty"))
-            else:
-                out.append((key[0], head.rstrip() + ("…" if over else ""), None))
-            head, over = "", False
-        if out:
-            self.state.clear()
-        else:
-            self.state.update((head, bool(over)))
-        yield pd.DataFrame(out, columns=["answer_id", "answer", "failed"], dtype=object)
-
-    def close(self) -> None:
-        pass
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(bucket, output, "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_cap(pieces: DataFrame, cap: int = MAX_ANSWER_CHARS) -> DataFrame:
-    return pieces.groupBy("answer_id").transformWithStateInPandas(
-        statefulProcessor=CappedPieces(cap),
-        outputStructType="answer_id long, seq long, text string",
-        outputMode="Append",
-        timeMode="None",
-    )
+    """Passes on pieces until an answer has had its characters. The state is their number."""
+
+    def capped(sent: dict, columns: dict, starts: np.ndarray) -> pd.DataFrame:
+        answers, texts = columns["answer_id"], columns["text"]
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.append(0, np.cumsum(length))
+        names = list(map(str, answers[starts[:-1]].tolist()))
+        earlier = np.array([sent.get(name, 0) for name in names], np.int64)
+        before = ends[:-1] + np.repeat(earlier - ends[starts[:-1]], np.diff(starts))
+        now = np.minimum(cap, earlier + ends[starts[1:]] - ends[starts[:-1]])
+        sent.update(zip(names, now.tolist(), strict=True))
+        kept = np.flatnonzero((before < cap) & (length > 0))
+        cut = [texts[i][: cap - before[i]] for i in kept]
+        return pd.DataFrame({"answer_id": answers[kept], "seq": columns["seq"][kept], "text": pd.Series(cut, dtype=object)})
+
+    return in_buckets(pieces.select("answer_id", "seq", "text"), ["answer_id"], "seq", capped, "answer_id long, seq long, text string")
 
 
 def assemble(pieces: DataFrame, cap: int = MAX_ANSWER_CHARS) -> DataFrame:
-    return pieces.groupBy("answer_id").transformWithStateInPandas(
-        statefulProcessor=Assembled(cap),
-        outputStructType="answer_id long, answer string, failed string",
-        outputMode="Append",
-        timeMode="None",
-    )
+    """Emits an answer once it ends. The state holds no more text than an answer may have, and open answers only."""
+
+    def assembled(open_answers: dict, columns: dict, starts: np.ndarray) -> pd.DataFrame:
+        texts, finishes, out = columns["text"], columns["finish"], []
+        ended = pd.notna(finishes)
+        for first, after in zip(starts[:-1], starts[1:], strict=True):
+            number = int(columns["answer_id"][first])
+            head, over = open_answers.pop(str(number), ("", False))
+            any_ended = False
+            for end in [*(first + np.flatnonzero(ended[first:after])), after]:
+                if not over:
+                    head = (head + "".join(texts[first : min(end + 1, after)])).lstrip()
+                    # Blanks at the end may yet be followed by text, which alone makes the answer too long.
+                    over = len(head.rstrip()) > cap
+                    head = head[:cap] if over else head
+                first = end + 1
+                if end == after:
+                    break
+                any_ended = True
+                if finishes[end] == "length":
+                    out.append((number, None, "exhausted"))
+                elif not head.strip():
+                    out.append((number, None, "empty"))
+                else:
+                    out.append((number, head.rstrip() + ("…" if over else ""), None))
+                head, over = "", False
+            if not any_ended:
+                open_answers[str(number)] = (head, over)
+        return pd.DataFrame(out, columns=["answer_id", "answer", "failed"], dtype=object)
+
+    return in_buckets(pieces, ["answer_id"], "seq", assembled, "answer_id long, answer string, failed string")

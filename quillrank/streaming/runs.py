@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources.shared import shared_folder
 
+FILE_ROWS = 500_000  # of the files a stream reads
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,27 +29,29 @@ def replay_state(frame: DataFrame, by: str, build: Callable[[DataFrame], DataFra
 def _replayed(frame: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], name: str, batches: int) -> tuple[str, DataFrame]:
     """Run a stream over a table in ranges of about equal numbers of rows; its folder, and the stream.
 
-    The table is written once, cut by Spark's range partitioning. Then one range after another is handed to the
-    source's folder, in many files, and the stream runs on from its checkpoint, as after a restart. No range goes through one task.
+    The table is written once, by as many tasks as it has, and quantiles cut it; rows of equal ``by`` stay together. Then one range
+    after another is handed to the source's folder, in many files, and the stream runs on from its checkpoint, as after a restart.
+    No range goes through one task.
     """
     spark = frame.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folder = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    ordered = frame.repartitionByRange(batches, by).withColumn("_range", F.spark_partition_id())
-    ordered.write.partitionBy("_range").parquet(f"{folder}/ordered")
-    ranges = spark.read.schema(f"{_ddl(frame)}, _range int").parquet(f"{folder}/ordered")
+    frame.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/whole")
+    whole = spark.read.schema(frame.schema).parquet(f"{folder}/whole")
+    shares = [F.lit(k / batches) for k in range(1, batches)]
+    found = whole.agg(F.percentile_approx(by, F.array(*shares), F.lit(10_000)).alias("cuts")).first()
+    cuts = sorted(set(found["cuts"] or []))
+    place = F.lit(0)
+    for cut in cuts:
+        place = place + (F.col(by) > F.lit(cut)).cast("int")
     stream = build(spark.readStream.schema(frame.schema).parquet(f"{folder}/source/*"))
-    for k in range(batches):
-        part = ranges.where(F.col("_range") == k).drop("_range")
-        part.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/source/{k}")
+    for k in range(len(cuts) + 1):
+        part = whole.where(F.coalesce(place, F.lit(0)) == k)
+        part.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/source/{k}")
         run_once(stream, folder)
     return folder, stream
 
 
-def _ddl(frame: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in frame.dtypes)
-
-
 def run_once(stream: DataFrame, folder: str) -> None:
     """Process what the source holds now, from the checkpoint on."""
     run = (

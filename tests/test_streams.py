@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillrank.operators import answers, limits, ratings
 from quillrank.streaming import answers as stream_answers
 from quillrank.streaming import ratings as stream_ratings
+from quillrank.streaming import runs
 from quillrank.streaming.limits import rate_limit_stream
 from quillrank.streaming.runs import run_to_end
 
@@ -98,3 +99,23 @@ def test_ratings(spark, tmp_path):
     sources = last.select(*keys, F.explode("sources").alias("number", "rating"))
     expected = ratings.fold_source_ratings(events, keys)
     assert sorted(map(str, sources.collect())) == sorted(map(str, expected.select(sources.columns).collect()))
+
+
+def test_a_stream_calls_python_by_buckets_not_by_keys(spark, monkeypatch):
+    monkeypatch.setattr(stream_answers, "BUCKETS", 8)
+    rows = [(i % 100, i % 3, i, ["answer", "source"][i % 2], ["up", "down", None][i * 5 % 3], i % 4, f"r{i}", None) for i in range(900)]
+    schema = "user_id long, answer_id long, seq long, kind string, rating string, number long, reasons string, comment string"
+    events, keys = spark.createDataFrame(rows, schema), ["user_id", "answer_id"]
+    folder, stream = runs._replayed(events, "seq", stream_ratings.fold_ratings, "bucket-test", 3)
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() <= 8
+    last = ratings.latest(spark.read.schema(stream.schema).parquet(f"{folder}/rows"), keys, "seq")
+    folded = ratings.fold_ratings(events, keys)
+    every = events.select(*keys).distinct().join(last, keys, "left")  # nothing is said of answers that stay as they were
+    assert sorted(map(str, every.select(*folded.columns).collect())) == sorted(map(str, folded.collect()))
+
+
+def test_pieces_are_cut_once_for_each_document(spark):
+    from quillrank.registry.limits import ended_pieces
+
+    plan = ended_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan.split("Generate")[0]
