@@ -152,9 +152,11 @@ def ended_pieces(spark, sf):
     documents = v.table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text", finish.alias("finish"))
     cut = F.regexp_extract_all("text", F.lit("(?s).{1,50}"), F.lit(0))
     cut = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit("")))
-    placed = documents.select("answer_id", "finish", (F.size(cut) - 1).alias("last"), F.posexplode(cut).alias("seq", "text"))
-    ended = F.when(F.col("seq") == F.col("last"), F.col("finish"))
-    return placed.select("answer_id", F.col("seq").cast("long").alias("seq"), "text", ended.alias("finish"))
+    # The array is a column of its own first: beside a generator it would be cut again for every piece.
+    listed = documents.select("answer_id", "finish", F.explode(F.array(cut)).alias("cut"))
+    last = F.size("cut") - 1
+    numbered = F.transform("cut", lambda text, place: F.struct(place.cast("long").alias("seq"), text.alias("text"), F.when(place == last, F.col("finish")).alias("finish")))
+    return listed.select("answer_id", F.inline(numbered))
 
 
 @query("stream_cap_stream", CAPPED)
