@@ -27,10 +27,8 @@ def rounded(column: str = "score", digits: int = 6):
 
 
 def rankings(spark, sf) -> DataFrame:
-    queries, passages = v.search_queries(spark, sf), v.passages(spark, sf)
-    return fusion.union_rankings(
-        plan.dense_ranking(queries, passages, LIMIT), plan.sparse_rankings(queries, passages, LIMIT)
-    )
+    queries, passages, texts = v.search_queries(spark, sf), v.passages(spark, sf), v.passages(spark, sf, vectors=False)
+    return fusion.union_rankings(plan.dense_ranking(queries, passages, LIMIT), plan.sparse_rankings(queries, texts, LIMIT))
 
 
 def fused(spark, sf) -> DataFrame:
@@ -182,14 +180,14 @@ def dense_knn(spark, sf):
 
 @query("bm25_topk", "SELECT query_id, book_id, id, pos, round(score, 6) AS score FROM v_sparse WHERE pos <= 10")
 def bm25_topk(spark, sf):
-    found = bm25.search(v.search_queries(spark, sf), v.passages(spark, sf), 10)
+    found = bm25.search(v.search_queries(spark, sf), v.passages(spark, sf, vectors=False), 10)
     return found.select("query_id", "book_id", "id", F.col("pos").cast("long").alias("pos"), rounded())
 
 
 @query("search_index", "SELECT query_id, book_id, id, pos, round(score, 6) AS score FROM v_sparse WHERE pos <= 10")
 def search_index(spark, sf):
     """Through the stored index, after passages came in two segments, some of them out of date, and others went again."""
-    passages = v.passages(spark, sf).select("book_ord", "id", "book_id", "subject", "content")
+    passages = v.passages(spark, sf, vectors=False).select("book_ord", "id", "book_id", "subject", "content")
     index = Index(spark, f"{shared_folder(spark)}/stores/index-{uuid.uuid4().hex}")
     odd = F.col("id") % 2 == 1
     stale = passages.where(odd & (F.col("id") % 3 == 0)).withColumn("content", F.concat("content", F.lit(" "), "content"))
@@ -209,7 +207,7 @@ def global_dense_rank(spark, sf):
 
 @query("per_book_rank", "SELECT query_id, book_id, id, pos FROM v_sparse")
 def per_book_rank(spark, sf):
-    found = plan.sparse_rankings(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT)
+    found = plan.sparse_rankings(v.search_queries(spark, sf), v.passages(spark, sf, vectors=False), LIMIT)
     return found.select("query_id", "book_id", "id", F.col("pos").cast("long").alias("pos"))
 
 

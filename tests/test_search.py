@@ -197,3 +197,23 @@ def test_index_in_segments_reads_few_blocks_and_survives_changes(spark, tmp_path
     index.merge()
     assert index.manifest()[0][1] == "segment" and len(index.manifest()) == 1
     assert found(index, 5) == want(docs, 5)
+
+
+def test_bm25_in_blocks_is_the_pruned_search(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], range(1, 31), k=rng.randint(0, 40))) for _ in range(300)]
+    texts[200:240] = [texts[0]] * 40  # ties are many
+    rows = [(i % 3, f"book{i % 3}", i, "s", text) for i, text in enumerate(texts)] + [(0, "book0", 998, "s", None), (1, "book1", 999, "s", "")]
+    passages = spark.createDataFrame(rows, "book_ord long, book_id string, id long, subject string, content string")
+    asked = [" ".join(rng.choices([f"w{i}" for i in range(33)], k=6)) for _ in range(20)] + ["", "nothing", None, texts[0]]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    columns = ["query_id", "book_ord", "id", "pos", "score"]
+    pruned = bm25.bm25_topk(bm25.query_terms(queries), bm25.build_postings(passages), 7).select(*columns)
+    want = sorted(map(tuple, pruned.collect()))
+    for items, asked_at_once in ((bm25.ITEM_BLOCK, bm25.QUERY_BLOCK), (20, 5)):
+        monkeypatch.setattr(bm25, "ITEM_BLOCK", items)
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", asked_at_once)
+        found = bm25.search(queries, passages, 7)
+        assert sorted(map(tuple, found.select(*columns).collect())) == want
+        assert {(r.book_id, r.subject) for r in found.collect()} == {(f"book{b}", "s") for b in range(3)}
+        assert "Join" not in bm25.counted(passages)._jdf.queryExecution().optimizedPlan().toString()
