@@ -8,7 +8,7 @@ from quillrank.operators import answers as an
 from quillrank.operators import limits as lim
 from quillrank.registry import query
 from quillrank.sources import views as v
-from quillrank.streaming.limits import rate_limit_stream, two_level_stream
+from quillrank.streaming.limits import rate_limit_in_buckets, rate_limit_stream, two_level_stream
 from quillrank.streaming import answers as stream_answers
 from quillrank.streaming.runs import replay, replay_state
 
@@ -101,7 +101,7 @@ def state_expiry_streamed(spark, sf):
 @query("rate_limit_stream", fold_sql(1, 5, "CAST(1 AS BIGINT)") + ROWS)
 def rate_limit_streamed(spark, sf):
     """Several micro-batches in the order of time, so that a client's rows of one are bounded."""
-    return replay(log(spark, sf), "now_ms", lambda requests: rate_limit_stream(requests, LIMITS), "rate-limit", 4)
+    return replay(log(spark, sf), "now_ms", lambda requests: rate_limit_in_buckets(requests, LIMITS), "rate-limit", 4)
 
 
 @query("rate_limit_two_level_stream", TWO_LEVEL)

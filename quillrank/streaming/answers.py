@@ -23,18 +23,19 @@ from quillrank.functions.fixed_values import MAX_ANSWER_CHARS
 BUCKETS = 4_096
 
 
-def in_buckets(rows: DataFrame, keys: Sequence[str], by: str, work: Callable, output: str) -> DataFrame:
+def in_buckets(rows: DataFrame, keys: Sequence[str], by: str | Sequence[str], work: Callable, output: str) -> DataFrame:
     """``work`` on the rows of each bucket of ``keys`` in a micro-batch, and on what it kept of them.
 
     ``work`` gets a dict of what is kept by key (its parts joined by a blank), which it changes, and the columns in the order of (keys, by)
     with the place where each key starts, and last the number of rows. It returns a frame.
     """
     keys = list(keys)
+    names = [*keys, *([by] if isinstance(by, str) else by)]
 
     def bucket(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else {}
         batch = pd.concat(list(frames), ignore_index=True)
-        order = np.lexsort([batch[name].to_numpy() for name in [by, *reversed(keys)]])
+        order = np.lexsort([batch[name].to_numpy() for name in reversed(names)])
         columns = {name: batch[name].to_numpy()[order] for name in batch.columns}
         new = np.zeros(len(order), bool)
         for name in keys:

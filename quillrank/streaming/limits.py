@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillrank.operators.limits import Limits, check, moment, wait_seconds
+from quillrank.streaming.answers import in_buckets
 
 OUTPUT = "client long, now_ms long, id long, passed boolean, wait long"
 
@@ -78,6 +80,30 @@ def rate_limit_stream(requests: DataFrame, limits: Limits, late: str | None = No
     )
 
 
+def rate_limit_in_buckets(requests: DataFrame, limits: Limits) -> DataFrame:
+    """``rate_limit_stream`` for many clients: Python is called by buckets of them and not for each. Clients stay in the store."""
+
+    def limited(kept: dict, columns: dict, starts: np.ndarray) -> pd.DataFrame:
+        passed, waits = [], []
+        times, numbers, amounts = (columns[name].tolist() for name in ("now_ms", "id", "amount"))
+        for first, after in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            name = str(columns["client"][first])
+            windows = kept.get(name)
+            for i in range(first, after):
+                windows = check(windows, limits, times[i])
+                wait = wait_seconds(windows, limits, times[i])
+                if wait is None:
+                    moment(windows, limits, times[i], [numbers[i]], [amounts[i]])
+                passed.append(wait is None)
+                waits.append(wait)
+            kept[name] = windows
+        out = {name: columns[name] for name in ("client", "now_ms", "id")}
+        return pd.DataFrame({**out, "passed": passed, "wait": pd.array(waits, dtype="Int64")})
+
+    limits = [tuple(pair) for pair in limits]
+    return in_buckets(requests.select("client", "now_ms", "id", "amount"), ["client"], ["now_ms", "id"], limited, OUTPUT)
+
+
 DECIDED = "client long, now_ms long, id long, refused_by string, wait long"
 
 
@@ -97,16 +123,26 @@ class TotalWindow(StatefulProcessor):
                 yield frame.assign(refused_by="client")[columns].astype({"wait": "Int64"})
             return
         windows = [list(self.state.get())] if self.state.exists() else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["now_ms", "id"], kind="stable")
-        out = []
-        for client, now, number, amount in batch[["client", "now_ms", "id", "amount"]].itertuples(index=False):
-            windows = check(windows, self.limits, int(now))
-            wait = wait_seconds(windows, self.limits, int(now))
-            if wait is None:
-                windows[0][0] += int(amount)
-            out.append((client, now, number, None if wait is None else "total", wait))
+        # What passed in a micro-batch is held as plain columns to be ordered; results leave in chunks.
+        names = ["client", "now_ms", "id", "amount"]
+        held = [frame[names].to_numpy(np.int64) for frame in rows]
+        batch = np.concatenate(held)
+        del held
+        order = np.lexsort([batch[:, 2], batch[:, 1]])
+        for start in range(0, len(order), CHUNK):
+            part = batch[order[start : start + CHUNK]]
+            refused, waits = [], []
+            for now, amount in part[:, [1, 3]].tolist():
+                windows = check(windows, self.limits, now)
+                wait = wait_seconds(windows, self.limits, now)
+                if wait is None:
+                    windows[0][0] += amount
+                refused.append(None if wait is None else "total")
+                waits.append(wait)
+            out = {name: part[:, i] for i, name in enumerate(names[:3])}
+            decided = {"refused_by": pd.Series(refused, dtype=object), "wait": pd.array(waits, dtype="Int64")}
+            yield pd.DataFrame({**out, **decided})
         self.state.update(tuple(windows[0]))
-        yield pd.DataFrame(out, columns=columns).astype({"wait": "Int64", "refused_by": object})
 
     def close(self) -> None:
         pass
@@ -114,6 +150,7 @@ class TotalWindow(StatefulProcessor):
 
 COUNTED = 0
 SPREAD = 64
+CHUNK = 50_000
 
 
 def two_level_stream(requests: DataFrame, client_limits: Limits, total_limits: Limits) -> DataFrame:

@@ -7,7 +7,7 @@ from quillrank.operators import answers, limits, ratings
 from quillrank.streaming import answers as stream_answers
 from quillrank.streaming import ratings as stream_ratings
 from quillrank.streaming import runs
-from quillrank.streaming.limits import rate_limit_stream
+from quillrank.streaming.limits import rate_limit_in_buckets, rate_limit_stream
 from quillrank.streaming.runs import run_to_end
 
 
@@ -119,3 +119,15 @@ def test_pieces_are_cut_once_for_each_document(spark):
 
     plan = ended_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan.split("Generate")[0]
+
+
+def test_limits_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(stream_answers, "BUCKETS", 8)
+    log = spark.range(600).select((F.col("id") % 40).alias("client"), (F.floor(F.col("id") / 3) * 180).alias("now_ms"), "id", (F.col("id") % 3).alias("amount"))
+    pairs = [(2, 10_000), (3, 30_000)]
+    folder, stream = runs._replayed(log, "now_ms", lambda r: rate_limit_in_buckets(r, pairs), "limit-bucket-test", 3)
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() <= 8
+    columns = ["client", "now_ms", "id", "passed", "wait"]
+    got = spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*columns)
+    want = limits.rate_limit(log, pairs).select(*columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
