@@ -5,6 +5,7 @@ from collections import Counter
 
 import messy
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,31 @@ def test_spelling_sees_across_words_and_learns_in_the_text(spark):
     assert alone[101]["score"] == pytest.approx(got[101]["score"], rel=1e-6)
 
 
+def test_models_are_fitted_on_all_training_text(spark):
+    """Kinds and weights follow what lies beyond the first 2,000 characters, as one process finds them on the whole texts."""
+    tails = ["ende und der das nicht", "fin mais le la pas"]
+    texts = [("start " * 400 + (tails[k % 2] + " ") * 300).strip() for k in range(20)]
+    rows = [(k, text, False) for k, text in enumerate(texts)] + [(98, None, True), (99, "held out words " * 2_000, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    seen = context_mixing.chunked(docs, 4).select("_chunk", F.col("held_out").alias("held"), "text")
+    kinds = context_mixing.find_kinds(seen)
+    assert len(kinds.words) == len(set(" ".join(texts).split()))
+    found = [context_mixing.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    kind = [int(kinds.of(f, f.hashes())[0]) for f in found]
+    assert kind == kind[:2] * 10 and kind[0] != kind[1]
+    assert math.isclose(np.exp(kinds.prior).sum(), 1, rel_tol=1e-4)
+
+    counts = [b for b in context_mixing.count_bits([pa.record_batch([pa.array(texts)], names=["text"])])]
+    alone = context_mixing.Mixer(*(np.concatenate([b.column(k).to_numpy() for b in counts]) for k in range(3)))
+    start = alone.weights.copy()
+    total = context_mixing.BitSums(alone.left_out(), alone.weights)
+    for text in texts:
+        total.add(context_mixing.Spellings.of(context_mixing.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))[0])
+    alone.fit(total.sums)
+    assert not np.array_equal(alone.weights, start)
+    assert np.allclose(context_mixing.spelling_model(seen.where("not held"), "text").weights, alone.weights, atol=2e-4)
+
+
 def test_counts_of_millions_stay_finite():
     slots = np.arange(context_mixing.OFFSETS[-1])
     mixer = context_mixing.Mixer(slots, np.zeros(len(slots)), np.full(len(slots), 50_000_000))
