@@ -27,8 +27,8 @@ def rounded(column: str = "score", digits: int = 6):
 
 
 def rankings(spark, sf) -> DataFrame:
-    queries, passages, texts = v.search_queries(spark, sf), v.passages(spark, sf), v.passages(spark, sf, vectors=False)
-    return fusion.union_rankings(plan.dense_ranking(queries, passages, LIMIT), plan.sparse_rankings(queries, texts, LIMIT))
+    texts = v.passages(spark, sf, vectors=False)
+    return plan.all_rankings(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT, texts)
 
 
 def fused(spark, sf) -> DataFrame:
@@ -54,7 +54,7 @@ def priors(spark, sf) -> DataFrame:
 
 @query("scan_passages", "SELECT book_id, id, subject, content FROM v_passages")
 def scan_passages(spark, sf):
-    return v.passages(spark, sf).select("book_id", "id", "subject", "content")
+    return v.passages(spark, sf, vectors=False).select("book_id", "id", "subject", "content")
 
 
 @query("fetch_payloads", """
@@ -65,7 +65,7 @@ def fetch_payloads(spark, sf):
     total = v.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).first()["n"]
     winners = v.search_queries(spark, sf).select("query_id", ((F.col("query_id") * 7919) % total).alias("id"))
     keyed = winners.withColumn("book_id", F.concat(F.lit("book"), (F.col("id") % v.BOOKS).cast("string")))
-    payload = v.passages(spark, sf).select("book_id", "id", "chunk_id", "content")
+    payload = v.passages(spark, sf, vectors=False).select("book_id", "id", "chunk_id", "content")
     return src.fetch_payloads(keyed, payload).select("query_id", "book_id", "id", "chunk_id", "content")
 
 
@@ -77,7 +77,7 @@ def fetch_payloads_stored(spark, sf):
     winners = v.search_queries(spark, sf).select("query_id", ((F.col("query_id") * 7919) % total).alias("id"))
     keyed = winners.withColumn("book_id", F.concat(F.lit("book"), (F.col("id") % v.BOOKS).cast("string")))
     path = f"{shared_folder(spark)}/stores/payloads-{uuid.uuid4().hex}"
-    src.store_payloads(v.passages(spark, sf), path, 64)
+    src.store_payloads(v.passages(spark, sf, vectors=False), path, 64)
     return src.fetch_stored(keyed, path, 64).select("query_id", "book_id", "id", "chunk_id", "source_title", "chunk_index", "content")
 
 
@@ -88,7 +88,7 @@ def missing_collections(spark, sf):
     expected = v.table(spark, sf, "region").select(
         F.concat(F.lit("book"), (F.col("r_regionkey") * 2).cast("string")).alias("book_id")
     )
-    return src.missing_collections(expected, v.passages(spark, sf)).orderBy("book_id")
+    return src.missing_collections(expected, v.passages(spark, sf, vectors=False)).orderBy("book_id")
 
 
 @query("attach_embeddings", """
@@ -123,19 +123,19 @@ TITLED_SQL = f"""
     SELECT chunk_id, book_id, source_title AS book_title, author, remedy AS remedy_name, {SECTIONS_SQL} AS section_title,
            chunk_index AS passage_index, content AS text, 0.0::DOUBLE AS score FROM titled""")
 def passage_source(spark, sf):
-    rows = v.passages(spark, sf).select(*src.passage_source(F.lit(0.0)))
+    rows = v.passages(spark, sf, vectors=False).select(*src.passage_source(F.lit(0.0)))
     return rows.withColumn("passage_index", F.get("passage_indexes", F.lit(0))).drop("passage_indexes")
 
 
 @query("section_title", TITLED_SQL + f" SELECT id, {SECTIONS_SQL} AS section_title FROM titled")
 def section_titles(spark, sf):
     title = section_title(F.col("section_group"), F.col("sections"), F.col("aphorisms"))
-    return v.passages(spark, sf).select("id", title.alias("section_title"))
+    return v.passages(spark, sf, vectors=False).select("id", title.alias("section_title"))
 
 
 @query("aphorism_label", f"SELECT id, {LABEL_SQL} AS label FROM v_passages")
 def aphorism_labels(spark, sf):
-    return v.passages(spark, sf).select("id", aphorism_label(F.col("aphorisms")).alias("label"))
+    return v.passages(spark, sf, vectors=False).select("id", aphorism_label(F.col("aphorisms")).alias("label"))
 
 
 @query("required_fields", r"""
@@ -159,7 +159,7 @@ def required_fields(spark, sf):
 
 @query("subject_key", "SELECT id, subject FROM v_passages")
 def subject_keys(spark, sf):
-    return v.passages(spark, sf).select("id", subject_key(F.col("book_id"), F.col("remedy_id")).alias("subject"))
+    return v.passages(spark, sf, vectors=False).select("id", subject_key(F.col("book_id"), F.col("remedy_id")).alias("subject"))
 
 
 # Rankings --------------------------------------------------------------------------------------
@@ -306,7 +306,8 @@ def select_regrouped(spark, sf):
            {SECTIONS_SQL} AS section_title, t.chunk_index AS passage_index, t.content AS text, round(b.score, 9) AS score
     FROM v_best b JOIN titled t ON t.id = b.id""")
 def hybrid_search(spark, sf):
-    found = plan.hybrid_search(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT)
+    texts = v.passages(spark, sf, vectors=False)
+    found = plan.hybrid_search(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT, texts=texts)
     return found.withColumn("passage_index", F.get("passage_indexes", F.lit(0))).drop("passage_indexes").withColumn(
         "score", F.round("score", 9)
     )
@@ -320,7 +321,8 @@ def hybrid_search(spark, sf):
       FROM v_support p JOIN v_dominated d USING (query_id) WHERE NOT d.dominated
     UNION ALL SELECT query_id, 'best', 0, rank, book_id, id, subject, round(score, 6) FROM v_best""")
 def search_stages(spark, sf):
-    found = plan.search_stages(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT)
+    texts = v.passages(spark, sf, vectors=False)
+    found = plan.search_stages(v.search_queries(spark, sf), v.passages(spark, sf), LIMIT, texts=texts)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -328,7 +330,7 @@ def search_stages(spark, sf):
     SELECT 'corpus/' || book_id || '/' || chunk_id AS id, book_id, source_title AS book_title, author,
            remedy AS remedy_name, {SECTIONS_SQL} AS section_title, chunk_index AS passage_index, content AS text FROM titled""")
 def citations(spark, sf):
-    rows = src.citations(v.passages(spark, sf).select(*src.passage_source(F.lit(0.0))))
+    rows = src.citations(v.passages(spark, sf, vectors=False).select(*src.passage_source(F.lit(0.0))))
     return rows.withColumn("passage_index", F.get("passage_indexes", F.lit(0))).drop("passage_indexes")
 
 
@@ -336,5 +338,5 @@ def citations(spark, sf):
     SELECT id // 20 AS query_id, max(length(content)) AS longest, bool_or(length(content) > 8000) AS rejected
     FROM v_passages GROUP BY ALL""")
 def oversize_sources(spark, sf):
-    sources = v.passages(spark, sf).select(F.floor(F.col("id") / 20).alias("query_id"), F.col("content").alias("text"))
+    sources = v.passages(spark, sf, vectors=False).select(F.floor(F.col("id") / 20).alias("query_id"), F.col("content").alias("text"))
     return src.oversize_queries(sources, MAX_CITATION_CHARS)

@@ -252,3 +252,27 @@ def test_bm25_in_blocks_is_the_pruned_search(spark, monkeypatch):
         assert sorted(map(tuple, found.select(*columns).collect())) == want
         assert {(r.book_id, r.subject) for r in found.collect()} == {(f"book{b}", "s") for b in range(3)}
         assert "Join" not in bm25.counted(passages)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_text_is_shuffled_to_its_vector(spark, monkeypatch):
+    from quillrank import registry
+    from quillrank.plans import retrieval
+
+    registry.load_all()
+    seen = []
+
+    def noted(of):
+        def run(first, passages, *rest, **named):
+            seen.append(passages)
+            return of(first, passages, *rest, **named)
+
+        return run
+
+    monkeypatch.setattr(retrieval.bm25, "search", noted(bm25.search))
+    monkeypatch.setattr(retrieval, "fetch_payloads", noted(retrieval.fetch_payloads))
+    for name in ("hybrid_search", "search_stages"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3
+    seen += [registry.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("scan_passages", "citations", "section_title", "subject_key")]
+    for frame in seen:
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
