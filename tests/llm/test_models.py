@@ -205,6 +205,27 @@ def test_models_are_fitted_on_all_training_text(spark):
     assert np.allclose(context_mixing.spelling_model(seen.where("not held"), "text").weights, alone.weights, atol=2e-4)
 
 
+def test_counts_of_bits_are_added_in_blocks_of_slots(spark):
+    texts = [messy.prose(k, 40).lower() for k in range(12)] + [None, ""]
+    counts = sum(context_mixing.bit_counts([pa.record_batch([pa.array([text], pa.string())], names=["text"])]) for text in texts)
+    seen = []
+
+    class Noted(context_mixing.Mixer):
+        def __init__(self, slots, zeros, ones):
+            seen.append((np.array(zeros), np.array(ones)))
+            super().__init__(slots, zeros, ones)
+
+    frame = spark.createDataFrame([(text,) for text in texts], "text string").repartition(4)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(context_mixing, "Mixer", Noted)
+        context_mixing.spelling_model(frame, "text")
+    assert (seen[0][0] == counts[:, 0]).all() and (seen[0][1] == counts[:, 1]).all()
+    rows = list(context_mixing.count_blocks([pa.record_batch([pa.array(texts)], names=["text"])]))
+    assert sum(batch.num_rows for batch in rows) <= context_mixing.OFFSETS[-1] // context_mixing.SLOT_BLOCK
+    for value in ([0, 1, 255, 256, 2**31, 2**40 + 7], [0] * 6):
+        assert context_mixing.of_planes(context_mixing.in_planes(np.array(value))).tolist() == value
+
+
 def test_counts_of_millions_stay_finite():
     slots = np.arange(context_mixing.OFFSETS[-1])
     mixer = context_mixing.Mixer(slots, np.zeros(len(slots)), np.full(len(slots), 50_000_000))
