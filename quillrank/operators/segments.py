@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillrank.operators.bm25 import B, K1, QUERY_BLOCK, SCORE_DIGITS, SEED_PASSAGES, best_of_postings, counted, query_terms
+from quillrank.operators.bm25 import B, K1, SCORE_DIGITS, SEED_PASSAGES, best_of_postings, counted, query_terms
 from quillrank.operators.ordered import fixed_point, top_k
 from quillrank.sources.shared import materialise, path_exists
 
 PART = 8_192
+QUERY_BLOCK = 4_096
 LEVELS = 8  # of weight, by which the postings of a term are put in blocks
 CELL = ["segment", "book_ord", "part"]
 PLACE = [*CELL, "term", "level"]

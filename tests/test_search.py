@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillrank.operators import bm25
@@ -307,3 +308,90 @@ def test_only_words_that_a_query_has_are_written_and_shuffled(spark, monkeypatch
         assert (kept[number].len or 0) == counts.total() and set(terms) <= set(counts)
         assert {w: n for w, n in terms.items() if w in asked} == {w: n for w, n in counts.items() if w in asked}
     assert sum(len(set(row.terms) - asked) for row in kept.values()) < 20
+
+
+def shuffles_on_disk(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(1 for name in str(manager.getAllBlocks().mkString("\n")).split("\n") if name.startswith("shuffle_") and name.endswith("_0.data"))
+
+
+def test_a_table_leaves_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, so that those of all steps of a job lay on disk together."""
+    from quillrank.sources.shared import materialise
+
+    before = shuffles_on_disk(spark)
+    table = materialise(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert table.count() == 7
+    assert shuffles_on_disk(spark) <= before + 3  # those of count() above, which writes none
+
+
+def met_by_many(spark, monkeypatch, module, name, run, attributes):
+    """What ``run`` writes as ``name``, frame by frame, when queries come a few at a time."""
+    seen = []
+    write = module.materialise_each
+
+    def noted(frames, table):
+        def each():
+            for frame in frames:
+                if table == name:
+                    seen.append(frame._jdf.queryExecution().optimizedPlan().toString())
+                yield frame
+
+        return write(each(), table)
+
+    monkeypatch.setattr(module, "materialise_each", noted)
+    for attribute, value in attributes.items():
+        monkeypatch.setattr(module, attribute, value)
+    found = run()
+    return seen, found
+
+
+def test_passages_and_items_are_not_shuffled_to_queries(spark, monkeypatch):
+    """Each block of queries had its own copy of all passages and vectors in a shuffle: disk grew with queries times passages."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i % 2, f"book{i % 2}", i, "s", " ".join(rng.choices(words, range(1, 61), k=rng.randint(1, 40)))) for i in range(200)]
+    passages = spark.createDataFrame(rows, "book_ord long, book_id string, id long, subject string, content string")
+    asked = [(q, " ".join(rng.choices(words, k=5))) for q in range(30)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    columns = ["query_id", "book_ord", "id", "pos", "score"]
+    pruned = bm25.bm25_topk(bm25.query_terms(queries), bm25.build_postings(passages), 4)
+    want = sorted(map(tuple, pruned.select(*columns).collect()))
+    sizes = {"QUERY_BLOCK": 7, "ITEM_BLOCK": 16, "COMMON_SHARE": 3}
+    plans, found = met_by_many(spark, monkeypatch, bm25, "sparse", lambda: bm25.search(queries, passages, 4), sizes)
+    assert sorted(map(tuple, found.select(*columns).collect())) == want
+    assert len(plans) == 5
+    assert not any("CoGroup" in plan or "Generate" in plan for plan in plans)
+
+    points = np.random.default_rng(6).normal(size=(300, 8))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, embedding array<double>")
+    asked = items.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    run = lambda: nearest(asked, items, 3, ["query_id"], ["id"], ties=["id"])
+    plans, found = met_by_many(spark, monkeypatch, knn, "met", run, {"QUERY_GROUP": 8, "QUERY_BLOCK": 3, "ITEM_BLOCK": 20})
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    assert {(r.query_id, r.id, r.pos) for r in found.collect()} == {
+        (q, i, n + 1) for q in range(0, 300, 10) for n, i in enumerate(sorted(range(300), key=lambda i: (-scores[q, i], i))[:3])
+    }
+    assert len(plans) == 4
+    assert not any("CoGroup" in plan or "Generate" in plan for plan in plans)
+
+
+def test_bounds_let_no_pair_go_when_items_come_in_any_order(spark):
+    """A scan that forgets pairs on its way, and copies that are scored once, leave the best of all."""
+    rng = np.random.default_rng(12)
+    points = np.repeat(rng.normal(size=(150, 8)), 4, axis=0)
+    asked = knn.unit(rng.normal(size=(20, 8)))
+    codes, scale, error = knn.in_bytes(knn.unit(points))
+    scale, error = scale.astype(np.float32), np.nextafter(error.astype(np.float32), np.float32(np.inf)) + np.float32(knn.SLACK)
+    scan = knn.Scan((asked @ knn.rotation(8)).astype(np.float32), 6)
+    scan.limit = 50  # pruned again and again
+    for first in range(0, 600, 100):
+        part = slice(first, first + 100)
+        scan.add(pa.table({"id": np.arange(600)[part]}), codes[part], scale[part], error[part])
+    found = {(int(q), i) for query, items, _, _ in scan.results() for q, i in zip(query, items.column("id").to_pylist(), strict=True)}
+    scores = asked @ knn.unit(points).T
+    for q in range(20):
+        kth = np.sort(scores[q])[-6]
+        assert {(q, int(i)) for i in np.flatnonzero(scores[q] >= kth - 1e-12)} <= found
+    assert len(found) < 0.2 * 20 * 600
