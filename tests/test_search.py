@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -395,3 +396,24 @@ def test_bounds_let_no_pair_go_when_items_come_in_any_order(spark):
         kth = np.sort(scores[q])[-6]
         assert {(q, int(i)) for i in np.flatnonzero(scores[q] >= kth - 1e-12)} <= found
     assert len(found) < 0.2 * 20 * 600
+
+
+def test_tables_that_only_a_search_reads_go_with_it(spark, monkeypatch):
+    written = {}
+
+    def noted(write):
+        def run(frame, name):
+            written[name] = write(frame, name)
+            return written[name]
+
+        return run
+
+    monkeypatch.setattr(bm25, "materialise", noted(bm25.materialise))
+    monkeypatch.setattr(knn, "materialise", noted(knn.materialise))
+    passages = spark.createDataFrame([(0, "b", i, "s", f"a b{i}") for i in range(9)], "book_ord long, book_id string, id long, subject string, content string")
+    assert bm25.search(spark.createDataFrame([(1, "a b3")], "query_id long, text string"), passages, 2).count() == 2
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, embedding array<double>")
+    assert nearest(items.withColumnRenamed("id", "query_id"), items, 2, ["query_id"], ["id"], ties=["id"]).count() == 18
+    exists = lambda frame: [name for name in frame.inputFiles() if Path(name.removeprefix("file:")).exists()]
+    assert exists(written["counted"])
+    assert not exists(written["in-order"]) and not exists(written["bytes"])
