@@ -417,3 +417,24 @@ def test_tables_that_only_a_search_reads_go_with_it(spark, monkeypatch):
     exists = lambda frame: [name for name in frame.inputFiles() if Path(name.removeprefix("file:")).exists()]
     assert exists(written["counted"])
     assert not exists(written["in-order"]) and not exists(written["bytes"])
+
+
+def written_by(spark, monkeypatch, name):
+    """A query over whole requests, and the tables that its plan wrote, by name."""
+    from quillrank import registry
+    from quillrank.plans import answers
+
+    registry.load_all()
+    written = {}
+    write = answers.materialise
+    monkeypatch.setattr(answers, "materialise", lambda frame, table: written.setdefault(table, write(frame, table)))
+    return registry.QUERIES[name](spark, "/root/testdata/sf0.001"), written
+
+
+def test_sources_are_numbered_without_their_texts(spark, monkeypatch):
+    """Texts of all found passages were written, and shuffled to be numbered, even for keys alone."""
+    frame, written = written_by(spark, monkeypatch, "sources_concat")
+    assert "numbered-sources" in written
+    assert not [name for name, table in written.items() if "text" in table.columns or "content" in table.columns]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan[: plan.index("_problem")]  # of a text stays whether it is there
