@@ -438,3 +438,9 @@ def test_sources_are_numbered_without_their_texts(spark, monkeypatch):
     assert not [name for name, table in written.items() if "text" in table.columns or "content" in table.columns]
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan[: plan.index("_problem")]  # of a text stays whether it is there
+
+
+def test_rankings_fetch_no_texts(spark, monkeypatch):
+    frame, written = written_by(spark, monkeypatch, "rankings_text")
+    assert not [name for name, table in written.items() if "text" in table.columns or "content" in table.columns]
+    assert "documents.parquet" not in "".join(frame.inputFiles())
